@@ -79,16 +79,24 @@ def fit_thresholds(
     return levels.withColumn("source", F.lit("historical_percentiles"))
 
 
+def ready_thresholds(thresholds: DataFrame, keys: list[str] = ["module"]) -> DataFrame:
+    """Thresholds written once and sized for joining, for use in many joins."""
+    if f"_t_{keys[0]}" in thresholds.columns:
+        return thresholds
+    return bounded_broadcast(
+        thresholds.select(
+            *[F.col(k).alias(f"_t_{k}") for k in keys],
+            F.col("warning").alias("warning_threshold"),
+            F.col("critical").alias("critical_threshold"),
+        )
+    )
+
+
 def with_thresholds(
     df: DataFrame, thresholds: DataFrame, keys: list[str] = ["module"]
 ) -> DataFrame:
     """Each row's levels; NULL where its module has none."""
-    levels = thresholds.select(
-        *[F.col(k).alias(f"_t_{k}") for k in keys],
-        F.col("warning").alias("warning_threshold"),
-        F.col("critical").alias("critical_threshold"),
-    )
-    side = bounded_broadcast(levels)
+    side = ready_thresholds(thresholds, keys)
     pairs = [(k, f"_t_{k}") for k in keys]
     return df.join(side, same(df, side, pairs), "left").drop(*[b for _, b in pairs])
 

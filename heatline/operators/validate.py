@@ -13,44 +13,58 @@ _SHOWN_BY_WORKER = 5
 _SHOWN_BY_REQUEST = 20
 
 
-class _Payload:
-    """A JSON object column read as text fields, with its rule violations."""
+def _parsed(
+    df: DataFrame, value: str, required: list[str], extra: list[str] = []
+) -> DataFrame:
+    """Read a JSON object column as text fields and find its rule violations.
 
-    def __init__(self, value: Column, required: list[str], extra: list[str] = []):
-        layout = T.StructType(
-            [T.StructField(n, T.StringType()) for n in dict.fromkeys([*required, *extra])]
+    Built in steps, each used several times by the next, so that one record is
+    parsed once; its keys are read again only where some field came back empty.
+    """
+    layout = T.StructType(
+        [T.StructField(n, T.StringType()) for n in dict.fromkeys([*required, *extra])]
+    )
+    names = F.array(*[F.lit(n) for n in required])
+    none = F.array().cast("array<string>")
+    keys = F.map_keys(F.from_json(value, "map<string,string>"))
+    return (
+        df.withColumn("_fields", F.from_json(value, layout))
+        .withColumn("_texts", F.array(*[F.col("_fields").getField(n) for n in required]))
+        .withColumns(
+            {
+                "_numbers": F.transform("_texts", S.text_to_double),
+                "_empty": F.exists("_texts", lambda t: t.isNull()),
+            }
         )
-        self.fields = F.from_json(value, layout)
-        names = F.array(*[F.lit(n) for n in required])
-        texts = [self.fields.getField(n) for n in required]
-        self.numbers = {n: S.text_to_double(t) for n, t in zip(required, texts)}
-        # Keys are read again only where some field came back empty.
-        some_empty = F.array_contains(F.array(*[t.isNull() for t in texts]), True)
-        keys = F.map_keys(F.from_json(value, "map<string,string>"))
-        self.is_json = ~some_empty | F.get_json_object(value, "$").isNotNull() | keys.isNotNull()
-        self.is_object = ~some_empty | keys.isNotNull()
-        self.missing = F.when(
-            some_empty, F.array_except(names, F.coalesce(keys, F.array().cast("array<string>")))
-        ).otherwise(F.array().cast("array<string>"))
-        checks = F.array(
-            *[
-                F.struct(F.lit(n).alias("name"), v.isNull().alias("text"), S.is_finite(v).alias("ok"))
-                for n, v in self.numbers.items()
-            ]
+        .withColumn("_keys", F.when(F.col("_empty"), keys))
+        .withColumns(
+            {
+                "_is_object": ~F.col("_empty") | F.col("_keys").isNotNull(),
+                "_missing": F.when(
+                    F.col("_empty"), F.array_except(names, F.coalesce("_keys", none))
+                ).otherwise(none),
+                "_bad": F.array_position(F.transform("_numbers", S.is_finite), False),
+            }
         )
-        self.bad = F.get(F.filter(checks, lambda c: ~c["ok"]), F.lit(0))
-        self.any_text = F.exists(checks, lambda c: c["text"])
+    )
+
 
-    def values(self) -> Column:
-        return F.struct(*[v.alias(n) for n, v in self.numbers.items()])
+def _payload(required: list[str]) -> Column:
+    return F.struct(*[F.col("_numbers")[i].alias(n) for i, n in enumerate(required)])
+
+
+def _once(df: DataFrame, columns: dict[str, Column], keep: list[str]) -> DataFrame:
+    """``keep`` and ``columns``, behind a generator no later filter is pushed through.
+
+    Pushed down, a filter on the verdict would parse every record again.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline_outer(F.array(row)))
 
 
 def _shown(names: Column) -> Column:
-    return F.concat(
-        F.lit("["),
-        F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", "),
-        F.lit("]"),
-    )
+    quoted = F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'")))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
 def checked_records(df: DataFrame, required: list[str], value: str = "value") -> DataFrame:
@@ -59,42 +73,48 @@ def checked_records(df: DataFrame, required: list[str], value: str = "value") ->
     ``reject_reason`` is NULL for a valid record. Needs the envelope's
     ``timestamp`` as the arrival time.
     """
-    extra = [SOURCE_TIME, "timestamp", "_replay_id"]
-    payload = _Payload(F.col(value), required, extra)
+    parsed = _parsed(df, value, required, [SOURCE_TIME, "timestamp", "_replay_id"])
+    names = F.array(*[F.lit(n) for n in required])
+    bad = F.col("_bad") > 0
+    at = F.when(bad, F.col("_bad").cast("int"))
+    is_json = F.col("_is_object") | F.get_json_object(value, "$").isNotNull()
     reason = (
-        F.when(~payload.is_json, F.lit("Telemetry payload is not valid JSON"))
-        .when(~payload.is_object, F.lit("Telemetry payload must be a JSON object"))
+        F.when(~is_json, F.lit("Telemetry payload is not valid JSON"))
+        .when(~F.col("_is_object"), F.lit("Telemetry payload must be a JSON object"))
         .when(
-            F.size(payload.missing) > 0,
+            F.size("_missing") > 0,
             F.concat(
                 F.lit("Missing "),
-                F.size(payload.missing),
+                F.size("_missing"),
                 F.lit(" model features: "),
-                _shown(F.slice(payload.missing, 1, _SHOWN_BY_WORKER)),
+                _shown(F.slice("_missing", 1, _SHOWN_BY_WORKER)),
             ),
         )
         .when(
-            payload.bad.isNotNull(),
+            bad,
             F.concat(
                 F.lit("Feature "),
-                payload.bad["name"],
-                F.when(payload.bad["text"], F.lit(" is not numeric")).otherwise(
-                    F.lit(" must be finite")
+                F.get(names, at - 1),
+                F.when(F.get("_numbers", at - 1).isNull(), " is not numeric").otherwise(
+                    " must be finite"
                 ),
             ),
         )
     )
-    time = S.parse_time(
-        S.first_filled(payload.fields.getField(SOURCE_TIME), payload.fields.getField("timestamp"))
+    field = F.col("_fields").getField
+    timed = parsed.withColumn(
+        "_time", S.parse_time(S.first_filled(field(SOURCE_TIME), field("timestamp")))
     )
-    return df.withColumns(
+    return _once(
+        timed,
         {
-            "payload": payload.values(),
-            "replay_id": payload.fields.getField("_replay_id").try_cast("long"),
-            "event_time": F.coalesce(time, F.col("timestamp")),
-            "time_source": F.when(time.isNotNull(), "event").otherwise("ingest"),
+            "payload": _payload(required),
+            "replay_id": field("_replay_id").try_cast("long"),
+            "event_time": F.coalesce("_time", "timestamp"),
+            "time_source": F.when(F.col("_time").isNotNull(), "event").otherwise("ingest"),
             "reject_reason": reason,
-        }
+        },
+        df.columns,
     )
 
 
@@ -109,22 +129,22 @@ def split_valid(df: DataFrame, required: list[str], value: str = "value"):
 
 def checked_requests(df: DataFrame, required: list[str], value: str = "value") -> DataFrame:
     """Status, message and the missing names of a scoring request."""
-    payload = _Payload(F.col(value), required)
-    gone = F.size(payload.missing)
-    return df.withColumns(
+    parsed = _parsed(df, value, required)
+    gone, bad = F.size("_missing"), F.col("_bad") > 0
+    not_object = ~F.col("_is_object")
+    return _once(
+        parsed,
         {
-            "payload": payload.values(),
-            "status_code": F.when(~payload.is_object, 422)
-            .when(gone > 0, 400)
-            .when(payload.bad.isNotNull(), 422)
-            .otherwise(200),
-            "detail": F.when(~payload.is_object, "Request must be a JSON object.")
+            "payload": _payload(required),
+            "status_code": F.when(not_object, 422).when(gone > 0, 400).when(bad, 422).otherwise(200),
+            "detail": F.when(not_object, "Request must be a JSON object.")
             .when(gone > 0, "Missing required features")
-            .when(payload.any_text, "All model features must be numeric.")
-            .when(payload.bad.isNotNull(), "All model features must be finite."),
+            .when(F.exists("_numbers", lambda n: n.isNull()), "All model features must be numeric.")
+            .when(bad, "All model features must be finite."),
             "missing_count": gone,
-            "missing_features": F.slice(payload.missing, 1, _SHOWN_BY_REQUEST),
-        }
+            "missing_features": F.slice("_missing", 1, _SHOWN_BY_REQUEST),
+        },
+        df.columns,
     )
 
 

@@ -11,7 +11,7 @@ from importlib import import_module
 
 from heatline.plans.catalog.base import ORACLES, QUERIES
 
-for _part in ("timeline",):
+for _part in ("timeline", "features", "risk", "records", "streams"):
     import_module(f"heatline.plans.catalog.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]
