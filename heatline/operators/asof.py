@@ -34,7 +34,7 @@ def asof_nearest(
         return F.floor(micros / F.lit(width)).cast("long")
 
     t = F.unix_micros(right_time)
-    rank = F.struct(*(order or [value]))
+    rank = F.struct(*order) if len(order) > 1 else F.col((order or [value])[0])
     readings = (
         right.filter(F.col(right_time).isNotNull() & F.col(value).isNotNull())
         .groupBy(*on, t.alias("_t"))

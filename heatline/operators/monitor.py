@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from heatline.functions import scalars as S
 from heatline.operators.asof import asof_nearest
 from heatline.operators.project import active_alerts, of_module
+from heatline.operators.scale import BROADCAST_ROWS, same, stored
 from heatline.schema import HORIZON_SECONDS, TOLERANCE_SECONDS
 
 RECENT = ["event_time", "kafka_partition", "kafka_offset"]
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key, in one partially aggregated pass."""
+    """The newest row of each key; the first order column must be known.
+
+    The newest values come from a narrow hashed aggregate. Only rows that hold
+    one are read whole, from times the scan can prune by; ties go by the rest of
+    the order. With too many keys to broadcast it is one aggregate over all.
+    """
+    lead = order[0]
+    edges = stored(df.groupBy(*keys).agg(F.max(lead).alias("_newest")))
+    edges = edges.withColumnsRenamed({k: f"_e_{k}" for k in keys})
+    rows = df
+    if edges.count() <= BROADCAST_ROWS:
+        oldest = edges.agg(F.min("_newest")).head()[0]
+        edges = F.broadcast(edges)
+        recent = df if oldest is None else df.filter(F.col(lead) >= F.lit(oldest))
+        match = same(recent, edges, [(k, f"_e_{k}") for k in keys])
+        rows = recent.join(edges, match & (recent[lead] == edges["_newest"]), "left_semi")
     others = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*others), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)
+    return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)
 
 
 def latest_n(df: DataFrame, order: list[str], n: int = 50, most: int | None = 500) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatline.session import shared_folder
+from heatline.session import scratch_path, shared_folder
 
 ROWS_PER_CHUNK = 2_000_000
 BROADCAST_ROWS = 500_000
@@ -30,11 +30,22 @@ def rows_per_chunk(spark: SparkSession) -> int:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there."""
+    """A small result checkpointed in the shared folder, its lineage cut there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """A derived table of any size written to the shared folder and read back.
+
+    For tables read in several passes: each pass then reads only the columns it
+    needs instead of deriving the rows again.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if a count shows it is small; else leave the join to AQE."""
     df = stored(df)
@@ -78,6 +89,9 @@ def over_ordered(
     ``build`` gets a window spec and may look at most ``reach`` rows back.
     ``order`` starts with a timestamp or integer column without NULLs; further
     columns break ties. ``position`` names an optional 0-based row number.
+
+    Rows are counted before they are moved, so ``df`` is read at least twice:
+    give it a stored table, or a derived one through ``written``.
     """
     limit = max(limit or rows_per_chunk(df.sparkSession), reach, 1)
     routes = _routes(df, keys, order, reach, limit)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heatline.functions import scalars as S
 from heatline.operators.project import numeric_columns, probe_columns, with_any_module
-from heatline.operators.scale import over_ordered
+from heatline.operators.scale import over_ordered, written
 from heatline.schema import MODULES, POWER_CHANNELS, TOTAL_POWER
 
 
@@ -95,7 +95,7 @@ def modules_wide(
 
 def intervals(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """Seconds since the previous distinct time; NULL at each start."""
-    times = df.select(*keys, time).filter(F.col(time).isNotNull()).distinct()
+    times = written(df.select(*keys, time).filter(F.col(time).isNotNull()).distinct())
     return over_ordered(
         times, keys, [time], 1,
         lambda w: {"delta_seconds": S.seconds_between(F.col(time), F.lag(time).over(w))},

@@ -11,7 +11,9 @@ from importlib import import_module
 
 from heatline.plans.catalog.base import ORACLES, QUERIES
 
-for _part in ("timeline", "features", "records", "risk", "monitor", "models", "streams"):
+for _part in (
+    "timeline", "features", "records", "risk", "monitor", "models", "sinks", "streams",
+):
     import_module(f"heatline.plans.catalog.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heatline.operators.scale import written
 from heatline.operators.risk import classify, fit_thresholds
 from heatline.operators.timeline import resample_mean, resampled_modules
 from heatline.schema import MODULES, TOTAL_POWER
@@ -70,6 +71,15 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_mean(telemetry(spark, sf_dir), ["module"], "event_time", HOUR, ["value"])
 
 
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly table written out, for queries that read it more than once."""
+    return written(hourly(spark, sf_dir), "hourly")
+
+
+def wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(wide(spark, sf_dir), "wide")
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per six hours with all modules and a power column."""
     return resampled_modules(wide_rows(spark, sf_dir), [], "event_time", STEP)
@@ -86,7 +96,7 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prediction history: the hourly value is forecast and reading at once."""
-    rows = hourly(spark, sf_dir)
+    rows = series(spark, sf_dir)
     hour = F.expr("cast(unix_micros(event_time) div 3600000000 as bigint)")
     number = F.substring("module", 8, 1).cast("int")
     forecast = rows.select(
@@ -97,6 +107,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(forecast, fit_thresholds(rows))
 
 
+def prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a stored table, as monitoring reads find it."""
+    return written(predictions(spark, sf_dir), "predictions")
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Sums depend on row order in the last bits; results are compared rounded."""
     return df.withColumns({c: F.round(c, digits) for c in columns})

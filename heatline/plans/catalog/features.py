@@ -17,8 +17,10 @@ from heatline.plans.catalog.base import (
     hourly,
     query,
     rounded,
+    series,
     telemetry,
     wide,
+    wide_table,
 )
 from heatline.plans.training import feature_table
 from heatline.operators.targets import add_future_targets
@@ -46,7 +48,7 @@ def _lag(c: str, n: int, partition: str = "PARTITION BY module ") -> str:
 
 def _series(spark, sf, columns):
     """Long-table features under the given names, rounded."""
-    rows = hourly(spark, sf)
+    rows = series(spark, sf)
     out = over_ordered(rows, ["module"], ["event_time"], features.REACH, columns)
     return rounded(out, *[c for c in out.columns if c not in ("module", "event_time")])
 
@@ -94,7 +96,7 @@ def w4(spark, sf):
   round({_lag(TOTAL_POWER, 6, '')}, 6) AS {TOTAL_POWER}_Lag_6,
   round({TOTAL_POWER} - {_lag(TOTAL_POWER, 6, '')}, 6) AS {TOTAL_POWER}_Change_6 FROM w""")
 def w5(spark, sf):
-    rows = wide(spark, sf).select("event_time", TOTAL_POWER)
+    rows = wide_table(spark, sf).select("event_time", TOTAL_POWER)
     out = over_ordered(
         rows, [], ["event_time"], 6, lambda w: features.power_columns(w, TOTAL_POWER, False)
     )
@@ -103,7 +105,7 @@ def w5(spark, sf):
 
 @query("w6_moving_average", _select({"forecast": f"avg(value) {_frame(6)}"}))
 def w6(spark, sf):
-    out = baselines.moving_average(hourly(spark, sf), ["module"], columns=["value"])
+    out = baselines.moving_average(series(spark, sf), ["module"], columns=["value"])
     return rounded(out.withColumnRenamed("Predicted_value", "forecast"), "value", "forecast")
 
 
@@ -181,7 +183,7 @@ def _feature_query(serving: bool) -> str:
 
 
 def _features(spark, sf, mode):
-    out = features.add_features(wide(spark, sf), [], mode=mode)
+    out = features.add_features(wide_table(spark, sf), [], mode=mode)
     return rounded(out.withColumns({n: F.col(n).cast("double") for n in feature_names()}), *feature_names())
 
 
@@ -205,7 +207,7 @@ _SERIES = {
 
 @query("w14_series_features", _select(_SERIES))
 def w14_long(spark, sf):
-    out = features.add_series_features(hourly(spark, sf), ["module"], "event_time", "value")
+    out = features.add_series_features(series(spark, sf), ["module"], "event_time", "value")
     return rounded(out, "value", *_SERIES)
 
 
@@ -280,7 +282,7 @@ def u1(spark, sf):
   (SELECT count(*) FILTER (WHERE b.value IS NULL) FROM r a LEFT JOIN r b
     ON a.module = b.module AND a.event_time + INTERVAL 5 HOUR = b.event_time) AS missing_targets""")
 def a19(spark, sf):
-    rows = hourly(spark, sf)
+    rows = series(spark, sf)
     lagged = over_ordered(
         rows, ["module"], ["event_time"], features.REACH,
         lambda w: {f"lag_{n}": features.lagged(w, "value", n, False) for n in LAGS},

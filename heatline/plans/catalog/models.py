@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heatline.functions.scalars import improvement_percent
 from heatline.operators import baselines, metrics, ml, split
 from heatline.operators.features import add_series_features
-from heatline.operators.scale import stored
+from heatline.operators.scale import written
 from heatline.operators.targets import add_future_targets
 from heatline.operators.timeline import collapse_duplicates, resample_mean
 from heatline.plans.catalog.base import (
@@ -34,8 +34,11 @@ _FEATURES = [
 
 
 def _supervised(spark, sf) -> DataFrame:
-    return add_future_targets(
-        hourly(spark, sf), ["module"], columns=["value"], seconds=HORIZON, names=_TARGET
+    """Hourly values with the one five hours later; read by several passes."""
+    return written(
+        add_future_targets(
+            hourly(spark, sf), ["module"], columns=["value"], seconds=HORIZON, names=_TARGET
+        )
     )
 
 
@@ -97,7 +100,7 @@ def _test_rows(spark, sf) -> DataFrame:
     rows = baselines.moving_average(
         _supervised(spark, sf), ["module"], columns=["value"], prefix="Average_"
     )
-    return split.chronological_split(rows).filter("split = 'test'")
+    return split.chronological_split(written(rows)).filter("split = 'test'")
 
 
 @query("m2_moving_average", f"""WITH {_AVERAGED} SELECT module, event_time, round(actual, 6) AS actual,
@@ -150,7 +153,7 @@ def f10(spark, sf):
 def _training_rows(spark, sf) -> DataFrame:
     """Series features with a target, split by time; read by several fits."""
     rows = add_series_features(_supervised(spark, sf), ["module"], "event_time", "value")
-    return split.chronological_split(stored(rows.dropna(subset=[*_FEATURES, "target"])))
+    return split.chronological_split(written(rows.dropna(subset=[*_FEATURES, "target"])))
 
 
 def _fit(rows: DataFrame, estimator):

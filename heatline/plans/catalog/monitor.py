@@ -16,13 +16,14 @@ from heatline.plans.catalog.base import (
     TOLERANCE,
     events,
     hourly,
+    prediction_table,
     predictions,
     query,
     rounded,
     telemetry,
 )
 
-_ASOF = f"""{TL}, f AS (SELECT event_id, module, event_time, event_time + INTERVAL 5 HOUR AS target_time, value AS predicted FROM tl),
+ASOF = f"""{TL}, f AS (SELECT event_id, module, event_time, event_time + INTERVAL 5 HOUR AS target_time, value AS predicted FROM tl),
   b AS (SELECT f.*, e.event_time AS before_time, e.value AS before_value
     FROM f ASOF LEFT JOIN tl e ON f.module = e.module AND f.target_time >= e.event_time),
   n AS (SELECT b.*, e.event_time AS after_time, e.value AS after_value
@@ -33,7 +34,7 @@ _ASOF = f"""{TL}, f AS (SELECT event_id, module, event_time, event_time + INTERV
     CASE WHEN back <= 1800000000 AND (ahead IS NULL OR back <= ahead) THEN before_value WHEN ahead <= 1800000000 THEN after_value END AS matched_value FROM d)"""
 
 
-@query("j2_asof_nearest", f"WITH {_ASOF} SELECT event_id, module, matched_time, matched_value FROM m")
+@query("j2_asof_nearest", f"WITH {ASOF} SELECT event_id, module, matched_time, matched_value FROM m")
 def j2(spark, sf):
     rows = telemetry(spark, sf)
     forecasts = rows.select(
@@ -46,7 +47,7 @@ def j2(spark, sf):
     return out.drop("target_time")
 
 
-@query("j2_asof_nearest_split", f"WITH {_ASOF} SELECT event_id, module, matched_time, matched_value FROM m")
+@query("j2_asof_nearest_split", f"WITH {ASOF} SELECT event_id, module, matched_time, matched_value FROM m")
 def j2_split(spark, sf):
     # A small bound cuts busy stretches into parts, as a hot module needs.
     rows = telemetry(spark, sf)
@@ -71,7 +72,7 @@ _SCORES = """SELECT module, count(e) AS evaluated, count(*) - count(e) AS pendin
   round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse"""
 
 
-@query("a20_forecast_performance", f"""WITH {_ASOF}, e AS (SELECT module, matched_value - predicted AS e FROM m)
+@query("a20_forecast_performance", f"""WITH {ASOF}, e AS (SELECT module, matched_value - predicted AS e FROM m)
   {_SCORES} FROM e GROUP BY module
   UNION ALL {_SCORES.replace('SELECT module', "SELECT 'overall' AS module")} FROM e""")
 def a20(spark, sf):
@@ -79,7 +80,7 @@ def a20(spark, sf):
     return rounded(out, "mae", "rmse")
 
 
-_OLDEST = _ASOF.replace(
+_OLDEST = ASOF.replace(
     TL, TL.replace("FROM events", "FROM (SELECT * FROM events ORDER BY ts LIMIT 700)"), 1
 )
 
@@ -93,7 +94,7 @@ def a20_oldest(spark, sf):
     return rounded(out, "mae", "rmse")
 
 
-@query("x8_matured_batch", f"""WITH {_ASOF} SELECT module, event_time, target_time, matched_time, matched_value FROM m""")
+@query("x8_matured_batch", f"""WITH {ASOF} SELECT module, event_time, target_time, matched_time, matched_value FROM m""")
 def x8(spark, sf):
     out = monitor.scored_forecasts(_records(spark, sf), HORIZON, TOLERANCE)
     return out.select("module", "event_time", "target_time", "matched_time", "matched_value")
@@ -121,7 +122,7 @@ def _shown(df):
 
 @query("j3_latest_per_module", f"WITH {_LATEST} SELECT {_SHOWN} FROM latest")
 def j3(spark, sf):
-    return _shown(monitor.latest_per_key(predictions(spark, sf), ["module"], ["event_time"]))
+    return _shown(monitor.latest_per_key(prediction_table(spark, sf), ["module"], ["event_time"]))
 
 
 @query("j3_latest_event_per_user", """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts
@@ -131,7 +132,7 @@ def j3_users(spark, sf):
     return out.select("user_id", "event_id", "ts")
 
 
-@query("j6_status_performance", f"""WITH {_ASOF}, e AS (SELECT module, matched_value - predicted AS e FROM m),
+@query("j6_status_performance", f"""WITH {ASOF}, e AS (SELECT module, matched_value - predicted AS e FROM m),
   s AS ({_SCORES} FROM e WHERE module <> 'Module_8_Avg_Temp' GROUP BY module),
   latest AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY module ORDER BY event_time DESC) = 1)
   SELECT module, l.event_time, coalesce(evaluated, 0) AS evaluated, coalesce(pending, 0) AS pending, mae,
@@ -196,7 +197,7 @@ def t6(spark, sf):
   ORDER BY (risk_level <> 'CRITICAL'), substr(module, 8, 1)::INT""")
 def t8(spark, sf):
     hottest = monitor.latest_per_key(
-        predictions(spark, sf), ["module"], ["predicted_temperature", "event_time"]
+        prediction_table(spark, sf), ["module"], ["predicted_temperature", "event_time"]
     )
     return _shown(monitor.active_list(hottest))
 
@@ -223,7 +224,7 @@ _ALERTS = f"{EVENTS_RAISED}, al AS (SELECT *, risk_level AS alert_level FROM ev)
 
 
 def _alerts(spark, sf):
-    return alerts.alert_records(alerts.alert_events(predictions(spark, sf)))
+    return alerts.alert_records(alerts.alert_events(prediction_table(spark, sf)))
 
 
 @query("a13_alert_summary", f"""WITH {_ALERTS} SELECT count(*) AS total_alerts,
@@ -251,6 +252,6 @@ def a15(spark, sf):
   count(*) FILTER (WHERE risk_level = 'CRITICAL') AS critical FROM latest""")
 def a21(spark, sf):
     hottest = monitor.latest_per_key(
-        predictions(spark, sf), ["module"], ["predicted_temperature", "event_time"]
+        prediction_table(spark, sf), ["module"], ["predicted_temperature", "event_time"]
     )
     return monitor.active_counts(hottest)

@@ -17,10 +17,12 @@ from heatline.plans.catalog.base import (
     TL,
     hourly,
     lineitem,
+    prediction_table,
     predictions,
     query,
     risk_sql,
     rounded,
+    series,
     telemetry,
 )
 from heatline.schema import MODULES
@@ -29,7 +31,7 @@ from heatline.schema import MODULES
 @query("a10_thresholds", f"""WITH {THRESHOLDS} SELECT module, round(warning, 6) AS warning,
   round(critical, 6) AS critical, 'historical_percentiles' AS source FROM th""")
 def a10(spark, sf):
-    return rounded(risk.fit_thresholds(hourly(spark, sf)), "warning", "critical")
+    return rounded(risk.fit_thresholds(series(spark, sf)), "warning", "critical")
 
 
 @query("a10_thresholds_by_rank", f"""WITH {TL} SELECT module, round(quantile_cont(value, 0.95::DOUBLE), 6) AS warning,
@@ -51,7 +53,7 @@ _LEGACY = """SELECT module, CASE WHEN substr(module, 8, 1)::INT % 2 = 0 THEN war
     THEN 'Invalid warning/critical thresholds for ' || module END AS problem FROM raw""")
 def p10(spark, sf):
     number = S.module_number(F.col("module"))
-    fitted = risk.fit_thresholds(hourly(spark, sf))
+    fitted = risk.fit_thresholds(series(spark, sf))
     raw = fitted.select(
         "module",
         F.when(number % 2 == 0, F.col("warning")).alias("warning"),
@@ -76,7 +78,7 @@ def u3(spark, sf):
   SELECT r.module, event_time, round(warning, 6) AS warning_threshold,
   round(critical, 6) AS critical_threshold FROM r LEFT JOIN known USING (module)""")
 def j5(spark, sf):
-    rows = hourly(spark, sf)
+    rows = series(spark, sf)
     levels = risk.fit_thresholds(rows).filter(F.col("module") != MODULES[7])
     out = risk.with_thresholds(rows.drop("value"), levels)
     return rounded(out, "warning_threshold", "critical_threshold")
@@ -84,7 +86,7 @@ def j5(spark, sf):
 
 @query("j5_unknown_modules", f"""WITH {R} SELECT module, event_time FROM r WHERE module = 'Module_8_Avg_Temp'""")
 def j5_unknown(spark, sf):
-    rows = hourly(spark, sf)
+    rows = series(spark, sf)
     levels = risk.fit_thresholds(rows).filter(F.col("module") != MODULES[7])
     return risk.unknown_modules(rows.drop("value"), levels)
 
@@ -95,7 +97,7 @@ _DRIFT = "((epoch(event_time) // 3600) % 4)::DOUBLE * 0.6::DOUBLE"
 def _drifting(spark, sf):
     """Forecasts whose current reading lies up to 1.8 degrees below them."""
     hour = F.expr("cast(unix_micros(event_time) div 3600000000 % 4 as double)")
-    rows = hourly(spark, sf)
+    rows = series(spark, sf)
     return rows.select(
         "module", "event_time", F.col("value").alias("predicted_temperature"),
         F.when(F.col("module") != MODULES[1], F.col("value") - hour * F.lit(0.6)).alias(
@@ -112,7 +114,7 @@ _DRIFTED = f"""{THRESHOLDS}, dr AS (SELECT module, event_time, value AS predicte
   {risk_sql('predicted_temperature', '(predicted_temperature - current_temperature)')} AS risk_level
   FROM dr JOIN th USING (module)""")
 def f4(spark, sf):
-    levels = risk.fit_thresholds(hourly(spark, sf))
+    levels = risk.fit_thresholds(series(spark, sf))
     return risk.classify(_drifting(spark, sf), levels).select("module", "event_time", "risk_level")
 
 
@@ -135,14 +137,14 @@ def f8(spark, sf):
 
 @query("w12_risk_transitions", f"""WITH {CHANGES} SELECT module, event_time, previous_risk, risk_level FROM ch""")
 def w12(spark, sf):
-    out = alerts.risk_transitions(predictions(spark, sf))
+    out = alerts.risk_transitions(prediction_table(spark, sf))
     return out.select("module", "event_time", "previous_risk", "risk_level")
 
 
 @query("x5_alert_events_batch", f"""WITH {EVENTS_RAISED} SELECT module, event_time, event_type,
   risk_level AS severity, {MESSAGE} AS message FROM ev""")
 def x5(spark, sf):
-    out = alerts.alert_events(predictions(spark, sf))
+    out = alerts.alert_events(prediction_table(spark, sf))
     return out.select("module", "event_time", "event_type", "severity", "message")
 
 
@@ -153,7 +155,7 @@ def x5(spark, sf):
   coalesce(lag(late.risk_level) OVER (PARTITION BY late.module ORDER BY event_time), old.risk_level, 'NORMAL') AS previous_risk
   FROM late LEFT JOIN old USING (module)""")
 def x6(spark, sf):
-    rows = predictions(spark, sf)
+    rows = prediction_table(spark, sf)
     restart = F.lit("2024-01-15").cast("timestamp")
     before = monitor.latest_per_key(
         rows.filter(F.col("event_time") < restart).select("module", "event_time", "risk_level"),
@@ -165,7 +167,7 @@ def x6(spark, sf):
 
 @query("f6_messages", f"""WITH {EVENTS_RAISED} SELECT module, event_time, {MESSAGE} AS message FROM ev""")
 def f6(spark, sf):
-    return alerts.alert_events(predictions(spark, sf)).select("module", "event_time", "message")
+    return alerts.alert_events(prediction_table(spark, sf)).select("module", "event_time", "message")
 
 
 @query("p16_active_alerts", f"""WITH {PREDICTED} SELECT module, event_time, risk_level FROM p
@@ -177,7 +179,7 @@ def p16(spark, sf):
 @query("p18_alert_history", f"""WITH {EVENTS_RAISED} SELECT event_time AS "Timestamp", module AS "Module",
   event_type AS "Event", round(predicted_temperature, 6) AS "5-Min Forecast °C", risk_level AS "Severity" FROM ev""")
 def p18(spark, sf):
-    raised = alerts.alert_events(predictions(spark, sf))
+    raised = alerts.alert_events(prediction_table(spark, sf))
     new = raised.filter(F.col("module") < MODULES[4])
     old = alerts.alert_records(raised.filter(F.col("module") >= MODULES[4]))
     out = project.alert_history(project.joined_history(new, old))
@@ -189,7 +191,7 @@ def p18(spark, sf):
   CASE WHEN event_type = 'TEMPERATURE_ALERT' THEN risk_level END AS alert_level,
   CASE WHEN event_type = 'TEMPERATURE_RECOVERY' THEN risk_level END AS severity FROM ev""")
 def u5(spark, sf):
-    raised = alerts.alert_events(predictions(spark, sf)).select(
+    raised = alerts.alert_events(prediction_table(spark, sf)).select(
         "module", "event_time", "event_type", "severity"
     )
     new = raised.filter(F.col("event_type") == alerts.RECOVERY)
@@ -216,7 +218,7 @@ def p19(spark, sf):
   {risk_sql("format('{:.4f}', value + 3.0::DOUBLE)::DOUBLE", "format('{:.4f}', value + 3.0::DOUBLE)::DOUBLE - value")} AS risk_level
   FROM r JOIN th USING (module) WHERE module = 'Module_6_Avg_Temp'""")
 def p19_risk(spark, sf):
-    rows = hourly(spark, sf)
+    rows = series(spark, sf)
     m6 = project.of_module(rows, MODULES[5]).withColumnsRenamed({"value": MODULES[5]})
     shifted = whatif.shift_module(m6, " critical ").join(
         m6.select("event_time", F.col(MODULES[5]).alias("current_temperature")), "event_time"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatline.operators import ml
+from heatline.operators.monitor import latest_per_key
+from heatline.operators.targets import add_future_targets
 from heatline.operators.validate import checked_records
 from heatline.plans.catalog.base import (
     EVENTS,
@@ -14,21 +16,26 @@ from heatline.plans.catalog.base import (
     HOUR,
     MESSAGE,
     TL,
+    PREDICTED,
+    R,
     TOLERANCE,
     WIDE,
     module_name,
+    prediction_table,
     predictions,
     query,
     risk_sql,
     rounded,
+    series,
     wide,
 )
 from heatline.plans.catalog.features import _feature_sql
+from heatline.plans.catalog.monitor import ASOF
 from heatline.plans.catalog.records import _KEPT, _KINDS, _REASON_SQL, REQUIRED, messages
 from heatline.schema import feature_names
 from heatline.session import scratch_path
 from heatline.sources.telemetry import file_messages, replay_stream
-from heatline.streaming.alerts import alert_stream
+from heatline.streaming.alerts import alert_stream, risk_changes
 from heatline.streaming.features import feature_stream
 from heatline.streaming.ingest import deduplicated, scoring_stream
 from heatline.streaming.timeline import matured_forecasts, resample_stream
@@ -129,6 +136,37 @@ def x5(spark, sf):
     )
 
 
+@query("x6_restored_stream", f"""WITH {PREDICTED}, late AS (SELECT * FROM p WHERE event_time >= TIMESTAMP '2024-01-15'),
+  old AS (SELECT module, arg_max(risk_level, event_time) AS risk_level FROM p
+    WHERE event_time < TIMESTAMP '2024-01-15' GROUP BY module),
+  c AS (SELECT late.module, event_time, late.risk_level,
+    coalesce(lag(late.risk_level) OVER (PARTITION BY late.module ORDER BY event_time), old.risk_level, 'NORMAL') AS previous_risk
+    FROM late LEFT JOIN old USING (module))
+  SELECT * FROM c WHERE risk_level <> previous_risk""")
+def x6(spark, sf):
+    rows = prediction_table(spark, sf).select("module", "event_time", "risk_level")
+    restart = F.lit("2024-01-15").cast("timestamp")
+    before = latest_per_key(
+        rows.filter(F.col("event_time") < restart), ["module"], ["event_time"]
+    ).drop("event_time")
+    after = replayed(rows.filter(F.col("event_time") >= restart))
+    return finished(risk_changes(after, initial=before))
+
+
+@query("x12_streaming_inference", f"""WITH {R}, pr AS (SELECT a.module, a.event_time, b.value AS actual, a.value AS predicted
+  FROM r a JOIN r b ON a.module = b.module AND a.event_time + INTERVAL 5 HOUR = b.event_time),
+  fit AS (SELECT regr_slope(actual, predicted) AS k, regr_intercept(actual, predicted) AS c FROM pr)
+  SELECT module, event_time, round(k * value + c, 4) AS predicted FROM r, fit""")
+def x12(spark, sf):
+    rows = series(spark, sf)
+    paired = add_future_targets(
+        rows, ["module"], columns=["value"], seconds=HORIZON, names={"value": "target"}
+    )
+    model = ml.fit_per_target(paired, ["value"], ["target"], ["value"])
+    out = finished(ml.score(replayed(rows), model))
+    return rounded(out.withColumnRenamed("Predicted_value", "predicted").drop("value"), "predicted", digits=4)
+
+
 @query("x7_event_time", f"""WITH {TL} SELECT event_id, event_id AS replay_id, event_time FROM tl""")
 def x7(spark, sf):
     sent = event_stream(spark, sf).select(
@@ -142,7 +180,10 @@ def x7(spark, sf):
     return finished(checked_records(sent, ["a"]).select("event_id", "replay_id", "event_time"))
 
 
-@query("x8_matured_forecasts")
+# A forecast is sent once its tolerance lies behind the watermark, which trails
+# the newest reading by the allowed delay.
+@query("x8_matured_forecasts", f"""WITH {ASOF} SELECT module, event_time, target_time, predicted AS predicted_temperature,
+  matched_time, matched_value FROM m WHERE target_time <= (SELECT max(event_time) FROM tl) - INTERVAL 31 MINUTE""")
 def x8(spark, sf):
     def source(name):
         return event_stream(spark, sf).select(

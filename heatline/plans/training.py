@@ -15,7 +15,7 @@ from heatline.operators.project import (
     probe_columns,
     target_names,
 )
-from heatline.operators.scale import stored
+from heatline.operators.scale import written
 from heatline.operators.split import chronological_split
 from heatline.operators.targets import add_future_targets
 from heatline.operators.timeline import collapse_duplicates, module_table, resampled_modules
@@ -54,7 +54,7 @@ def feature_table(
     joined table is written once: windows at scale read it more than once.
     """
     targets = target_names(names)
-    supervised = stored(add_future_targets(modules, keys, columns=names, seconds=horizon_seconds))
+    supervised = written(add_future_targets(modules, keys, columns=names, seconds=horizon_seconds))
     rows = add_features(supervised, keys, modules=names, mode=mode, limit=limit)
     inputs = [*feature_names(names, TOTAL_POWER), *targets.values()]
     return as_float32(complete_rows(rows, inputs), inputs)

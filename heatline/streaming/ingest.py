@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +16,24 @@ from heatline.plans.live import decisions
 from heatline.schema import MODULES
 from heatline.sources.sinks import append_records
 
+_LISTED_DAYS = 366
+
 
 def stored_range(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame | None:
     """The stored days that ``rows`` span: the only ones a replay can repeat.
 
     Event time comes from the message or the broker, so it is the same in every
-    delivery, and the lookup reads those partitions instead of the whole table.
+    delivery, and the lookup lists and reads those days instead of the table.
     """
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException:
-        return None
     first, last = rows.agg(F.to_date(F.min("event_time")), F.to_date(F.max("event_time"))).head()
     if first is None:
         return None
+    days = [str(first + timedelta(days=i)) for i in range((last - first).days + 1)]
+    wanted = f"{path}/event_date={{{','.join(days)}}}" if len(days) <= _LISTED_DAYS else path
+    try:
+        table = spark.read.option("basePath", path).parquet(wanted)
+    except AnalysisException:
+        return None
     return table.filter(F.col("event_date").between(F.lit(first), F.lit(last)))
 
 
