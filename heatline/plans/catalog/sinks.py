@@ -24,7 +24,7 @@ from heatline.plans.catalog.base import (
 from heatline.schema import ALERTS, PREDICTIONS, SYSTEM_EVENTS
 from heatline.session import scratch_path
 from heatline.sources import sinks
-from heatline.sources.telemetry import read_telemetry, read_thresholds
+from heatline.sources.telemetry import read_records, read_telemetry, read_thresholds
 from heatline.streaming.ingest import store_events, store_predictions
 
 
@@ -38,12 +38,14 @@ def s3(spark, sf):
     )
 
 
-@query("s5_dataset", "SELECT event_id, ts AS event_time, value, ts::DATE AS event_date FROM events")
+@query("s5_dataset", """SELECT event_id, ts AS event_time, value,
+  strftime(ts, '%Y-%m-%d') AS event_date FROM events""")
 def s5(spark, sf):
     path = scratch_path(spark, "dataset")
     rows = events(spark, sf).select("event_id", F.col("ts").alias("event_time"), "value")
     sinks.write_dataset(rows, path)
-    return spark.read.schema("event_id long, event_time timestamp, value double, event_date date").parquet(path)
+    layout = "event_id long, event_time timestamp, value double, event_date string"
+    return spark.read.schema(layout).parquet(path)
 
 
 @query("s7_report", f"WITH {TL} SELECT module, count(DISTINCT channel) AS channels FROM tl GROUP BY module")
@@ -71,7 +73,7 @@ def s10(spark, sf):
     rows = prediction_table(spark, sf).select(*PREDICTIONS.names)
     store_predictions(rows, path)
     store_predictions(rows, path)
-    out = spark.read.schema(PREDICTIONS).parquet(path).drop(
+    out = read_records(spark, path, PREDICTIONS).drop(
         "temperature_delta", "warning_threshold", "critical_threshold"
     )
     return rounded(out, "current_temperature", "predicted_temperature")
@@ -83,7 +85,7 @@ def s11(spark, sf):
     path = scratch_path(spark, "alerts")
     raised = alerts.alert_records(alerts.alert_events(prediction_table(spark, sf)))
     sinks.append_records(raised.select(*ALERTS.names), path)
-    return spark.read.schema(ALERTS).parquet(path).select(
+    return read_records(spark, path, ALERTS).select(
         "event_time", "kafka_partition", "kafka_offset", "module", "alert_level", "event_type", "message"
     )
 
@@ -99,7 +101,7 @@ def s12(spark, sf):
     )
     store_events(rows, path)
     store_events(rows, path)
-    return spark.read.schema(SYSTEM_EVENTS).parquet(path)
+    return read_records(spark, path, SYSTEM_EVENTS)
 
 
 @query("s13_json_events", f"""WITH {EVENTS_RAISED} SELECT strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS event_time,

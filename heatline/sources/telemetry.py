@@ -57,6 +57,11 @@ def replay_stream(
     return reader.load(path)
 
 
+def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A record table without its partition column; filter on time to prune days."""
+    return spark.read.parquet(path).select(*schema.names)
+
+
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of modules as rows, still unchecked."""
     names = ("warning", "critical", "Warning_95", "Critical_99", "source")
