@@ -134,7 +134,7 @@ def row_std(columns: list[Column], ddof: int) -> Column:
 
 
 def fixed_text(number: Column, digits: int) -> Column:
-    """Decimal text of the exact binary value, ties to even."""
+    """Decimal text of the exact binary value, ties to even; for values that keep a digit."""
     return F.call_function("format_number", number, F.lit("0." + "0" * digits))
 
 

@@ -183,7 +183,7 @@ def x7(spark, sf):
 # A forecast is sent once its tolerance lies behind the watermark, which trails
 # the newest reading by the allowed delay.
 @query("x8_matured_forecasts", f"""WITH {ASOF} SELECT module, event_time, target_time, predicted AS predicted_temperature,
-  matched_time, matched_value FROM m WHERE target_time <= (SELECT max(event_time) FROM tl) - INTERVAL 31 MINUTE""")
+  matched_time, matched_value FROM m WHERE target_time < (SELECT max(event_time) FROM tl) - INTERVAL 31 MINUTE""")
 def x8(spark, sf):
     def source(name):
         return event_stream(spark, sf).select(
