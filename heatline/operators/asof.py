@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from heatline.operators.scale import bounded_broadcast, rows_per_chunk, same
 
 _CHUNK_TOLERANCES = 16
+_STRETCH_ROWS = 1 << 15
 
 
 def asof_nearest(
@@ -20,26 +21,35 @@ def asof_nearest(
     ``order`` ranks right rows of one time: the last is met from later rows, the
     first from earlier ones.
 
-    Time is cut into stretches of 16 tolerances. A right row also goes to the
-    neighbour its tolerance reaches into, so each stretch is solved alone by a
-    sort and a running value in each direction. A stretch with too many left
-    rows is split by row hash, its right rows (one per distinct time) repeated.
+    Time is cut into stretches of some share of the rows, at least 16 tolerances
+    long. A right row also goes to the neighbour its tolerance reaches into, so
+    each stretch is solved alone by a sort and a running value in each
+    direction. Where a count finds a stretch of one key with too many left rows,
+    it is split by row hash and its right rows are repeated; with too many right
+    rows, they are first reduced to one per time.
     """
     limit = limit or rows_per_chunk(left.sparkSession)
     tolerance = int(round(tolerance_seconds * 1_000_000))
-    width = max(1, tolerance * _CHUNK_TOLERANCES)
     columns = left.columns
+    sizes = [_extent(left, left_time), _extent(right, right_time)]
+    width = _stretch_width(sizes, tolerance)
 
     def stretch(micros: Column) -> Column:
         return F.floor(micros / F.lit(width)).cast("long")
 
-    t = F.unix_micros(right_time)
-    rank = F.struct(*order) if len(order) > 1 else F.col((order or [value])[0])
+    ties = order or [value]
     readings = (
         right.filter(F.col(right_time).isNotNull() & F.col(value).isNotNull())
-        .groupBy(*on, t.alias("_t"))
-        .agg(F.min_by(value, rank).alias("_early"), F.max_by(value, rank).alias("_late"))
+        .withColumn("_t", F.unix_micros(right_time))
+        .select(
+            *on, "_t", F.col(value).alias("_early"), F.col(value).alias("_late"),
+            *[F.col(c).alias(f"_o{i}") for i, c in enumerate(ties)],
+        )
     )
+    own = readings.withColumn("_stretch", stretch(F.col("_t")))
+    if sizes[1][0] > limit and _shares(own, [*on, "_stretch"], limit) is not None:
+        # Too many in one stretch: keep only what each distinct time can give.
+        readings = _per_time(readings, on, len(ties))
     reach = F.sequence(stretch(F.col("_t") - tolerance), stretch(F.col("_t") + tolerance))
     readings = readings.withColumn("_stretch", F.explode(reach))
     # A left row without a time matches nothing; a hash keeps such rows spread.
@@ -48,8 +58,8 @@ def asof_nearest(
         "_stretch", F.coalesce(stretch(F.col("_t")), spare)
     )
 
-    part = [*on, "_stretch", "_share"]
-    shares = _shares(wanted, [*on, "_stretch"], limit)
+    part = ["_stretch", *on, "_share"]
+    shares = _shares(wanted, [*on, "_stretch"], limit) if sizes[0][0] > limit else None
     if shares is None:
         wanted, readings = (d.withColumn("_share", F.lit(0)) for d in (wanted, readings))
     else:
@@ -68,34 +78,69 @@ def asof_nearest(
             .drop(*drop)
         )
 
+    names = [f"_o{i}" for i in range(len(ties))]
+    kinds = dict(readings.dtypes)
+    seen = ["_early", "_late", *names]
     both = wanted.select(
         *part, "_t", F.lit(1).alias("_side"), F.struct(*columns).alias("_row"),
-        F.lit(None).cast("struct<t:bigint,v:double>").alias("_before"),
-        F.lit(None).cast("struct<t:bigint,v:double>").alias("_after"),
+        F.lit(None).cast("long").alias("_at"),
+        *[F.lit(None).cast(kinds[n]).alias(n) for n in seen],
     ).unionByName(
-        readings.select(
-            *part, "_t", F.lit(0).alias("_side"),
-            F.struct(F.col("_t").alias("t"), F.col("_late").cast("double").alias("v")).alias("_before"),
-            F.struct(F.col("_t").alias("t"), F.col("_early").cast("double").alias("v")).alias("_after"),
-        ),
+        readings.select(*part, "_t", F.lit(0).alias("_side"), F.col("_t").alias("_at"), *seen),
         allowMissingColumns=True,
     )
     running = Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, 0)
+    onward = running.orderBy("_t", "_side", *names)
+    backward = running.orderBy(F.desc("_t"), "_side", *[F.desc(n) for n in names])
+
+    def newest(name: str, window: WindowSpec) -> Column:
+        return F.last(name, ignorenulls=True).over(window)
+
     matched = both.withColumns(
         {
-            "_before": F.last("_before", ignorenulls=True).over(running.orderBy("_t", "_side")),
-            "_after": F.last("_after", ignorenulls=True).over(
-                running.orderBy(F.desc("_t"), "_side")
-            ),
+            "_back_t": newest("_at", onward),
+            "_back_v": newest("_late", onward),
+            "_ahead_t": newest("_at", backward),
+            "_ahead_v": newest("_early", backward),
         }
     ).filter("_side = 1")
-    back, ahead = F.col("_t") - F.col("_before.t"), F.col("_after.t") - F.col("_t")
+    back, ahead = F.col("_t") - F.col("_back_t"), F.col("_ahead_t") - F.col("_t")
     use_back = (back <= tolerance) & (F.coalesce(back <= ahead, F.lit(True)))
-    best = F.when(use_back, F.col("_before")).when(ahead <= tolerance, F.col("_after"))
-    return matched.select("_row.*", best.alias("_best")).select(
-        *columns,
-        F.timestamp_micros("_best.t").alias("matched_time"),
-        F.col("_best.v").alias("matched_value"),
+
+    def best(which: str) -> Column:
+        return F.when(use_back, F.col(f"_back_{which}")).when(
+            ahead <= tolerance, F.col(f"_ahead_{which}")
+        )
+
+    return matched.select(
+        "_row.*",
+        F.timestamp_micros(best("t")).alias("matched_time"),
+        best("v").alias("matched_value"),
+    )
+
+
+def _extent(df: DataFrame, time: str) -> tuple[int, int, int]:
+    """Rows, first and last time; one narrow scan."""
+    t = F.unix_micros(time)
+    n, first, last = df.agg(F.count(t), F.min(t), F.max(t)).head()
+    return n, first or 0, last or 0
+
+
+def _stretch_width(sizes: list[tuple[int, int, int]], tolerance: int) -> int:
+    """Microseconds that hold some thousand rows on average: a window's buffer."""
+    rows = sum(n for n, _, _ in sizes)
+    span = max(last - first for _, first, last in sizes) + 1
+    return max(1, tolerance * _CHUNK_TOLERANCES, span * _STRETCH_ROWS // max(rows, 1))
+
+
+def _per_time(readings: DataFrame, on: list[str], ties: int) -> DataFrame:
+    """One row per distinct time, with its first and its last value."""
+    names = [f"_o{i}" for i in range(ties)]
+    rank = F.struct(*names) if ties > 1 else F.col(names[0])
+    return readings.groupBy(*on, "_t").agg(
+        F.min_by("_early", rank).alias("_early"),
+        F.max_by("_late", rank).alias("_late"),
+        *[F.max(n).alias(n) for n in names],
     )
 
 

@@ -25,7 +25,7 @@ def linear_regression() -> LinearRegression:
 
 
 def boosted_trees(iterations: int = 250) -> GBTRegressor:
-    """M4: the reference settings; trees differ from other boosting libraries'."""
+    """M4: 250 small steps on rows and columns sampled at 85 %."""
     return GBTRegressor(
         maxIter=iterations, stepSize=0.05, maxDepth=6, minInstancesPerNode=3,
         subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=42,

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from heatline.session import scratch_path, shared_folder
 
-ROWS_PER_CHUNK = 2_000_000
-BROADCAST_ROWS = 500_000
+ROWS_PER_CHUNK = 1_000_000
+BROADCAST_ROWS = 2_000_000
 _REFINE_BITS = 8
 _BINS = 1024
 
@@ -119,7 +119,8 @@ def over_ordered(
         ).select(*names, *columns)
     spread = routed.select(*names, F.explode(F.coalesce(*columns)).alias("_route"))
     spread = spread.select(*names, "_route.*")
-    window = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    # The chunk comes first: as a number it sorts by prefix, a name does not.
+    window = Window.partitionBy("_chunk", *keys).orderBy(*order)
     added = build(window)
     if position:
         added[position] = F.col("_start") + F.row_number().over(window) - 1
@@ -275,42 +276,56 @@ def values_at_ranks(
         groups.select("*", wanted.alias("_w")).select(*keys, "_n", "_lo", "_hi", "_w.*")
     )
     open_ranges = f"_n > {limit} AND _lo < _hi"
+    span = [*keys, "_lo", "_hi"]
+    inside = [F.col(c) for c in span]
 
-    def candidates(state: DataFrame) -> DataFrame:
+    def members(ranges: DataFrame) -> DataFrame:
+        """The rows inside each distinct value range."""
         pairs = [(k, f"_g_{k}") for k in keys]
-        renamed = state.withColumnsRenamed(dict(pairs))
-        side = bounded_broadcast(renamed)
+        side = bounded_broadcast(ranges.select(*span).distinct().withColumnsRenamed(dict(pairs)))
         hit = same(rows, side, pairs) & (rows["_v"] >= side["_lo"]) & (rows["_v"] <= side["_hi"])
         return rows.join(side, hit).drop(*[b for _, b in pairs])
 
-    group = [*keys, "rank_name"]
+    def at_ranges(ranks: DataFrame, found: DataFrame, test: str) -> DataFrame:
+        """Ranks joined to what was found in their range."""
+        pairs = [(c, f"_f{c}") for c in span]
+        other = found.withColumnsRenamed(dict(pairs))
+        return ranks.join(other, same(ranks, other, pairs) & F.expr(test))
+
     while not state.filter(open_ranges).isEmpty():
         bin_of = F.least(
             F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _BINS),
             F.lit(_BINS - 1),
         )
+        below = Window.partitionBy(*inside).orderBy("_bin")
         bins = (
-            candidates(state.filter(open_ranges))
-            .groupBy(*group, "_rank", bin_of.alias("_bin"))
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        )
-        below = (
-            Window.partitionBy(*[F.col(c) for c in group])
-            .orderBy("_bin")
-            .rowsBetween(Window.unboundedPreceding, -1)
+            members(state.filter(open_ranges))
+            .groupBy(*span, bin_of.alias("_bin"))
+            .agg(
+                F.count(F.lit(1)).alias("_count"),
+                F.min("_v").alias("_low"),
+                F.max("_v").alias("_high"),
+            )
+            .withColumn(
+                "_below",
+                F.coalesce(
+                    F.sum("_count").over(below.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+                ),
+            )
         )
-        bins = bins.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-        narrowed = bins.filter("_rank >= _below AND _rank < _below + _n").select(
-            *keys, "_n", "_lo", "_hi", "rank_name", (F.col("_rank") - F.col("_below")).alias("_rank")
+        narrowed = at_ranges(
+            state.filter(open_ranges), bins, "_rank >= _below AND _rank < _below + _count"
+        ).select(
+            *keys, F.col("_count").alias("_n"), F.col("_low").alias("_lo"),
+            F.col("_high").alias("_hi"), "rank_name", (F.col("_rank") - F.col("_below")).alias("_rank"),
         )
         state = stored(state.filter(f"NOT ({open_ranges})").unionByName(narrowed))
 
-    flat = state.filter("_lo = _hi").select(*group, F.col("_lo").alias("rank_value"))
-    ascending = Window.partitionBy(*[F.col(c) for c in group]).orderBy("_v")
-    picked = (
-        candidates(state.filter("_lo < _hi"))
-        .withColumn("_at", F.row_number().over(ascending) - 1)
-        .filter("_at = _rank")
-        .select(*group, F.col("_v").alias("rank_value"))
+    flat = state.filter("_lo = _hi").select(*keys, "rank_name", F.col("_lo").alias("rank_value"))
+    rest = state.filter("_lo < _hi")
+    ascending = Window.partitionBy(*inside).orderBy("_v")
+    placed = members(rest).withColumn("_at", F.row_number().over(ascending) - 1)
+    picked = at_ranges(rest, placed, "_rank = _at").select(
+        *keys, "rank_name", F.col("_v").alias("rank_value")
     )
     return flat.unionByName(picked)

@@ -81,7 +81,7 @@ def a20(spark, sf):
 
 
 _OLDEST = ASOF.replace(
-    TL, TL.replace("FROM events", "FROM (SELECT * FROM events ORDER BY ts LIMIT 700)"), 1
+    TL, TL.replace("FROM events", "FROM (SELECT * FROM events ORDER BY ts LIMIT 20000)"), 1
 )
 
 
@@ -90,7 +90,7 @@ _OLDEST = ASOF.replace(
   UNION ALL {_SCORES.replace('SELECT module', "SELECT 'overall' AS module")} FROM e""")
 def a20_oldest(spark, sf):
     # Scoring the oldest rows only is the feature: the reports' bounded scan.
-    out = monitor.forecast_performance(_records(spark, sf), HORIZON, TOLERANCE, oldest=700)
+    out = monitor.forecast_performance(_records(spark, sf), HORIZON, TOLERANCE, oldest=20_000)
     return rounded(out, "mae", "rmse")
 
 

@@ -63,14 +63,15 @@ def p10(spark, sf):
     return rounded(threshold_rows(raw).drop("source"), "warning", "critical")
 
 
-@query("u3_module_set", f"""WITH {TL}, a AS (SELECT DISTINCT module FROM tl WHERE user_id % 8 <> 3),
-  b AS (SELECT DISTINCT module FROM tl WHERE user_id % 8 <> 5)
-  SELECT module, 'left' AS side FROM a WHERE module NOT IN (SELECT module FROM b)
-  UNION ALL SELECT module, 'right' FROM b WHERE module NOT IN (SELECT module FROM a)""")
+@query("u3_key_differences", """WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type FROM events),
+  a AS (SELECT DISTINCT hour FROM h WHERE event_type = 'error'),
+  b AS (SELECT DISTINCT hour FROM h WHERE event_type = 'purchase')
+  SELECT hour, 'left' AS side FROM a WHERE hour NOT IN (SELECT hour FROM b)
+  UNION ALL SELECT hour, 'right' FROM b WHERE hour NOT IN (SELECT hour FROM a)""")
 def u3(spark, sf):
-    rows = telemetry(spark, sf)
+    rows = telemetry(spark, sf).withColumn("hour", F.date_trunc("hour", "event_time"))
     return key_differences(
-        rows.filter("user_id % 8 <> 3"), rows.filter("user_id % 8 <> 5"), "module"
+        rows.filter("channel = 'error'"), rows.filter("channel = 'purchase'"), "hour"
     )
 
 
