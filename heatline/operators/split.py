@@ -17,7 +17,10 @@ def split_times(
     df: DataFrame, time: str = "event_time", fractions: tuple[float, float] = SPLIT_FRACTIONS,
     limit: int | None = None,
 ) -> list[datetime]:
-    """The first time of validation and of test, found by rank without a sort."""
+    """The first time of validation and of test, found by rank without a sort.
+
+    Empty for a table without rows.
+    """
     micros = df.select(F.unix_micros(time).alias("_t"))
 
     def ranks(n):
@@ -27,9 +30,7 @@ def split_times(
     found = values_at_ranks(micros, [], "_t", ranks, limit)
     rows = found.withColumn("at", F.timestamp_micros(F.col("rank_value").cast("long"))).collect()
     at = {r["rank_name"]: r["at"] for r in rows}
-    if not at:
-        raise ValueError("Cannot split a table without rows.")
-    return [at[f"cut{i}"] for i in range(len(fractions))]
+    return [at[f"cut{i}"] for i in range(len(fractions))] if at else []
 
 
 def chronological_split(
@@ -41,7 +42,10 @@ def chronological_split(
     The two cut times are literals: filtering on one split is a time-range
     filter that reaches the scan, and no row is moved.
     """
-    validation, test = [F.lit(at) for at in split_times(df, time, fractions, limit)]
+    cuts = split_times(df, time, fractions, limit)
+    if not cuts:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    validation, test = [F.lit(at) for at in cuts]
     label = (
         F.when(F.col(time) < validation, NAMES[0])
         .when(F.col(time) < test, NAMES[1])

@@ -50,12 +50,12 @@ def _series(spark, sf, columns):
     """Long-table features under the given names, rounded."""
     rows = series(spark, sf)
     out = over_ordered(rows, ["module"], ["event_time"], features.REACH, columns)
-    return rounded(out, *[c for c in out.columns if c not in ("module", "event_time")])
+    return rounded(out, *[c for c in out.columns if c not in ("module", "event_time")], digits=9)
 
 
 def _select(parts: dict[str, str]) -> str:
-    cells = ", ".join(f"round({sql}, 6) AS {name}" for name, sql in parts.items())
-    return f"WITH {R} SELECT module, event_time, round(value, 6) AS value, {cells} FROM r"
+    cells = ", ".join(f"round({sql}, 9) AS {name}" for name, sql in parts.items())
+    return f"WITH {R} SELECT module, event_time, round(value, 9) AS value, {cells} FROM r"
 
 
 @query("w1_lags", _select({f"lag_{n}": _lag("value", n) for n in LAGS}))
@@ -106,7 +106,7 @@ def w5(spark, sf):
 @query("w6_moving_average", _select({"forecast": f"avg(value) {_frame(6)}"}))
 def w6(spark, sf):
     out = baselines.moving_average(series(spark, sf), ["module"], columns=["value"])
-    return rounded(out.withColumnRenamed("Predicted_value", "forecast"), "value", "forecast")
+    return rounded(out.withColumnRenamed("Predicted_value", "forecast"), "value", "forecast", digits=9)
 
 
 @query("w8_serving_lags", _select({f"lag_{n}": f"coalesce({_lag('value', n)}, value)" for n in LAGS}))
@@ -179,12 +179,13 @@ def _feature_sql(serving: bool) -> dict[str, str]:
 def _feature_query(serving: bool) -> str:
     cells = _feature_sql(serving)
     return f"""WITH {WIDE} SELECT event_time,
-      {', '.join(f'round(({cells[n]})::DOUBLE, 6) AS {n}' for n in feature_names())} FROM w"""
+      {', '.join(f'round(({cells[n]})::DOUBLE, 9) AS {n}' for n in feature_names())} FROM w"""
 
 
 def _features(spark, sf, mode):
     out = features.add_features(wide_table(spark, sf), [], mode=mode)
-    return rounded(out.withColumns({n: F.col(n).cast("double") for n in feature_names()}), *feature_names())
+    names = feature_names()
+    return rounded(out.withColumns({n: F.col(n).cast("double") for n in names}), *names, digits=9)
 
 
 @query("w14_feature_set", _feature_query(False))
@@ -208,7 +209,7 @@ _SERIES = {
 @query("w14_series_features", _select(_SERIES))
 def w14_long(spark, sf):
     out = features.add_series_features(series(spark, sf), ["module"], "event_time", "value")
-    return rounded(out, "value", *_SERIES)
+    return rounded(out, "value", *_SERIES, digits=9)
 
 
 @query("a11_cross_state", f"""WITH {R} SELECT event_time, round(avg(value), 9) AS temp_mean,

@@ -211,9 +211,9 @@ _SERVING = _feature_sql(True)
 
 
 @query("x11_feature_stream", f"""WITH {WIDE} SELECT event_time,
-  {', '.join(f'round(({_SERVING[n]})::DOUBLE, 6) AS {n}' for n in feature_names())} FROM w""")
+  {', '.join(f'round(({_SERVING[n]})::DOUBLE, 9) AS {n}' for n in feature_names())} FROM w""")
 def x11(spark, sf):
     rows = wide(spark, sf).withColumn("site", F.lit("site"))
     out = finished(feature_stream(replayed(rows), ["site"])).drop("site")
     names = feature_names()
-    return rounded(out.withColumns({n: F.col(n).cast("double") for n in names}), *names)
+    return rounded(out.withColumns({n: F.col(n).cast("double") for n in names}), *names, digits=9)
