@@ -63,15 +63,15 @@ def p10(spark, sf):
     return rounded(threshold_rows(raw).drop("source"), "warning", "critical")
 
 
-@query("u3_key_differences", """WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type FROM events),
-  a AS (SELECT DISTINCT hour FROM h WHERE event_type = 'error'),
-  b AS (SELECT DISTINCT hour FROM h WHERE event_type = 'purchase')
-  SELECT hour, 'left' AS side FROM a WHERE hour NOT IN (SELECT hour FROM b)
-  UNION ALL SELECT hour, 'right' FROM b WHERE hour NOT IN (SELECT hour FROM a)""")
+@query("u3_key_differences", """WITH h AS (SELECT date_trunc('minute', ts) AS minute, event_type FROM events),
+  a AS (SELECT DISTINCT minute FROM h WHERE event_type = 'error'),
+  b AS (SELECT DISTINCT minute FROM h WHERE event_type = 'purchase')
+  SELECT minute, 'left' AS side FROM a WHERE minute NOT IN (SELECT minute FROM b)
+  UNION ALL SELECT minute, 'right' FROM b WHERE minute NOT IN (SELECT minute FROM a)""")
 def u3(spark, sf):
-    rows = telemetry(spark, sf).withColumn("hour", F.date_trunc("hour", "event_time"))
+    rows = telemetry(spark, sf).withColumn("minute", F.date_trunc("minute", "event_time"))
     return key_differences(
-        rows.filter("channel = 'error'"), rows.filter("channel = 'purchase'"), "hour"
+        rows.filter("channel = 'error'"), rows.filter("channel = 'purchase'"), "minute"
     )
 
 
