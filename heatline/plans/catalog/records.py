@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from heatline.functions import scalars as S
 from heatline.operators import ml, monitor
 from heatline.operators.validate import (
-    checked_records,
     checked_requests,
     rejection_events,
     split_valid,

@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from heatline.operators.asof import asof_nearest
 from heatline.operators.monitor import forecast_performance, status_with_performance

@@ -1,13 +1,12 @@
 """Streams over several micro-batches against their batch twins."""
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from heatline.operators import alerts, features as feature_ops, monitor
 from heatline.operators.timeline import resample_mean
 from heatline.plans.catalog.streams import finished
-from heatline.schema import ENVELOPE, MODULES, SYSTEM_EVENTS, TOTAL_POWER
+from heatline.schema import ENVELOPE, SYSTEM_EVENTS
 from heatline.sources.sinks import append_records
 from heatline.sources.telemetry import file_messages, replay_stream
 from heatline.streaming.alerts import alert_stream
