@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatline.llm import languages
+from heatline.llm import languages, packing, token_files
 from heatline.llm.batches import id_crc
-from heatline.session import prepare
+from heatline.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     model = languages.train(docs.filter(~F.col("held_out")))
     return languages.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+@query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, from the files they were written to."""
+    docs = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "token-files")
+    token_files.write(docs, path, "word_bpe_49k.json", end_id=1)
+    return token_files.read(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their sequence and place."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(docs, "byte_bpe_50k.json", end_id=0, capacity=2048)
