@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatline.llm import languages, packing, token_files
+from heatline.llm import decontaminate, languages, packing, simhash, token_files
 from heatline.llm.batches import id_crc
 from heatline.session import prepare, scratch_path
 
@@ -50,8 +50,53 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_simhash")
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, most_bits=2)
+
+
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and place."""
     docs = table(spark, sf_dir, "documents")
     return packing.packed(docs, "byte_bpe_50k.json", end_id=0, capacity=2048)
+
+
+_WORDS_SQL = r"""regexp_extract_all(
+  translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op9_decontamination",
+    f"""
+WITH items AS (SELECT item_id, {_WORDS_SQL.format("text")} AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS m, list_slice(ws, i, i + least(len(ws), 10) - 1) AS w
+  FROM (SELECT *, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM items WHERE len(ws) > 0)),
+docs AS (SELECT doc_id, coalesce({_WORDS_SQL.format("text")}, []) AS ws FROM documents),
+spots AS (
+  SELECT doc_id, i, m, list_slice(ws, i, i + m - 1) AS w
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i
+        FROM docs CROSS JOIN (SELECT DISTINCT m FROM windows))),
+found AS (SELECT doc_id, i, s.m, item_id FROM spots s JOIN windows v ON s.m = v.m AND s.w = v.w),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+         FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)""",
+)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word passages of the benchmark."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items, 10).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
