@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heatline.llm import decontaminate, languages, packing, simhash, token_files
+from heatline.llm import (
+    decontaminate,
+    languages,
+    licenses,
+    nearest,
+    packing,
+    repeats,
+    simhash,
+    token_files,
+    toxicity,
+    warc,
+)
 from heatline.llm.batches import id_crc
 from heatline.session import prepare, scratch_path
 
@@ -29,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_license_scan", licenses.scan_sql())
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document by their sentences."""
+    return licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
@@ -39,6 +56,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+@query("op3_repeated_bytes")
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without its repeated 200-byte strings."""
+    return repeats.removals(table(spark, sf_dir, "documents"), 200)
+
+
 @query("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, from the files they were written to."""
@@ -50,6 +73,25 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_warc_derivatives", warc.derivatives_sql())
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    records = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return records.withColumnRenamed("key", "page_id").drop("warc_header")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", id_crc("doc_id") % 4 == 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL")
+    labelled = docs.filter(~F.col("held_out")).join(labels, "doc_id").select("text", "toxic")
+    model = toxicity.train(docs, labelled)
+    return toxicity.score(docs, model, keep=["doc_id", "held_out"]).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int")
+    )
+
+
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
@@ -100,3 +142,24 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op10_exact_top_k",
+    """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> x > 0 AND NOT isnan(x)) AS bits
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+        len(list_filter(range(1, len(q.bits) + 1), i -> q.bits[i] <> v.bits[i])) AS distance
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT query_id, neighbor_id, CAST(distance AS INTEGER) AS distance, CAST(rank AS INTEGER) AS rank
+FROM r WHERE rank <= 10""",
+)
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every hundredth vector among all others."""
+    codes = nearest.sign_codes(table(spark, sf_dir, "embeddings"))
+    queries = codes.filter("id % 100 = 0").select(F.col("id").alias("q"), "code")
+    return nearest.top_k(codes, queries, 10).select(
+        F.col("q").alias("query_id"), F.col("id").alias("neighbor_id"), "distance", "rank"
+    )

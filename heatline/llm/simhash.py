@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from heatline.llm.batches import arrow_schema, flat, fresh
 from heatline.llm.components import components
-from heatline.operators.scale import written
+from heatline.operators.scale import stored, written
 
 MOST_BITS = 2
 #: First bit and width of the three segments.
@@ -237,7 +237,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; the fingerprint in hex."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return grouped(written(with_fingerprints(rows, width, keep=["doc_id"], name="fp"), "fingerprints"), most_bits)
+    prints = written(with_fingerprints(rows, width, keep=["doc_id"], name="fp"), "fingerprints")
+    return grouped(prints, most_bits).drop("root")
 
 
 def grouped(prints: DataFrame, most_bits: int) -> DataFrame:
@@ -246,8 +247,47 @@ def grouped(prints: DataFrame, most_bits: int) -> DataFrame:
     roots = components(links(distinct, most_bits)).withColumnRenamed("node", "fp")
     classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "root").select("fp", "component_id")
+    classes = classes.join(least, "root").select("fp", "component_id", "root")
     rest = [c for c in prints.columns if c not in ("doc_id", "fp")]
     return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *rest
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *rest
     )
+
+
+def representatives(
+    docs: DataFrame, width: int, most_bits: int, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each component, the one with the least document id, all columns.
+
+    Rows without an id come after those with one, and rows that share their id are in
+    the order of a hash of all columns. Of rows that are equal altogether one stays.
+    """
+    hashed = [
+        F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()
+    ]
+    names = {k: fresh(docs, k) for k in ("ra", "rb")}
+    keyed = docs.withColumns(
+        {names["ra"]: F.xxhash64(*hashed), names["rb"]: F.xxhash64(F.lit(11), *hashed)}
+    )
+    rows = keyed.select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(names["ra"]).alias("ra"),
+        F.col(names["rb"]).alias("rb"),
+        F.col(text).alias("text"),
+    )
+    prints = written(
+        with_fingerprints(rows, width, keep=["doc_id", "ra", "rb"], name="fp"), "fingerprints"
+    )
+    counted = grouped(prints, most_bits).groupBy("root", "doc_id", "ra", "rb").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "ra", "rb", "n")).alias("first")
+    chosen = stored(
+        counted.groupBy("root")
+        .agg(first)
+        .select(F.col("first.ra").alias(names["ra"]), F.col("first.rb").alias(names["rb"]), "first.n")
+    )
+    key, columns = list(names.values()), [F.col(f"`{c}`") for c in docs.columns]
+    kept = keyed.join(chosen.filter("n = 1").select(*key), key, "left_semi")
+    repeated = chosen.filter("n > 1").select(*key)
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, key, "left_semi").dropDuplicates(key))
+    return kept.select(*columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatline.llm.batches import arrow_schema, flat
-from heatline.llm.tokens import binaries, tokenized
+from heatline.llm.tokens import binaries, encoder, tokenized
 from heatline.operators.scale import written
 
 MOST_BITS = 18
@@ -104,16 +104,6 @@ def from_bits(
     return out.T.ravel()[:n]
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1, np.int64)
-    for batch in batches:
-        found = np.bincount(flat(batch.column(0))[0].view("<u4"))
-        counts = np.pad(counts, (0, max(0, len(found) - len(counts))))
-        counts[: len(found)] += found
-    ids = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["id", "n"])
-
-
 def write(
     docs: DataFrame,
     path: str,
@@ -124,10 +114,20 @@ def write(
 ) -> None:
     """Tokenize whole texts and write the two tables below ``path``."""
     spark = docs.sparkSession
-    ids = written(
-        tokenized(docs, tokenizer, end_id, doc_id, text).withColumn("deal", F.crc32("ids")), "token-ids"
-    )
-    counts = ids.select("ids").mapInArrow(_count_ids, "id long, n long").groupBy("id")
+    width = 2 if max(end_id, encoder(tokenizer).tokenizer.get_vocab_size() - 1) < 1 << 16 else 4
+    ids = tokenized(docs, tokenizer, end_id, doc_id, text, width)
+    ids = written(ids.withColumn("deal", F.crc32("ids")), "token-ids")
+
+    def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1, np.int64)
+        for batch in batches:
+            found = np.bincount(flat(batch.column(0))[0].view(f"<u{width}"))
+            counts = np.pad(counts, (0, max(0, len(found) - len(counts))))
+            counts[: len(found)] += found
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["id", "n"])
+
+    counts = ids.select("ids").mapInArrow(count_ids, "id long, n long").groupBy("id")
     # One row for each id of the vocabulary at most.
     counts = counts.agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     used, lengths, codes = canonical(
@@ -175,7 +175,7 @@ def write(
         docs, sizes, values = [], [], []
         for batch in batches:
             data, offsets = flat(batch.column(1))
-            data, offsets = data.view("<u4"), offsets >> 2
+            data, offsets = data.view(f"<u{width}"), offsets // width
             first = 0
             while first < batch.num_rows:
                 last = int(np.searchsorted(offsets, offsets[first] + BLOCK_IDS - held))

@@ -1,14 +1,17 @@
 """Whole texts to token ids with a public tokenizer, word by word and remembered.
 
 The tokenizers used here never let a token cross from a character that is no
-white space to white space behind it, so a text may be cut before any such blank
-and its parts encoded on their own. Parts recur, thus each step looks up its
-distinct parts and has the library encode those that the worker has not met.
+white space to white space behind it, nor from a letter to a stop or comma, so a
+text may be cut there and its parts encoded on their own. Parts recur, thus each
+step looks up its distinct parts and has the library encode those that the worker
+has not met. A part that is one word of Latin letters goes straight to the
+library's model, if that agrees with the library on a list of probes.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -19,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatline.llm.batches import arrow_schema, flat, steps
+from heatline.llm.batches import SpanHash, arrow_schema, flat, steps
 
 #: Parts a worker remembers before it starts anew; memory only, results don't depend on it.
-MOST_PARTS = 1 << 20
+MOST_PARTS = 3 << 19
 _SEED = 20240916
+#: A word of Latin letters with the blank before it, if any.
+_WORD = re.compile(r" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -37,35 +42,16 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         (three >= 0xE1) & (three <= 0xE3) & ((two == 0x80) | (two == 0x81) | (two == 0x9A))
     )
     at = at[(one > 0x20) & ~((one >= 0x80) & wide)]
-    return np.union1d(at, starts)
-
-
-class _Hash:
-    """Hashes of all parts of a byte array from running sums, modulo 2**64."""
-
-    def __init__(self, seed: int):
-        random = np.random.default_rng(seed)
-        self.letters = random.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(random.integers(1 << 62, 1 << 63)) * 2 + 1
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        def powers(base: int) -> np.ndarray:
-            out = np.full(n, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        n = 1 << max(n, 1 << 20).bit_length()
-        self.powers, self.inverses = powers(self.base), powers(pow(self.base, -1, 1 << 64))
-
-    def __call__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        if len(self.powers) < len(data) + 1:
-            self._grow(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letters[data] * self.powers[: len(data)], out=sums[1:])
-        mixed = (sums[last] - sums[first]) * self.inverses[first]
-        mixed ^= mixed >> np.uint64(31)
-        return mixed * np.uint64(0xD6E8FEB86659FD93) + (last - first).astype(np.uint64)
+    stop = (data == 0x2C) | (data == 0x2E)
+    stop[:2] = False
+    stops = np.flatnonzero(stop)
+    one, two = data[stops - 1], data[stops - 2]
+    small = one | 0x20
+    accented = (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)
+    stops = stops[((small >= 0x61) & (small <= 0x7A) & (one < 0x80)) | accented]
+    marks = np.zeros(len(data), bool)
+    marks[at] = marks[stops] = marks[starts] = True
+    return np.flatnonzero(marks)
 
 
 class _Known:
@@ -104,7 +90,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(name)
         # The names of special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
-        self.hash, self.check = _Hash(_SEED), _Hash(_SEED + 1)
+        self.short = self._short_way()
+        self.hash, self.check = SpanHash(_SEED), SpanHash(_SEED + 1)
         self._forget()
 
     def _forget(self) -> None:
@@ -114,8 +101,38 @@ class Encoder:
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _short_way(self):
+        """How to spell a word for the model, with its blank or in small letters without."""
+        from tokenizers import pre_tokenizers
+
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = {c: spell(chr(c))[0][0] for c in range(32, 256) if c == 32 or chr(c).isalpha()}
+        probes = ["e", " e", " The", "THe", " \u00c9t\u00e9", "\u00e9Tat", "is", " don", " s", "stra\u00dfe"]
+        probes += [a + chr(c) + b for c in letters if c > 32 for a, b in ((" ", "er"), ("An", ""))]
+        for spelled in (
+            lambda part: part.translate(letters),
+            lambda part: part.strip().lower().translate(letters),
+        ):
+            if all(self._model(spelled(x)) == y for x, y in zip(probes, self.library(probes))):
+                return spelled
+        return None
+
+    def _model(self, word: str) -> list[int]:
+        return [token.id for token in self.tokenizer.model.tokenize(word)]
+
+    def _ids(self, parts: list[str]) -> list[list[int]]:
+        if self.short is None:
+            return self.library(parts)
+        found = [
+            self._model(self.short(part)) if _WORD.fullmatch(part) else None for part in parts
+        ]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, self.library([parts[k] for k in rest])):
+            found[k] = ids
+        return found
+
     def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.library([p.decode("utf-8", "replace") for p in parts])
+        found = self._ids([p.decode("utf-8", "replace") for p in parts])
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
         while self.filled + len(ids) > len(self.pool):
@@ -133,7 +150,12 @@ class Encoder:
         first = cuts(data, offsets[texts])
         last = np.append(first[1:], len(data))
         hashes, checks = self.hash(data, first, last), self.check(data, first, last)
-        keys, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        keys, sample = ranked[new], order[new]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
         own = checks[sample]
         if not np.array_equal(own[inverse], checks):
             return self._plain(data, offsets)
@@ -193,9 +215,14 @@ def encoded(
 
 
 def tokenized(
-    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = 4,
 ) -> DataFrame:
-    """(doc_id, n_tokens, ids): every whole text's ids as little-endian 32-bit integers.
+    """(doc_id, n_tokens, ids): every whole text's ids as little-endian integers of ``width`` bytes.
 
     NULL is an empty text, whose only id is ``end_id``. ``tokenizer`` is a file
     name of the public tokenizers or a path that all executors have.
@@ -212,7 +239,7 @@ def tokenized(
                     [
                         batch.column(0).slice(first, last - first),
                         pa.array(np.diff(at)),
-                        binaries(ids.astype("<u4"), at),
+                        binaries(ids.astype(f"<u{width}"), at),
                     ],
                     schema.names,
                 )
