@@ -4,7 +4,7 @@ A string of ``length`` bytes is repeated if it starts at two places of the corpu
 Each text is cut into overlapping phrases: the neighbouring windows of ``length``
 bytes whose least 32-byte hash (the minimizer) is the same. Equal windows have equal
 minimizers, so windows need comparing only within the phrases of one minimizer, and
-phrases whose minimizer is unique are done with. Equal phrases are counted, and one
+a phrase is done with whose minimizer is in no other and not twice in itself. Equal phrases are counted, and one
 of each, with its bytes, is sent to its minimizer's task.
 
 There the phrases are indexed together: suffix order, the runs of equal letters
@@ -51,8 +51,22 @@ _KEY = ["ha", "hb"]
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def minimizers(data: np.ndarray, length: int) -> np.ndarray:
-    """For every window of ``length`` bytes the least hash of its k-byte strings."""
+def _sliding(pick: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """``pick`` (least or greatest) of every ``width`` neighbouring values."""
+    size = 1
+    while 2 * size <= width:
+        values = pick(values[: len(values) - size], values[size:])
+        size *= 2
+    rest = width - size
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def minimizers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of ``length`` bytes the least hash of its k-byte strings.
+
+    Also, for every such string, if its hash is that of a window and the same as at the
+    next string like that: only around those can a phrase repeat a window of its own.
+    """
     k = 1 << max(0, (length // 4).bit_length() - 1)
     base = 0x9E3779B97F4A7C15
     hashes = (data.astype(np.uint64) + np.uint64(1)) * _SPREAD
@@ -64,23 +78,27 @@ def minimizers(data: np.ndarray, length: int) -> np.ndarray:
     hashes ^= hashes >> np.uint64(32)
     hashes *= _SPREAD
     hashes ^= hashes >> np.uint64(29)
-    width, size = length - k + 1, 1
-    while 2 * size <= width:
-        hashes = np.minimum(hashes[: len(hashes) - size], hashes[size:])
-        size *= 2
-    rest = width - size
-    return np.minimum(hashes[: len(hashes) - rest], hashes[rest:]) if rest else hashes
+    width = length - k + 1
+    least = _sliding(np.minimum, hashes, width)
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, least, edge)), width) == hashes)
+    twin = np.zeros(len(hashes), bool)
+    twin[at[:-1][hashes[at[1:]] == hashes[at[:-1]]]] = True
+    return least, twin
 
 
 _HASH = SpanHash(3)
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, crowded: np.ndarray):
-    """Row, first byte, windows, minimizer and content hash of every phrase of some texts."""
+    """Row, first byte, windows, minimizer and content hash of every phrase of some texts.
+
+    Last, whether the phrase may hold a window twice.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    least = minimizers(data, length)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+    least, twin = minimizers(data, length)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = row[: len(least)] == row[length - 1 :]
     border = np.ones(len(least) + 1, bool)
@@ -105,7 +123,10 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, crowded: np.ndar
     first = np.repeat(first, many) + part * most
     content = _HASH(data, first, first + count + length - 1)
     key = np.where(most == 1, content ^ _SPREAD, least[first])
-    return row[first], first - offsets[row[first]], count, key, content
+    twins = np.append(0, np.cumsum(twin))
+    end = first + count + len(twin) - len(least)
+    inner = (count > 1) & (twins[end] > twins[first])
+    return row[first], first - offsets[row[first]], count, key, content, inner
 
 
 def _with_keys(docs: DataFrame, text: str, names: dict[str, str] | None = None) -> DataFrame:
@@ -116,7 +137,7 @@ def _with_keys(docs: DataFrame, text: str, names: dict[str, str] | None = None)
 
 
 def _phrase_rows(texts: DataFrame, length: int, crowded) -> DataFrame:
-    """(mh, sh, ha, hb, place) of all phrases; a place is first byte * 1024 + windows."""
+    """(mh, sh, ha, hb, place, inner) of all phrases; a place is first byte * 1024 + windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = crowded.value if crowded else np.zeros(0, np.uint64)
@@ -124,7 +145,7 @@ def _phrase_rows(texts: DataFrame, length: int, crowded) -> DataFrame:
             data, offsets = flat(batch.column(2))
             for a, b in steps(offsets):
                 part = offsets[a : b + 1]
-                row, first, count, key, content = phrases(
+                row, first, count, key, content, inner = phrases(
                     data[part[0] : part[-1]], part - part[0], length, known
                 )
                 named = pa.array(row + a)
@@ -135,11 +156,13 @@ def _phrase_rows(texts: DataFrame, length: int, crowded) -> DataFrame:
                         batch.column(0).take(named),
                         batch.column(1).take(named),
                         pa.array(first << 10 | count),
+                        pa.array(inner),
                     ],
-                    ["mh", "sh", "ha", "hb", "place"],
+                    ["mh", "sh", "ha", "hb", "place", "inner"],
                 )
 
-    return texts.select(*_KEY, "text").mapInArrow(run, "mh long, sh long, ha long, hb long, place long")
+    schema = "mh long, sh long, ha long, hb long, place long, inner boolean"
+    return texts.select(*_KEY, "text").mapInArrow(run, schema)
 
 
 def _crowded(docs: DataFrame, length: int):
@@ -310,17 +333,19 @@ def _slices(asked: DataFrame, length: int) -> DataFrame:
 
 
 def marked_texts(docs: DataFrame, length: int, text: str = "text") -> DataFrame:
-    """(ha, hb, text, marks) of every distinct text with runs of repeated windows.
+    """(ha, hb, text, same, marks) of every distinct text with runs of repeated windows.
 
+    ``same`` counts the rows of the text; with more than one all its windows are repeated.
     One plan, whose exchanges of texts and of phrases are each made once and reused.
     """
     keyed = _with_keys(
         docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text"
     ).select(*_KEY, F.encode("text", "utf-8").alias("text"))
     crowded = _crowded(keyed, length)
-    texts = keyed.dropDuplicates(_KEY)
+    texts = keyed.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("same"))
     rows = _phrase_rows(texts, length, crowded)
-    shared = rows.groupBy("mh").agg(F.count("*").alias("n")).filter("n > 1").select("mh")
+    counted = rows.groupBy("mh").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
+    shared = counted.filter("n > 1 OR inner").select("mh")
     shared_rows = rows.join(shared, "mh")
     one = (
         shared_rows.groupBy("mh", "sh")
@@ -355,12 +380,14 @@ def _kept(marked: DataFrame, length: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            marks = batch.column(3)
+            marks, same = batch.column(3), batch.column(4).to_numpy()
             sizes, removed, spans, digests, kept = [], [], [], [], []
             for k in range(batch.num_rows):
                 body = data[offsets[k] : offsets[k + 1]]
                 n = 0
-                if marks[k].is_valid:
+                if same[k] > 1 and len(body) >= length:
+                    n, body = 1, body[:0]
+                elif marks[k].is_valid:
                     fields = marks[k].values
                     at = fields.field("at").to_numpy(zero_copy_only=False)
                     count = fields.field("n").to_numpy(zero_copy_only=False)
@@ -387,7 +414,7 @@ def _kept(marked: DataFrame, length: int, with_text: bool) -> DataFrame:
                 schema.names,
             )
 
-    return marked.select(*_KEY, "text", "marks").mapInArrow(run, schema)
+    return marked.select(*_KEY, "text", "marks", "same").mapInArrow(run, schema)
 
 
 def removals(docs: DataFrame, length: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -402,7 +429,9 @@ def without_repeats(docs: DataFrame, length: int, text: str = "text") -> DataFra
 
     Where a cut parts a character its remaining bytes go as well. NULL stays NULL.
     """
-    marked = marked_texts(docs, length, text).filter("marks IS NOT NULL")
+    marked = marked_texts(docs, length, text).filter(
+        f"marks IS NOT NULL OR same > 1 AND octet_length(text) >= {int(length)}"
+    )
     kept = _kept(marked, length, with_text=True)
     names = {k: fresh(docs, k) for k in _KEY}
     shorter = fresh(docs, "kept_text")
