@@ -147,10 +147,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op10_exact_top_k",
     """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> x > 0 AND NOT isnan(x)) AS bits
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0 AND NOT isnan(x)) AS bits
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
-        len(list_filter(range(1, len(q.bits) + 1), i -> q.bits[i] <> v.bits[i])) AS distance
+        len(list_filter(range(1, len(q.bits) + 1), lambda i: q.bits[i] <> v.bits[i])) AS distance
       FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
 SELECT query_id, neighbor_id, CAST(distance AS INTEGER) AS distance, CAST(rank AS INTEGER) AS rank

@@ -228,10 +228,10 @@ def scan_sql(table: str = "documents") -> str:
     steps = [
         f"""s AS (SELECT doc_id, list_transform(list_filter(list_transform(
   string_split(regexp_replace(regexp_replace(text, '{GOES_ON}', ' \\1', 'g'), '{ENDS}', '\\1' || chr(10), 'g'), chr(10)),
-  x -> regexp_replace(regexp_replace(lower(x), '{OTHER}', ' ', 'g'), '{STOPS}', '', 'g')),
-  x -> x IN ({forms})), x -> MAP {{{known}}}[x]) AS found FROM {table})""",
+  lambda x: regexp_replace(regexp_replace(lower(x), '{OTHER}', ' ', 'g'), '{STOPS}', '', 'g')),
+  lambda x: x IN ({forms})), lambda x: MAP {{{known}}}[x]) AS found FROM {table})""",
         """r0 AS (SELECT doc_id, coalesce(found, []) AS ids,
-  array_to_string(list_transform(coalesce(found, []), x -> '<' || x || '>'), '') AS rest, [] :: VARCHAR[] AS names FROM s)""",
+  array_to_string(list_transform(coalesce(found, []), lambda x: '<' || x || '>'), '') AS rest, [] :: VARCHAR[] AS names FROM s)""",
     ]
     for k, (name, parts) in enumerate(RULES):
         seen = quote("".join(f"<{x}>" for x in parts))

@@ -150,7 +150,7 @@ def derivatives_sql() -> str:
             f"substr('{BASE32}', ((('0x' || substr(sha1({block}), i * 5 + 1, 5)) :: INTEGER >> {s}) & 31) + 1, 1)"
             for s in (15, 10, 5, 0)
         )
-        return f"'sha1:' || array_to_string(list_transform(range(8), i -> {pick}), '')"
+        return f"'sha1:' || array_to_string(list_transform(range(8), lambda i: {pick}), '')"
 
     def uuid(name: str) -> str:
         h = f"sha1({name})"
@@ -182,7 +182,7 @@ b AS (
     array_to_string(['title: ' || regexp_replace({title}, '\\s+', ' ', 'g'),
       'http-content-type: text/html; charset=utf-8']
       || list_transform(regexp_extract_all(payload, '{OUTLINK}', 1),
-           x -> 'outlink: ' || regexp_replace(x, '\\s+', ' ', 'g')), chr(13) || chr(10)) || chr(13) || chr(10) AS block
+           lambda x: 'outlink: ' || regexp_replace(x, '\\s+', ' ', 'g')), chr(13) || chr(10)) || chr(13) || chr(10) AS block
   FROM s
   UNION ALL
   SELECT page_id, url, source_digest, refers_to, 'conversion', 'text/plain', {plain("payload")} FROM s),
