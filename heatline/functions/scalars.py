@@ -16,8 +16,12 @@ MICROS = 1_000_000
 
 
 def parse_time(text: Column, formats: list[str] = TIME_FORMATS) -> Column:
-    """the first format that fits; a clock without a zone is UTC."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    """the first format that fits; a clock without a zone is UTC.
+
+    Years have four digits; others would not fit the calendar of later readers.
+    """
+    found = F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)) for f in formats])
+    return F.when(F.year(found).between(1, 9999), found)
 
 
 def first_filled(*options: Column) -> Column:

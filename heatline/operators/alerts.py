@@ -15,10 +15,14 @@ def risk_transitions(
     decisions: DataFrame, keys: list[str] = ["module"], order: list[str] = ["event_time"],
     initial: DataFrame | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Add ``previous_risk``; the first is the restored one, or NORMAL."""
+    """Add ``previous_risk``; the first is the restored one, or NORMAL.
+
+    Rows without a risk (of unknown modules) change no state and are left out.
+    """
     def build(w):
         return {"previous_risk": F.lag("risk_level").over(w)}
 
+    decisions = decisions.filter(F.col("risk_level").isNotNull())
     rows = over_ordered(decisions, keys, order, 1, build, limit=limit)
     start = F.lit("NORMAL")
     if initial is not None:

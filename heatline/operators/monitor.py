@@ -15,7 +15,7 @@ RECENT = ["event_time", "kafka_partition", "kafka_offset"]
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key; the first order column must be known.
+    """The newest row of each key; rows without a first order column come last.
 
     The newest values come from a narrow hashed aggregate. Only rows that hold
     one are read whole, from times the scan can prune by; ties go by the rest of
@@ -25,31 +25,34 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     edges = stored(df.groupBy(*keys).agg(F.max(lead).alias("_newest")))
     edges = edges.withColumnsRenamed({k: f"_e_{k}" for k in keys})
     rows = df
-    if edges.count() <= BROADCAST_ROWS:
-        oldest = edges.agg(F.min("_newest")).head()[0]
+    found, unknown, oldest = edges.agg(
+        F.count(F.lit(1)), F.count_if(F.col("_newest").isNull()), F.min("_newest")
+    ).head()
+    if found <= BROADCAST_ROWS:
+        # A key whose rows all lack the time keeps them, so nothing can be pruned.
+        recent = df if unknown or oldest is None else df.filter(F.col(lead) >= F.lit(oldest))
         edges = F.broadcast(edges)
-        recent = df if oldest is None else df.filter(F.col(lead) >= F.lit(oldest))
-        match = same(recent, edges, [(k, f"_e_{k}") for k in keys])
-        rows = recent.join(edges, match & (recent[lead] == edges["_newest"]), "left_semi")
+        match = same(recent, edges, [(k, f"_e_{k}") for k in keys] + [(lead, "_newest")])
+        rows = recent.join(edges, match, "left_semi")
     others = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*others), F.struct(*order)).alias("_row")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)
 
 
-def latest_n(df: DataFrame, order: list[str], n: int = 50, most: int | None = 500) -> DataFrame:
-    """The newest ``n`` rows, newest first; ``n`` is held within 1..most."""
+def latest_n(df: DataFrame, order: list[str], n: int = 50, most: int | None = None) -> DataFrame:
+    """The newest ``n`` rows, newest first; at least one, and ``most`` if that is given."""
     n = max(1, n if most is None else min(n, most))
     return df.orderBy(*[F.desc(c) for c in order]).limit(n)
 
 
 def module_history(
-    df: DataFrame, module: str, order: list[str], n: int = 100, most: int | None = 1000
+    df: DataFrame, module: str, order: list[str], n: int = 100, most: int | None = None
 ) -> DataFrame:
     """The newest ``n`` rows of one module, oldest first."""
     return latest_n(of_module(df, module), order, n, most).orderBy(*order)
 
 
-def oldest_n(df: DataFrame, order: list[str], n: int = 20_000) -> DataFrame:
+def oldest_n(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows in time."""
     return df.orderBy(*order).limit(n)
 

@@ -57,16 +57,13 @@ def exact_quantiles(
     sizes = sizes.withColumnsRenamed({k: f"_n_{k}" for k in keys})
     joined = ends.join(sizes, same(ends, sizes, [(k, f"_n_{k}") for k in keys]))
     at = {n: F.lit(q) * (F.col("_n") - 1) for n, q in quantiles.items()}
-    return joined.select(
-        *keys,
-        *[
-            (
-                F.col(f"{n}_low")
-                + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (at[n] - F.floor(at[n]))
-            ).alias(n)
-            for n in quantiles
-        ],
-    )
+
+    def between(n: str) -> Column:
+        low, high = F.col(f"{n}_low"), F.col(f"{n}_high")
+        mixed = (F.ceil(at[n]) - at[n]) * low + (at[n] - F.floor(at[n])) * high
+        return F.when(low == high, low).otherwise(mixed)
+
+    return joined.select(*keys, *[between(n).alias(n) for n in quantiles])
 
 
 def fit_thresholds(

@@ -10,6 +10,7 @@ on, and returns the same values the unsplit window would.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from functools import reduce
 
@@ -293,9 +294,18 @@ def values_at_ranks(
         return ranks.join(other, same(ranks, other, pairs) & F.expr(test))
 
     while not state.filter(open_ranges).isEmpty():
-        bin_of = F.least(
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _BINS),
-            F.lit(_BINS - 1),
+        # Halves keep the width finite. An infinite end is a bin of its own, and the
+        # range between is binned from the finite ends.
+        inf, most = F.lit(math.inf), sys.float_info.max
+        half, low, high = [
+            F.greatest(F.least(F.col(c), F.lit(most)), F.lit(-most)) / 2 for c in ("_v", "_lo", "_hi")
+        ]
+        share = F.coalesce((half - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+        bin_of = (
+            F.when(F.col("_v") == -inf, -1)
+            .when(F.col("_v") == inf, _BINS)
+            .when((F.col("_v") == F.col("_hi")) & (F.col("_lo") < F.col("_hi")), _BINS - 1)
+            .otherwise(F.least(F.floor(share * _BINS), F.lit(_BINS - 1)))
         )
         below = Window.partitionBy(*inside).orderBy("_bin")
         bins = (

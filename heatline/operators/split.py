@@ -37,7 +37,8 @@ def chronological_split(
     df: DataFrame, time: str = "event_time", fractions: tuple[float, float] = SPLIT_FRACTIONS,
     limit: int | None = None,
 ) -> DataFrame:
-    """Add ``split``. Cuts fall between times, so equal times are never parted.
+    """Add ``split``. Cuts fall between times, so equal times are never parted; a row
+    without a time is in no split.
 
     The two cut times are literals: filtering on one split is a time-range
     filter that reaches the scan, and no row is moved.
@@ -49,7 +50,7 @@ def chronological_split(
     label = (
         F.when(F.col(time) < validation, NAMES[0])
         .when(F.col(time) < test, NAMES[1])
-        .otherwise(NAMES[2])
+        .when(F.col(time).isNotNull(), NAMES[2])
     )
     return df.withColumn("split", label)
 

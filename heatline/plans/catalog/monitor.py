@@ -165,7 +165,9 @@ def t2(spark, sf):
 
 @query("t2_latest_events_clamped", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def t2_clamped(spark, sf):
-    return monitor.latest_n(events(spark, sf).select("event_id", "ts"), ["ts", "event_id"], 9999)
+    return monitor.latest_n(
+        events(spark, sf).select("event_id", "ts"), ["ts", "event_id"], 9999, most=500
+    )
 
 
 @query("t3_module_history", """SELECT event_id, ts FROM events WHERE user_id % 8 = 5 ORDER BY ts DESC, event_id DESC LIMIT 100""")
@@ -174,9 +176,10 @@ def t3(spark, sf):
     return monitor.module_history(rows, "Module_6_Avg_Temp", ["ts", "event_id"]).drop("module")
 
 
-@query("t4_oldest_rows", "SELECT event_id, ts, value FROM events ORDER BY ts, event_id LIMIT 20000")
+@query("t4_oldest_rows", "SELECT event_id, ts, value FROM events ORDER BY ts, event_id LIMIT 2000")
 def t4(spark, sf):
-    return monitor.oldest_n(events(spark, sf).select("event_id", "ts", "value"), ["ts", "event_id"])
+    rows = events(spark, sf).select("event_id", "ts", "value")
+    return monitor.oldest_n(rows, ["ts", "event_id"], 2000)
 
 
 @query("t5_status_of_newest", """SELECT 'Module_' || (user_id % 8 + 1) || '_Avg_Temp' AS module,

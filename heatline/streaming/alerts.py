@@ -46,8 +46,10 @@ def risk_changes(
     State is kept in arrival order; rows of one micro-batch are put in ``order``
     first. A key's rows of one micro-batch are held together, so bound the
     source's batches. ``initial`` (keys, ``risk_level``) restores an earlier
-    state on the first start; later starts use the checkpoint.
+    state on the first start; later starts use the checkpoint. Rows without a risk
+    are left out, as in the batch form.
     """
+    decisions = decisions.filter(F.col("risk_level").isNotNull())
     decisions.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER
     )

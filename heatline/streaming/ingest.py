@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +11,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from heatline.operators.monitor import new_records
 from heatline.operators.risk import ready_thresholds
+from heatline.operators.scale import bounded_broadcast, same
 from heatline.plans.live import decisions
 from heatline.schema import MODULES
 from heatline.sources.sinks import append_records
 
-_LISTED_DAYS = 366
-
 
 def stored_range(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame | None:
     """The stored days that ``rows`` span: the only ones a replay can repeat.
@@ -25,16 +23,16 @@ def stored_range(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame |
     Event time comes from the message or the broker, so it is the same in every
     delivery, and the lookup lists and reads those days instead of the table.
     """
-    first, last = rows.agg(F.to_date(F.min("event_time")), F.to_date(F.max("event_time"))).head()
-    if first is None:
-        return None
-    days = [str(first + timedelta(days=i)) for i in range((last - first).days + 1)]
-    wanted = f"{path}/event_date={{{','.join(days)}}}" if len(days) <= _LISTED_DAYS else path
     try:
-        table = spark.read.option("basePath", path).parquet(wanted)
-    except AnalysisException:
+        table = spark.read.parquet(path)
+    except AnalysisException as problem:
+        # Nothing is stored yet; any other problem must stop the batch.
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    return table.filter(F.col("event_date").between(F.lit(first), F.lit(last)))
+    days = rows.select(F.to_date("event_time").alias("event_date")).distinct()
+    # The batch's days reach the scan as a dynamic filter on its partitions.
+    return table.join(bounded_broadcast(days), "event_date", "left_semi")
 
 
 def store_predictions(rows: DataFrame, path: str) -> None:
@@ -46,8 +44,12 @@ def store_predictions(rows: DataFrame, path: str) -> None:
 def store_events(rows: DataFrame, path: str) -> None:
     """Append system events that are not stored yet."""
     done = stored_range(rows.sparkSession, path, rows)
-    keys = ["event_type", "message"]
-    append_records(rows if done is None else rows.join(done.select(*keys), keys, "left_anti"), path)
+    keys = ["event_time", "event_type", "message"]
+    rows = rows.dropDuplicates(keys)
+    if done is not None:
+        done = done.select(*[F.col(k).alias(f"_d_{k}") for k in keys])
+        rows = rows.join(done, same(rows, done, [(k, f"_d_{k}") for k in keys]), "left_anti")
+    append_records(rows, path)
 
 
 def scoring_stream(

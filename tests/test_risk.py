@@ -79,6 +79,21 @@ def test_restored_state(spark, ts):
     assert [r["event_type"] for r in got] == [alerts.RECOVERY]
 
 
+def test_rows_without_risk_change_nothing(spark, ts):
+    df = decisions(spark, ts, ["WARNING", None, "WARNING", "NORMAL"])
+    got = alerts.alert_events(df).orderBy("event_time").collect()
+    assert [r["event_type"] for r in got] == [alerts.ALERT, alerts.RECOVERY]
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_latest_of_keys_without_a_time(spark, ts, monkeypatch, bound):
+    monkeypatch.setattr(monitor, "BROADCAST_ROWS", bound)
+    rows = [("a", ts(0), 1), ("a", ts(5), 2), ("a", None, 9), ("b", None, 3), (None, ts(2), 4)]
+    df = spark.createDataFrame(rows, "k string, event_time timestamp, v int")
+    got = monitor.latest_per_key(df, ["k"], ["event_time", "v"]).collect()
+    assert {(r["k"], r["v"]) for r in got} == {("a", 2), ("b", 3), (None, 4)}
+
+
 def test_summary_counts_recoveries_as_alerts(spark, ts):
     stored = alerts.alert_records(
         alerts.alert_events(decisions(spark, ts, [NAMES[c] for c in "NWWCWCNW"]))

@@ -94,6 +94,25 @@ def test_ranks(spark, values, copies, limit):
     assert got == {"first": ordered[0], "mid": ordered[len(data) // 2], "last": ordered[-1]}
 
 
+def test_ranks_of_extreme_values(spark):
+    top = 1.7976931348623157e308
+    data = [float("-inf")] * 3 + [-top, top, 5e-324, 0.0] * 5 + [float(v) for v in range(80)] + [float("inf")] * 4
+    df = spark.createDataFrame([(v,) for v in data], "v double")
+    places = range(0, len(data), 9)
+    found = values_at_ranks(df, [], "v", lambda n: {str(k): F.lit(k) for k in places}, 4)
+    assert {int(r.rank_name): r.rank_value for r in found.collect()} == {k: sorted(data)[k] for k in places}
+
+
+def test_quantiles_with_infinities_agree(spark):
+    rows = [("a", float(v)) for v in range(200)] + [("a", float("inf")), ("b", float("-inf")), ("b", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    few, many = [
+        sorted(map(tuple, exact_quantiles(df, ["k"], "v", {"p0": 0.0, "p95": 0.95, "p1": 1.0}, limit).collect()))
+        for limit in (50, 100_000)
+    ]
+    assert few == many
+
+
 @pytest.mark.parametrize("limit", [5, 100_000])
 def test_quantiles_equal_numpy(spark, limit):
     generator = np.random.default_rng(3)

@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from heatline.functions.scalars import parse_time
 from heatline.operators import alerts, features as feature_ops, monitor
 from heatline.operators.timeline import resample_mean
 from heatline.plans.catalog.streams import finished
@@ -11,7 +12,7 @@ from heatline.sources.sinks import append_records
 from heatline.sources.telemetry import file_messages, replay_stream
 from heatline.streaming.alerts import alert_stream
 from heatline.streaming.features import feature_stream
-from heatline.streaming.ingest import deduplicated, scoring_stream
+from heatline.streaming.ingest import deduplicated, scoring_stream, store_events
 from heatline.streaming.lifecycle import LifecycleListener
 from heatline.streaming.timeline import matured_forecasts, resample_stream
 from test_features import frame
@@ -100,6 +101,19 @@ def test_scoring_survives_a_repeat(spark, ts, tmp_path):
         assert spark.read.parquet(str(tmp_path / "e")).count() == 2
 
 
+def test_events_at_other_times_are_kept(spark, ts, tmp_path):
+    path = str(tmp_path / "e")
+    rows = [(ts(s), "WORKER", "OK", "worker started") for s in (0, 0, 10_800)]
+    for part in (rows[:2], rows, rows):
+        store_events(spark.createDataFrame(part, "event_time timestamp, event_type string, status string, message string"), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_years_beyond_the_calendar(spark):
+    found = spark.createDataFrame([("+12024-01-01T00:00:00",), ("2024-01-01T00:00:00",)], "t string")
+    assert [r[0] is None for r in found.select(parse_time(F.col("t"))).collect()] == [True, False]
+
+
 def test_lifecycle(spark, ts, tmp_path):
     import time
 
