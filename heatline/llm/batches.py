@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text a numpy step works on at once, unless one text is longer.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def fresh(df: DataFrame, name: str) -> str:

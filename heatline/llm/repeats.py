@@ -40,7 +40,7 @@ from heatline.llm.batches import SpanHash, arrow_schema, flat, fresh, steps
 #: Windows of a phrase at most; longer runs of one minimizer are several phrases.
 PHRASE_WINDOWS = 1023
 #: Bytes of phrases that are indexed together, unless one minimizer has more.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 18
 #: One text in so many is looked at for crowded minimizers.
 SAMPLE = 64
 #: Different phrases of a minimizer in the sample from which it is crowded.
