@@ -20,7 +20,9 @@ def test_stages_on_odd_rows(spark, edge_docs, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == edge_docs.columns and docs.schema == edge_docs.schema, name
     texts = [r.text for r in docs.collect()]
-    assert None not in texts and len(texts) == len(set(texts)) > 3
+    # Two texts repeat themselves all through, so nothing is left of them.
+    full = [text for text in texts if text]
+    assert None not in texts and texts.count("") == 2 and len(full) == len(set(full)) > 3
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, edge_docs.limit(0), str(tmp_path)).count() == 0
 
