@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatline.llm import decontaminate, languages, packing, repeats, simhash
-from heatline.llm.batches import fresh
+from heatline.llm.batches import fresh, prepared
 from heatline.operators.scale import written
-from heatline.session import prepare
 
 #: Posterior below which a language counts as not recognised.
 LEAST_POSTERIOR = 0.5
@@ -26,6 +25,7 @@ CAPACITY = 2048
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; without any language to learn, all."""
+    prepared(spark)
     model = languages.train(docs)
     if not model.names:
         return docs
@@ -37,11 +37,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints."""
+    prepared(spark)
     return simhash.representatives(docs, width=3, most_bits=2)
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without their repeated 200-byte strings; ``n_chars`` follows the text."""
+    prepared(spark)
     kept = repeats.without_repeats(docs, REPEATED_BYTES)
     if "n_chars" not in kept.columns:
         return kept
@@ -51,12 +53,13 @@ def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.clean(docs, items, PASSAGE_WORDS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and place."""
+    prepared(spark)
     return packing.packed(docs, "byte_bpe_50k.json", end_id=0, capacity=CAPACITY)
 
 
@@ -72,7 +75,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

@@ -6,12 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heatline.session import prepare
+
 #: Bytes of text a numpy step works on at once, unless one text is longer.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Bytes of an Arrow batch between Spark and Python, unless one row has more.
+BATCH_BYTES = 2 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The library's settings, and Arrow batches bounded by bytes, as texts can be long."""
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -65,7 +75,7 @@ class SpanHash:
             out[0] = 1
             return np.multiply.accumulate(out)
 
-        n = 1 << max(n, 1 << 20).bit_length()
+        n = 1 << max(n, STEP_BYTES + 1).bit_length()
         self.powers, self.inverses = powers(self.base), powers(pow(self.base, -1, 1 << 64))
 
     def __call__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -19,8 +19,8 @@ from heatline.llm import (
     toxicity,
     warc,
 )
-from heatline.llm.batches import id_crc
-from heatline.session import prepare, scratch_path
+from heatline.llm.batches import id_crc, prepared
+from heatline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("op1_license_scan", licenses.scan_sql())

@@ -108,7 +108,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column(0))
         names = np.array(batch.column(1).to_pylist(), object)
-        for first, last in steps(offsets, 1 << 20):
+        for first, last in steps(offsets):
             part = offsets[first : last + 1]
             bucket, row, some = _grams(data[part[0] : part[-1]], part - part[0])
             for name in sorted(set(names[first:last])):
@@ -166,7 +166,7 @@ def predict(
             data, offsets = flat(batch.column(batch.num_columns - 1))
             best = np.full(batch.num_rows, len(names))
             sure = np.zeros(batch.num_rows)
-            for first, last in steps(offsets, 1 << 20) if names else ():
+            for first, last in steps(offsets) if names else ():
                 part = offsets[first : last + 1]
                 bucket, row, some = _grams(data[part[0] : part[-1]], part - part[0])
                 total = np.stack(

@@ -370,11 +370,14 @@ def marked_texts(docs: DataFrame, length: int, text: str = "text") -> DataFrame:
 
 
 def _kept(marked: DataFrame, length: int, with_text: bool) -> DataFrame:
-    """(ha, hb, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of marked texts."""
+    """(ha, hb, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of marked texts.
+
+    ``kept`` leaves out the rest of a parted character as well.
+    """
     schema = arrow_schema(
         [(k, T.LongType()) for k in (*_KEY, "n_bytes", "n_removed", "n_spans")]
         + [("kept_sha256", T.StringType())]
-        + [("kept", T.BinaryType())] * with_text
+        + [("kept", T.StringType())] * with_text
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,14 +405,15 @@ def _kept(marked: DataFrame, length: int, with_text: bool) -> DataFrame:
                 removed.append(sizes[-1] - len(raw))
                 spans.append(n)
                 digests.append(hashlib.sha256(raw).hexdigest())
-                kept.append(raw)
+                if with_text:
+                    kept.append(raw.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)),
                     pa.array(digests, pa.string()),
-                    *([pa.array(kept, pa.binary())] if with_text else []),
+                    *([pa.array(kept, pa.string())] if with_text else []),
                 ],
                 schema.names,
             )
@@ -436,14 +440,7 @@ def without_repeats(docs: DataFrame, length: int, text: str = "text") -> DataFra
     names = {k: fresh(docs, k) for k in _KEY}
     shorter = fresh(docs, "kept_text")
 
-    def readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [raw.decode("utf-8", "ignore") for raw in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["ha", "hb", "kept"]
-            )
-
-    kept = kept.select(*_KEY, "kept").mapInArrow(readable, "ha long, hb long, kept string")
+    kept = kept.select(*_KEY, "kept")
     kept = kept.withColumnsRenamed({**names, "kept": shorter})
     joined = _with_keys(docs, text, names).join(kept, list(names.values()), "left")
     columns = [

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from heatline.llm.batches import SpanHash, arrow_schema, flat, steps
 
 #: Parts a worker remembers before it starts anew; memory only, results don't depend on it.
-MOST_PARTS = 3 << 19
+MOST_PARTS = 1 << 19
 _SEED = 20240916
 #: A word of Latin letters with the blank before it, if any.
 _WORD = re.compile(r" ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
