@@ -1,9 +1,12 @@
 """Licences of texts by known sentences and ordered rules over their sequence.
 
-A text is cut into sentences, each is brought into a plain form, and the known ones
-become identifiers in text order. Rules, the more specific ones first, then look for
-their identifiers on end in that sequence; what a rule matches is used up. Known
-sentences that no rule used are reported as left over.
+A text is brought into a plain form in which cuts are marked. Blank lines and sentence
+ends before a capital part sentences for sure. Single line breaks, colons, semicolons
+and stops before a small letter or digit may part them: a known sentence can begin or
+end there, and can run across. So known sentences are found whichever way a notice is
+wrapped, the longest first, and become identifiers in text order. Rules, the more
+specific ones first, then look for their identifiers on end in that sequence; what a
+rule matches is used up. Known sentences that no rule used are reported as left over.
 
 Everything is worked out within a row: no shuffle, so no source or group of copies
 can crowd a task. Texts without any of the ``HINTS``, one of which every known
@@ -125,33 +128,69 @@ RULES = [
 ]
 #: Every known sentence has one of them.
 HINTS = ("licen", "permission", "redistribut", "warrant", "copyright", "public domain", "rights reserved")
-#: A line that goes on in small letters belongs to the sentence before.
+#: The cuts of the SQL twin: a line that goes on in small letters belongs to the sentence before.
 GOES_ON = r"\n[ \t]*([a-z])"
 ENDS = r"([.!?:])\s+"
 OTHER = r"[^a-z0-9.]+"
 STOPS = r"^[ .]+|[ .]+$"
+#: Marks of the plain form: a cut for sure, and one that may be.
+_CUT, _MAYBE = "\f", "\r"
+#: What becomes what, one after the other, before letters are made small: blank lines and sentence ends
+#: before a capital are cuts; other ends may be, and those of web addresses, and line breaks but before a small letter.
+CUTS = [
+    (r"\n[^a-zA-Z0-9\n]*\n", _CUT),
+    (r"[.!?][\"')\]]*[ \t\n]+(?:[*#/;%>|-]+[ \t]+)?[\"'(\[]*([A-Z])", _CUT + "$1"),
+    (r"[.!?:;][\"')\]]*[ \t\n]+", _MAYBE),
+    (r"[ \t\n]+(<?[hH][tT][tT][pP][sS]?://[^ \t\n\f\r]*)", _MAYBE + "$1" + _MAYBE),
+    (r"\n[ \t]*([a-z])", " $1"),
+    (r"\n", _MAYBE),
+]
+#: The same after it. Marks are doubled, as a sentence takes one before and one after it.
+PLAIN = [
+    (r"[^a-z0-9.\f\r]+", " "),
+    (r"\.+([ \f\r]|$)", "$1"),
+    (r"(^|[ \f\r])\.+", "$1"),
+    (r" *\f[ \f\r]*", _CUT * 2),
+    (r" *\r[ \r]*", _MAYBE * 2),
+    (r"\r\r\f", _CUT),
+    (r"  +", " "),
+]
 
 
-def sentences(text: Column) -> Column:
-    """Plain forms of a text's sentences, in order."""
-    cut = F.regexp_replace(F.regexp_replace(text, GOES_ON, " $1"), ENDS, "$1\n")
-    return F.transform(
-        F.split(cut, "\n"),
-        lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), OTHER, " "), STOPS, ""),
-    )
+def plain(text: Column) -> Column:
+    """A text's plain form between two cuts."""
+    line = F.translate(text, _CUT + _MAYBE, "  ")
+    for old, new in CUTS:
+        line = F.regexp_replace(line, old, new)
+    line = F.lower(line)
+    for old, new in PLAIN:
+        line = F.regexp_replace(line, old, new)
+    return F.concat(F.lit(_CUT), F.trim(line), F.lit(_CUT))
+
+
+def _forms(known: dict[str, str]) -> dict[str, str]:
+    """Known sentences without the stops at the ends of words, as in the plain form, longest first."""
+    words = {" ".join(w.strip(".") for w in form.split()): name for form, name in known.items()}
+    return {form: words[form] for form in sorted(words, key=lambda f: (-len(f), f)) if form}
+
+
+def pattern(known: dict[str, str]) -> str:
+    """Any known sentence between marks, with blanks or possible cuts between its words."""
+    forms = ("(?: |\\r\\r)".join(w.replace(".", "\\.") for w in form.split()) for form in _forms(known))
+    return f"[\\f\\r]({'|'.join(forms)})[\\f\\r]"
 
 
 def identifiers(text: Column, known: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order; empty for NULL."""
     known = known or SENTENCES
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    forms = F.array(*[F.lit(x) for x in known])
+    table = F.create_map(*[F.lit(x) for pair in _forms(known).items() for x in pair])
     low = F.lower(text)
     hinted = F.lit(False)
     for hint in HINTS:
         hinted = hinted | low.contains(hint)
     found = F.transform(
-        F.filter(sentences(text), lambda s: F.array_contains(forms, s)), lambda s: F.element_at(table, s)
+        F.regexp_extract_all(plain(text), F.lit(pattern(known)), F.lit(1)),
+        lambda s: F.element_at(table, F.replace(s, F.lit(_MAYBE * 2), F.lit(" "))),
     )
     none = F.array().cast("array<string>")
     return F.coalesce(F.when(hinted, found).otherwise(none), none)
@@ -221,7 +260,10 @@ def scan(
 
 
 def scan_sql(table: str = "documents") -> str:
-    """The same scan of (doc_id, text) in DuckDB's SQL."""
+    """The scan of (doc_id, text) in DuckDB's SQL, on texts whose known sentences are not wrapped.
+
+    Its cuts are for sure: it misses sentences that run across one.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in SENTENCES.items())
     forms = ", ".join(quote(k) for k in SENTENCES)

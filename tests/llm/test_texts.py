@@ -110,6 +110,124 @@ def test_sequences_and_rules(spark):
     assert found[5] == (0, "", "", "", "none")
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Copyright (c) 2020, A. Author
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES.
+"""
+APACHE = """   Copyright 2020 A. Author
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+NOTICES = {
+    MIT: (5, "mit-title,mit-grant,mit-notice,mit-warranty,mit-liability", "MIT", "", "matched"),
+    BSD: (5, "bsd-grant,bsd-source,bsd-binary,bsd-endorse,bsd-warranty", "BSD-3-Clause", "", "matched"),
+    APACHE: (
+        5, "apache2-name,apache2-condition,apache2-copy,apache2-warranty,apache2-see", "Apache-2.0", "", "matched",
+    ),
+    GPL3: (4, "gpl3-later,gpl-warranty,gpl-see,gpl-copy", "GPL-3.0-or-later", "", "matched"),
+    MPL2: (1, "mpl2-name", "MPL-2.0", "", "matched"),
+}
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+
+
+def test_whole_notices(spark):
+    def commented(text):
+        return "/*\n" + "".join(f" * {line}".rstrip() + "\n" for line in text.split("\n")) + " */\nint x;"
+
+    ways = [str, commented, lambda t: t.replace("\n", "\r\n"), *[lambda t, w=w: wrapped(t, w) for w in (40, 61, 10_000)]]
+    ways.append(lambda t: " ".join(t.removeprefix("   Copyright 2020 A. Author").split()))
+    ways.append(lambda t: t.replace("at\n\n", "at\n"))
+    texts = [way(notice) for way in ways[:-2] for notice in NOTICES]
+    assert scanned(spark, *texts) == [row for _ in ways[:-2] for row in NOTICES.values()]
+    assert scanned(spark, *[way(n) for way in ways[-2:] for n in (APACHE, GPL3)]) == [NOTICES[APACHE], NOTICES[GPL3]] * 2
+
+
+def test_cuts(spark):
+    found = scanned(
+        spark,
+        "Copyright X\nAll rights reserved.\nMIT License\nCopyright Y",
+        "It is not\nlicensed under the MIT License.",
+        "Released under the Apache. License, Version 2.0",
+        "Released under the Apache License. Version 2.0",
+        "Licensed under the Apache License,\nVersion 2.0 of\nit",
+        ". " * 50_000 + "\n" * 50_000 + "Licensed under CC BY 4.0" + " é. É" * 20_000,
+    )
+    assert [row[1] for row in found] == ["rights-reserved,mit-title", "", "", "", "", "cc-by4-name"]
+
+
 def test_licences_of_odd_rows(edge_docs, no_docs):
     rows = licenses.scan(edge_docs).collect()
     assert len(rows) == edge_docs.count() and {r.status for r in rows} == {"none"}
