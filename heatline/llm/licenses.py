@@ -9,8 +9,8 @@ specific ones first, then look for their identifiers on end in that sequence; wh
 rule matches is used up. Known sentences that no rule used are reported as left over.
 
 Everything is worked out within a row: no shuffle, so no source or group of copies
-can crowd a task. Texts without any of the ``HINTS``, one of which every known
-sentence has, are not cut at all.
+can crowd a task. Texts without any of the ``hints`` of the known sentences, single
+words that no plain form parts, are not cut at all.
 
 Defined results: NULL, empty and unlicensed texts have an empty sequence, no licence
 and status ``none``. Repeated sentences are repeated identifiers; a licence is named
@@ -19,6 +19,8 @@ once, in the order of the rules.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +128,6 @@ RULES = [
     ("Unlicense", ["unlicense-name"]),
     ("LicenseRef-all-rights-reserved", ["rights-reserved"]),
 ]
-#: Every known sentence has one of them.
-HINTS = ("licen", "permission", "redistribut", "warrant", "copyright", "public domain", "rights reserved")
 #: The cuts of the SQL twin: a line that goes on in small letters belongs to the sentence before.
 GOES_ON = r"\n[ \t]*([a-z])"
 ENDS = r"([.!?:])\s+"
@@ -170,23 +170,38 @@ def plain(text: Column) -> Column:
 
 def _forms(known: dict[str, str]) -> dict[str, str]:
     """Known sentences without the stops at the ends of words, as in the plain form, longest first."""
-    words = {" ".join(w.strip(".") for w in form.split()): name for form, name in known.items()}
-    return {form: words[form] for form in sorted(words, key=lambda f: (-len(f), f)) if form}
+    words = {" ".join(w.strip(".") for w in form.split() if w.strip(".")): name for form, name in known.items()}
+    return {form: words[form] for form in sorted(words, key=lambda f: (-len(f), f)) if re.search("[a-z0-9]", form)}
 
 
 def pattern(known: dict[str, str]) -> str:
     """Any known sentence between marks, with blanks or possible cuts between its words."""
-    forms = ("(?: |\\r\\r)".join(w.replace(".", "\\.") for w in form.split()) for form in _forms(known))
+    forms = ("(?: |\\r\\r)".join(map(re.escape, form.split())) for form in _forms(known))
     return f"[\\f\\r]({'|'.join(forms)})[\\f\\r]"
 
 
+def hints(known: dict[str, str]) -> tuple[str, ...]:
+    """Few words, long ones where there are any, so that every known sentence has one of them."""
+    left = {form: re.findall("[a-z0-9]+", form) for form in _forms(known)}
+    found: list[str] = []
+    while left:
+        words = {w for ws in left.values() for w in ([w for w in ws if len(w) > 5] or [max(ws, key=len)])}
+        found.append(max(words, key=lambda w: (sum(w in form for form in left), len(w), w)))
+        left = {form: ws for form, ws in left.items() if found[-1] not in form}
+    return tuple(found)
+
+
+#: Of the sentences known here.
+HINTS = hints(SENTENCES)
+
+
 def identifiers(text: Column, known: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order; empty for NULL."""
     known = known or SENTENCES
     table = F.create_map(*[F.lit(x) for pair in _forms(known).items() for x in pair])
     low = F.lower(text)
     hinted = F.lit(False)
-    for hint in HINTS:
+    for hint in hints(known):
         hinted = hinted | low.contains(hint)
     found = F.transform(
         F.regexp_extract_all(plain(text), F.lit(pattern(known)), F.lit(1)),

@@ -228,6 +228,18 @@ def test_cuts(spark):
     assert [row[1] for row in found] == ["rights-reserved,mit-title", "", "", "", "", "cc-by4-name"]
 
 
+def test_no_text_is_dropped_before_it_is_cut(spark):
+    spaced = ["All rights\nreserved.", "All  rights   reserved", "All rights-reserved.", "ALL RIGHTS\n * RESERVED."]
+    assert [row[1] for row in scanned(spark, *spaced)] == ["rights-reserved"] * 4
+    free = "This is free and unencumbered software released into the public\ndomain."
+    assert scanned(spark, free)[0][1:3] == ("unlicense-name", "Unlicense")
+    for form, name in licenses.SENTENCES.items():
+        assert any(hint in form for hint in licenses.HINTS) and all(hint.isalnum() for hint in licenses.HINTS)
+    rows = spark.createDataFrame([("Do as\nyou like.",), ("Do v. 2 it",)], "text string")
+    own = licenses.scan(rows, known={"do as you like": "x", "do v. 2 it": "y"}, rules=[("X", ["x"])], keep=[])
+    assert [(r.sequence, r.status) for r in own.collect()] == [("x", "matched"), ("y", "unknown")]
+
+
 def test_licences_of_odd_rows(edge_docs, no_docs):
     rows = licenses.scan(edge_docs).collect()
     assert len(rows) == edge_docs.count() and {r.status for r in rows} == {"none"}
