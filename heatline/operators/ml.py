@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from heatline.operators.metrics import model_scores
 from heatline.schema import CADENCE_SECONDS, HORIZON_SECONDS, MODULES, TARGETS
+from heatline.session import shared_folder
 
 _VECTOR = "_features"
 
@@ -41,6 +42,8 @@ def fit_per_target(
     rows = assembler.transform(df).select(
         _VECTOR, *[F.col(t).cast("double").alias(t) for t in targets]
     )
+    # Boosting cuts its lineage every few rounds where there is a checkpoint folder.
+    shared_folder(df.sparkSession)
     rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = [
@@ -79,9 +82,9 @@ def module_forecasts(
 
 
 def importances(
-    spark: SparkSession, model: PipelineModel, module: str = MODULES[0], n: int | None = 50
+    spark: SparkSession, model: PipelineModel, module: str = MODULES[0], n: int | None = None
 ) -> DataFrame:
-    """Features of one module's trees by importance."""
+    """Features of one module's trees by importance; all, or the first ``n``."""
     features = model.stages[0].getInputCols()
     trees = next(s for s in model.stages[1:] if s.getPredictionCol() == f"Predicted_{module}")
     pairs = [(f, float(v)) for f, v in zip(features, trees.featureImportances.toArray())]

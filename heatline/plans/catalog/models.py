@@ -202,26 +202,22 @@ def m3(spark, sf):
     return _forecast(rows.filter("split = 'test'"), _fit(rows.filter("split = 'train'"), ml.linear_regression))
 
 
-def _trees():
-    return ml.boosted_trees(5)
-
-
 @query("m4_boosted_trees")
 def m4(spark, sf):
     rows = _training_rows(spark, sf)
-    return _forecast(rows.filter("split = 'test'"), _fit(rows.filter("split = 'train'"), _trees))
+    return _forecast(rows.filter("split = 'test'"), _fit(rows.filter("split = 'train'"), ml.boosted_trees))
 
 
 @query("m6_production_refit")
 def m6(spark, sf):
     rows = _training_rows(spark, sf)
-    return _forecast(rows.filter("split = 'test'"), _fit(split.production_rows(rows), _trees))
+    return _forecast(rows.filter("split = 'test'"), _fit(split.production_rows(rows), ml.boosted_trees))
 
 
 @query("m7_feature_importance")
 def m7(spark, sf):
-    model = _fit(_training_rows(spark, sf).filter("split = 'train'"), _trees)
-    return ml.importances(spark, model, "value", 25)
+    model = _fit(_training_rows(spark, sf).filter("split = 'train'"), ml.boosted_trees)
+    return ml.importances(spark, model, "value")
 
 
 @query("m9_reloaded_model")

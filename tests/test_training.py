@@ -156,6 +156,35 @@ def test_models(spark, features, tmp_path):
     assert forecasts.count() == 8 * test.count()
 
 
+@pytest.mark.parametrize("name", ["m4_boosted_trees", "m6_production_refit", "m7_feature_importance"])
+def test_tree_queries_take_every_round(spark, monkeypatch, name):
+    from heatline.plans.catalog import models
+
+    class Fitted(Exception):
+        pass
+
+    def fit(df, features, targets, modules, estimator):
+        raise Fitted(estimator().getMaxIter())
+
+    rows = spark.createDataFrame([("train",)], "split string")
+    monkeypatch.setattr(models, "_training_rows", lambda spark, sf: rows)
+    monkeypatch.setattr(models.split, "production_rows", lambda df: df)
+    monkeypatch.setattr(ml, "fit_per_target", fit)
+    query = {"m4": models.m4, "m6": models.m6, "m7": models.m7}[name[:2]]
+    with pytest.raises(Fitted, match="^250$"):
+        query(spark, "")
+
+
+def test_all_importances(spark):
+    names = [f"x{k}" for k in range(60)]
+    rows = [(*[float((k * j) % 7) for j in range(60)], float(k % 5)) for k in range(1, 40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in [*names, "y"]))
+    trees = ml.fit_per_target(df, names, ["y"], ["m"], lambda: ml.boosted_trees(1))
+    assert sorted(r["feature"] for r in ml.importances(spark, trees, "m").collect()) == sorted(names)
+    assert ml.importances(spark, trees, "m", 3).count() == 3
+    assert spark.sparkContext.getCheckpointDir()
+
+
 def test_sinks(spark, raw, features, tmp_path):
     modules = modules_from_raw(raw[1])
     write_dataset(modules, str(tmp_path / "modules"))
