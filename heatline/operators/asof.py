@@ -136,11 +136,14 @@ def _stretch_width(sizes: list[tuple[int, int, int]], tolerance: int) -> int:
 def _per_time(readings: DataFrame, on: list[str], ties: int) -> DataFrame:
     """One row per distinct time, with its first and its last value."""
     names = [f"_o{i}" for i in range(ties)]
-    rank = F.struct(*names) if ties > 1 else F.col(names[0])
+    # A struct is never NULL, so readings with NULL ties count here as in the window.
+    rank = F.struct(*names)
     return readings.groupBy(*on, "_t").agg(
         F.min_by("_early", rank).alias("_early"),
         F.max_by("_late", rank).alias("_late"),
-        *[F.max(n).alias(n) for n in names],
+        F.max(rank).alias("_rank"),
+    ).select(
+        *on, "_t", "_early", "_late", *[F.col("_rank")[n].alias(n) for n in names],
     )
 
 

@@ -56,6 +56,27 @@ def test_repeated_readings_follow_order(spark, ts):
     assert {r["at"]: r["matched_value"] for r in out} == {ts(11): 2.0, ts(29): 3.0, None: None}
 
 
+@pytest.mark.parametrize("ties", [["seq"], ["seq", "part"]])
+def test_null_ties_on_both_sides_of_the_limit(spark, ts, ties):
+    right = spark.createDataFrame(
+        [
+            ("m", ts(10), 1.0, None, None), ("m", ts(10), 2.0, 2, None),
+            ("m", ts(30), 3.0, None, None),
+            ("m", ts(50), 5.0, None, 2), ("m", ts(50), 6.0, None, None),
+        ],
+        "module string, t timestamp, v double, seq int, part int",
+    )
+    # Of ties that are wholly equal, any may win.
+    right = right.filter("v != 6.0") if len(ties) == 1 else right
+    left = spark.createDataFrame([("m", ts(s)) for s in (9, 11, 29, 31, 49, 51)], "module string, at timestamp")
+
+    def matched(limit):
+        out = asof_nearest(left, right, ["module"], "at", "t", "v", 5, ties, limit=limit)
+        return [r["matched_value"] for r in out.orderBy("at").collect()]
+
+    assert matched(1) == matched(None) == [1.0, 2.0, 3.0, 3.0, 6.0 if len(ties) == 2 else 5.0, 5.0]
+
+
 def test_performance_pools_errors(spark, ts):
     rows = [
         ("a", ts(0), 20.0, 21.0), ("a", ts(300), 22.0, 30.0), ("b", ts(0), 10.0, 14.0),
