@@ -53,9 +53,15 @@ _SWAP, _DROP, _BREAK, _TWICE = 1.5, 0.3, 2.0, 0.7
 _RANDOM = math.log(1 / 32)
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = "".join(LOOKS_LIKE)
-_SPACED = re.compile(r"(?<!\w)[^\W\d_](?:([ .\-_*])(?:[^\W\d_]|[0-9@$!|+(<])(?=\1|\W|$))(?:\1[\w@$!|+(<](?=\1|\W|$)){1,}")
+#: Letters or marks parted by the same sign; a span without any letter is a row of numbers.
+_SPACED = re.compile(
+    rf"(?<!\w)(?:[^\W\d_]|[{re.escape(_MARKS)}])([ .\-_*])(?:[^\W\d_]|[{re.escape(_MARKS)}])(?=\1|\W|$)"
+    rf"(?:\1[\w{re.escape(_MARKS)}](?=\1|\W|$))+"
+)
+#: Words with a mark beside a letter, or a letter three times.
 _MARKED = re.compile(
-    rf"(?=[\w@$!|+(<]*(?:[^\W\d_][{re.escape(_MARKS)}]+[^\W\d_]|[0-9@$][^\W\d_]{{2}}|([^\W\d_])\1\1))[\w@$!|+(<]+"
+    rf"(?<![\w{re.escape(_MARKS)}])(?=[\w{re.escape(_MARKS)}]*?"
+    rf"(?:[^\W\d_][{re.escape(_MARKS)}]|[{re.escape(_MARKS)}][^\W\d_]|([^\W\d_])\1\1))[\w{re.escape(_MARKS)}]+"
 )
 
 
@@ -150,18 +156,16 @@ def decode(span: str, model: np.ndarray) -> str:
 
 def _suspects(data: np.ndarray) -> np.ndarray:
     """Bytes at which a span with marks may be."""
+    data = np.pad(data, 2)
     low = data | 0x20
     letter = ((low >= 0x61) & (low <= 0x7A) & (data < 0x80)) | (data >= 0x80)
     sign = np.isin(data, np.frombuffer(_MARKS.encode(), np.uint8))
     out = np.zeros(len(data), bool)
-    if len(data) < 5:
-        out[:] = True
-        return out
     out[1:-1] = sign[1:-1] & (letter[:-2] | letter[2:])
     out[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
     part = np.isin(data, np.frombuffer(PARTS.encode(), np.uint8))
     out[1:-3] |= part[1:-3] & (data[1:-3] == data[3:-1]) & ~part[2:-2] & ~part[:-4]
-    return out
+    return out[2:-2]
 
 
 class Restorer:
@@ -171,7 +175,7 @@ class Restorer:
         self.read = lru_cache(maxsize=1 << 16)(lambda span: decode(span, model))
 
     def __call__(self, text: str) -> str:
-        text = _SPACED.sub(lambda m: self.read(m[0]), text)
+        text = _SPACED.sub(lambda m: self.read(m[0]) if _WORD.search(m[0]) else m[0], text)
         return _MARKED.sub(lambda m: self.read(m[0]), text)
 
 

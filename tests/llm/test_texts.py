@@ -321,6 +321,21 @@ def test_obfuscated_words_are_restored(spark, toxic_model):
     assert {t: int(s >= 0.3) for t, s in found.items()} == texts
 
 
+def test_marks_at_the_ends_of_words_are_read(spark, toxic_model):
+    texts = {
+        "an idio7 here": 1, "idio+": 1, "!diot": 1, "|diot": 1, "you |d10+": 1, "1 d 1 0 t": 1, "! d i o t": 1,
+        "an 1.d.i.o.7": 1, "idiot!!": 1, "(idiot": 1, "moron<": 1, "m0r0n5 moron1": 1, "5 i d i o t": 1,
+        "house! (river": 0, "1 2 3 4 5": 0, "5 a day": 0, "7 window+": 0,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r.text: r.score for r in toxicity.score(rows, toxic_model).collect()}
+    assert {t: int(s >= 0.3) for t, s in found.items()} == texts
+    # Each one alone, so that no other text of the batch makes it a suspect.
+    for text in ("!diot", "idio7", "a55"):
+        assert toxicity._suspects(np.frombuffer(text.encode(), np.uint8)).any()
+        assert toxicity._MARKED.fullmatch(text)
+
+
 def test_toxicity_of_odd_rows(edge_docs, no_docs, toxic_model):
     rows = toxicity.score(edge_docs, toxic_model, name="found").collect()
     assert len(rows) == edge_docs.count() and all(0 <= r.found < 0.3 for r in rows)
