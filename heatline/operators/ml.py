@@ -125,8 +125,10 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     return PipelineModel.load(f"{path}/model"), facts
 
 
-def check_model(model: PipelineModel, facts: dict, sample: DataFrame) -> None:
-    """M9: a reloaded model agrees with its metadata and scores a sample."""
+def check_model(
+    model: PipelineModel, facts: dict, sample: DataFrame, original: PipelineModel | None = None
+) -> None:
+    """M9: a reloaded model agrees with its metadata and scores every row, as the original does if given."""
     features = model.stages[0].getInputCols()
     if list(features) != list(facts["feature_columns"]) or len(features) != facts["feature_count"]:
         raise ValueError("Model inputs differ from the metadata.")
@@ -135,9 +137,17 @@ def check_model(model: PipelineModel, facts: dict, sample: DataFrame) -> None:
     outputs = [s.getPredictionCol() for s in model.stages[1:]]
     if len(outputs) != len(facts["targets"]):
         raise ValueError("Model outputs differ from the metadata.")
-    rows = score(sample.limit(3), model).select(*outputs).collect()
-    if not rows or any(v is None for r in rows for v in r):
+    scored = score(sample, model)
+    none = F.count_if(F.greatest(*[F.col(c).isNull() for c in [*outputs, outputs[0]]]))
+    found = scored.agg(F.count(F.lit(1)).alias("rows"), none.alias("none")).head()
+    if not found["rows"] or found["none"]:
         raise ValueError("Model gave no forecast for the sample.")
+    if original is not None:
+        firsts = [f"_first_{k}" for k in range(len(outputs))]
+        both = score(score(sample, original).withColumnsRenamed(dict(zip(outputs, firsts))), model)
+        differ = F.greatest(*[~F.col(a).eqNullSafe(F.col(b)) for a, b in zip([*outputs, outputs[0]], [*firsts, firsts[0]])])
+        if not both.filter(differ).isEmpty():
+            raise ValueError("Reloaded model gives other forecasts than the original.")
 
 
 def stored_scores(pairs_by_model: dict[str, DataFrame], name: str, baseline: str = "Persistence") -> dict:

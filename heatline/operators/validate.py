@@ -128,7 +128,7 @@ def split_valid(df: DataFrame, required: list[str], value: str = "value"):
 
 
 def checked_requests(df: DataFrame, required: list[str], value: str = "value") -> DataFrame:
-    """Status, message and the missing names of a scoring request."""
+    """Status, message and the missing names of a scoring request: those shown, and all."""
     parsed = _parsed(df, value, required)
     gone, bad = F.size("_missing"), F.col("_bad") > 0
     not_object = ~F.col("_is_object")
@@ -143,6 +143,7 @@ def checked_requests(df: DataFrame, required: list[str], value: str = "value") -
             .when(bad, "All model features must be finite."),
             "missing_count": gone,
             "missing_features": F.slice("_missing", 1, _SHOWN_BY_REQUEST),
+            "all_missing_features": F.col("_missing"),
         },
         df.columns,
     )

@@ -235,5 +235,5 @@ def m9(spark, sf):
     path = scratch_path(spark, "model")
     ml.save_model(spark, model, facts, path)
     copy, read = ml.load_model(spark, path)
-    ml.check_model(copy, read, test)
+    ml.check_model(copy, read, test, model)
     return _forecast(test, copy)

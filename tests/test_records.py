@@ -65,6 +65,12 @@ def test_requests(spark, ts):
     assert rows[3]["detail"] == "All model features must be finite."
 
 
+def test_requests_keep_every_missing_name(spark, ts):
+    names = [f"f{i}" for i in range(25)]
+    row = checked_requests(envelopes(spark, ts, ['{"f3": 1}']), names).head()
+    assert row["all_missing_features"] == [n for n in names if n != "f3"]
+
+
 def test_replay_adds_nothing(spark, ts):
     rows = [(0, 10, "a", ts(0)), (0, 10, "a", ts(0)), (0, 10, "b", ts(0)), (None, 1, "a", ts(1)), (None, 1, "a", ts(1))]
     df = spark.createDataFrame(rows, "kafka_partition int, kafka_offset long, module string, event_time timestamp")

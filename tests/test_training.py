@@ -185,6 +185,26 @@ def test_all_importances(spark):
     assert spark.sparkContext.getCheckpointDir()
 
 
+def test_reloaded_model_is_checked_on_every_row(spark):
+    rows = spark.createDataFrame([(float(k), 2.0 * k) for k in range(40)], "x double, y double").coalesce(1)
+    late = rows.withColumn("y", F.when(F.col("x") > 30, 0.0).otherwise(F.col("y")))
+    model, other = (ml.fit_per_target(d, ["x"], ["y"], ["m"]) for d in (rows, late))
+    facts = ml.metadata(["x"], {}, ["y"])
+    ml.check_model(model, facts, rows, model)
+    with pytest.raises(ValueError, match="other forecasts"):
+        ml.check_model(model, facts, rows, other)
+
+    class LateGap:
+        stages = model.stages
+
+        def transform(self, df):
+            out = model.transform(df)
+            return out.withColumn("Predicted_m", F.when(F.col("x") < 20, F.col("Predicted_m")))
+
+    with pytest.raises(ValueError, match="no forecast"):
+        ml.check_model(LateGap(), facts, rows)
+
+
 def test_sinks(spark, raw, features, tmp_path):
     modules = modules_from_raw(raw[1])
     write_dataset(modules, str(tmp_path / "modules"))
