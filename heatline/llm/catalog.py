@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatline.llm import (
+    conversations,
     decontaminate,
     languages,
     licenses,
@@ -163,3 +164,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(codes, queries, 10).select(
         F.col("q").alias("query_id"), F.col("id").alias("neighbor_id"), "distance", "rank"
     )
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after a planned damage."""
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.summaries(conversations.repair(rows, copies="copies"))
