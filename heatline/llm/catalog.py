@@ -19,6 +19,7 @@ from heatline.llm import (
     token_files,
     toxicity,
     warc,
+    whitening,
 )
 from heatline.llm.batches import id_crc, prepared
 from heatline.session import scratch_path
@@ -171,3 +172,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cheapest repair of every conversation after a planned damage."""
     rows = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.summaries(conversations.repair(rows, copies="copies"))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixteen whitened components of every vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(rows, whitening.fit(rows), keep=["vec_id"])
