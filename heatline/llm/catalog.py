@@ -12,6 +12,7 @@ from heatline.llm import (
     decontaminate,
     languages,
     licenses,
+    mixing,
     nearest,
     packing,
     repeats,
@@ -179,3 +180,9 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sixteen whitened components of every vector."""
     rows = table(spark, sf_dir, "embeddings")
     return whitening.whitened(rows, whitening.fit(rows), keep=["vec_id"])
+
+
+@query("op13_source_mix", mixing.mix_sql())
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix with target weights takes."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
