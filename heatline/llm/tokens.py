@@ -55,11 +55,11 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class _Known:
-    """Sorted part hashes with a second hash and the ids of each part."""
+    """Sorted part hashes with each part's length, its place in the bytes kept, and its ids."""
 
     def __init__(self):
-        self.keys = self.checks = np.zeros(0, np.uint64)
-        self.starts = self.counts = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.fields = np.zeros((4, 0), np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -67,17 +67,32 @@ class _Known:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def add(self, keys, checks, starts, counts) -> None:
+    def add(self, keys: np.ndarray, fields: np.ndarray) -> None:
         keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.checks = np.concatenate((self.checks, checks))[order]
-        self.starts = np.concatenate((self.starts, starts))[order]
-        self.counts = np.concatenate((self.counts, counts))[order]
+        self.fields = np.concatenate((self.fields, fields), axis=1)[:, order]
+
+
+def _grown(pool: np.ndarray, size: int) -> np.ndarray:
+    while size > len(pool):
+        pool = np.concatenate((pool, np.zeros_like(pool)))
+    return pool
+
+
+def _places(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Encoder:
-    """A tokenizer with the parts this worker has encoded so far."""
+    """A tokenizer with the parts this worker has encoded so far.
+
+    Parts are looked up by a hash and compared byte by byte; a step in which two
+    different parts share a hash is left to the library as whole texts, and so is every
+    text that has the name of a special token, which the library looks for first.
+    """
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,15 +103,19 @@ class Encoder:
 
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
-        # The names of special tokens are ordinary text in a document.
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Names that are sought in a text as it stands; with others, all goes to the library.
+        self.simple = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
+        names = [re.escape(t.content.encode()) for t in added]
+        self.names = re.compile(b"|".join(names) if names else b"(?!)")
         self.short = self._short_way()
-        self.hash, self.check = SpanHash(_SEED), SpanHash(_SEED + 1)
+        self.hash = SpanHash(_SEED)
         self._forget()
 
     def _forget(self) -> None:
         self.old, self.new = _Known(), _Known()
         self.pool, self.filled = np.zeros(1 << 16, np.uint32), 0
+        self.bytes, self.kept = np.zeros(1 << 16, np.uint8), 0
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,66 +150,94 @@ class Encoder:
             found[k] = ids
         return found
 
-    def _learn(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, parts: list[bytes]) -> np.ndarray:
+        """Length, place of the bytes, place and number of the ids of new parts."""
         found = self._ids([p.decode("utf-8", "replace") for p in parts])
         counts = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
-        while self.filled + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool = _grown(self.pool, self.filled + len(ids))
         self.pool[self.filled : self.filled + len(ids)] = ids
         starts = self.filled + np.cumsum(counts) - counts
         self.filled += len(ids)
-        return starts, counts
+        body = np.frombuffer(b"".join(parts), np.uint8)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.bytes = _grown(self.bytes, self.kept + len(body))
+        self.bytes[self.kept : self.kept + len(body)] = body
+        places = self.kept + np.cumsum(sizes) - sizes
+        self.kept += len(body)
+        return np.stack((sizes, places, starts, counts))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each text's ids begin (n + 1 places)."""
+        if not self.simple:
+            return self._plain(data, offsets)
+        named = [m.start() for m in self.names.finditer(data.tobytes())]
+        if not named:
+            return self._by_parts(data, offsets)
+        rows = np.unique(np.searchsorted(offsets, named, "right") - 1)
+        sizes = np.diff(offsets)
+        rest = sizes.copy()
+        rest[rows] = 0
+        ids, at = self._by_parts(data[_places(offsets[:-1], rest)], np.append(0, np.cumsum(rest)))
+        own = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+        for k, found in zip(rows, self.library([self._text(data, offsets, k) for k in rows])):
+            own[k] = np.array(found, np.uint32)
+        return np.concatenate(own), np.cumsum([0, *map(len, own)])
+
+    @staticmethod
+    def _text(data: np.ndarray, offsets: np.ndarray, k: int) -> str:
+        return data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")
+
+    def _by_parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = np.flatnonzero(np.diff(offsets))
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         first = cuts(data, offsets[texts])
         last = np.append(first[1:], len(data))
-        hashes, checks = self.hash(data, first, last), self.check(data, first, last)
+        sizes = last - first
+        hashes = self.hash(data, first, last)
         order = np.argsort(hashes)
         ranked = hashes[order]
         new = np.append(True, ranked[1:] != ranked[:-1])
         keys, sample = ranked[new], order[new]
         inverse = np.empty(len(order), np.int64)
         inverse[order] = np.cumsum(new) - 1
-        own = checks[sample]
-        if not np.array_equal(own[inverse], checks):
+        twin = sample[inverse]
+        if not np.array_equal(sizes[twin], sizes):
+            return self._plain(data, offsets)
+        if not np.array_equal(data[np.repeat(first[twin] - first, sizes) + np.arange(len(data))], data):
             return self._plain(data, offsets)
         if len(self.old.keys) + len(self.new.keys) + len(keys) > MOST_PARTS:
             self._forget()
-        starts, counts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        fields = np.zeros((4, len(keys)), np.int64)
         unknown = np.ones(len(keys), bool)
         for known in (self.old, self.new):
             at = known.find(keys)
-            hit = at >= 0
-            if not np.array_equal(known.checks[at[hit]], own[hit]):
+            hit = np.flatnonzero(at >= 0)
+            found, where = known.fields[:, at[hit]], sample[hit]
+            if not np.array_equal(found[0], sizes[where]):
+                return self._plain(data, offsets)
+            kept = self.bytes[_places(found[1], found[0])]
+            if not np.array_equal(kept, data[_places(first[where], found[0])]):
                 return self._plain(data, offsets)
-            starts[hit], counts[hit] = known.starts[at[hit]], known.counts[at[hit]]
-            unknown &= ~hit
+            fields[:, hit] = found
+            unknown[hit] = False
         if unknown.any():
             where = sample[unknown]
             raw = data.tobytes()
-            parts = [raw[a:b] for a, b in zip(first[where].tolist(), last[where].tolist())]
-            starts[unknown], counts[unknown] = self._learn(parts)
-            self.new.add(keys[unknown], own[unknown], starts[unknown], counts[unknown])
+            learned = self._learn([raw[a:b] for a, b in zip(first[where].tolist(), last[where].tolist())])
+            fields[:, unknown] = learned
+            self.new.add(keys[unknown], learned)
             if len(self.new.keys) > 4096 + len(self.old.keys) // 4:
-                self.old.add(self.new.keys, self.new.checks, self.new.starts, self.new.counts)
+                self.old.add(self.new.keys, self.new.fields)
                 self.new = _Known()
-        each = counts[inverse]
-        ends = np.cumsum(each)
-        take = np.repeat(starts[inverse] - (ends - each), each) + np.arange(ends[-1])
-        before = np.append(0, ends)
-        return self.pool[take], before[np.searchsorted(first, offsets)]
+        each = fields[3][inverse]
+        before = np.append(0, np.cumsum(each))
+        return self.pool[_places(fields[2][inverse], each)], before[np.searchsorted(first, offsets)]
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two parts share a hash: leave whole texts to the library."""
-        raw = data.tobytes()
-        found = self.library(
-            [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
-        )
+        """Whole texts by the library."""
+        found = self.library([self._text(data, offsets, k) for k in range(len(offsets) - 1)])
         ends = np.cumsum([0, *map(len, found)])
         return np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1])), ends
 

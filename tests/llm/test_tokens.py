@@ -21,6 +21,35 @@ def encoder(request):
     return Encoder(request.param)
 
 
+def library(name, texts):
+    """The library's own ids, with no setting touched."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path(name))
+    return [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_special_names_and_equal_hashes(name):
+    """Names of special tokens anywhere, and words that any sum of letters modulo 2**64 takes for one."""
+    names = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "|endoftext|>"]
+    texts = [f"{a}{n}{b}" for n in names for a in ("", " ", "hello ", "x", "\n", "É,") for b in ("", " ", " there", "y.")]
+    texts += ["".join(random.Random(k).choices([*names, " ", "a", "é "], k=9)) for k in range(50)]
+    one = "a"
+    for _ in range(10):
+        one += one.translate({97: "b", 98: "a"})
+    other = one.translate({97: "b", 98: "a"})
+    texts += [one, other, f"{one} {other}", f"{other} {one}", *odd_texts(9, 100)]
+    pick = random.Random(1)
+    for _ in range(3):
+        pick.shuffle(texts)
+        ids, at = Encoder(name).encode(*flat(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library(name, texts)
+    known = Encoder(name)
+    for text in (one, other):
+        assert known.encode(*flat(pa.array([text])))[0].tolist() == library(name, [text])[0]
+
+
 def odd_texts(seed, n=300):
     pick = random.Random(seed)
     letters = ["a", "B", "é", "É", "ß", "İ", "ñ", " ", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "23", "-",
@@ -78,7 +107,7 @@ def test_bits_round_trip():
 
 
 def wanted(texts, tokenizer, end_id):
-    found = Encoder(tokenizer).library([t or "" for t in texts])
+    found = library(tokenizer, [t or "" for t in texts])
     return [ids + [end_id] for ids in found]
 
 
