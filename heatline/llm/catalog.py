@@ -87,9 +87,9 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_crc("doc_id") % 4 == 2)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL")
-    labelled = docs.filter(~F.col("held_out")).join(labels, "doc_id").select("text", "toxic")
-    model = toxicity.train(docs, labelled)
+    labels = table(spark, sf_dir, "labels").filter(id_crc("doc_id") % 4 != 2)
+    labelled = toxicity.labelled_texts(docs.filter(~F.col("held_out")), labels)
+    model = toxicity.train(docs, labelled, copies="copies")
     return toxicity.score(docs, model, keep=["doc_id", "held_out"]).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int")
     )

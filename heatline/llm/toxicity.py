@@ -11,8 +11,8 @@ at least one of its words being reason enough for the label.
 The corpus is counted in Spark: trigrams of all texts (a table of 28**3 at most), and
 the rows, toxic and not, of every word of the labelled texts. Only words that look
 toxic, and how often each set of them occurs with each label, reach the driver;
-``MOST_WORDS`` bounds the words, and ``MOST_SETS`` the sets, by dealing out
-labelled rows to a sample.
+``MOST_ROWS`` bounds both, as beyond it a sample of the labelled rows is learned from.
+The labels of that sample are broadcast to the texts, which never move.
 
 Defined results: NULL, empty and wordless texts get the score of a text without toxic
 words; without labelled rows every score is 0. A row labelled twice counts twice.
@@ -43,8 +43,8 @@ LOOKS_LIKE = {
 }
 #: Signs that part letters.
 PARTS = " .-_*"
-MOST_WORDS = 4096
-MOST_SETS = 200_000
+#: Labelled rows the classifier learns from; of more, a sample by hash.
+MOST_ROWS = 200_000
 #: Toxic rows a word needs at least.
 LEAST_ROWS = 4
 _SYMBOLS = 28
@@ -216,82 +216,118 @@ def _cover(sets: list[tuple[list[int], int, int]], names: list[str], rows: dict[
     ``sets`` has (words, label, rows) of rows with any candidate word, ``rows`` all rows by label.
     """
     weight: dict[str, float] = {}
-    left = list(range(len(sets)))
+    toxic, clean = np.zeros(len(names)), np.zeros(len(names))
+    holding: list[list[int]] = [[] for _ in names]
+    for k, (words, label, n) in enumerate(sets):
+        (toxic if label else clean)[words] += n
+        for word in words:
+            holding[word].append(k)
+    left = np.ones(len(sets), bool)
     while True:
-        toxic, clean = np.zeros(len(names)), np.zeros(len(names))
-        for k in left:
-            words, label, n = sets[k]
-            (toxic if label else clean)[words] += n
         bound = np.where(toxic >= LEAST_ROWS, _lower_bound(toxic, toxic + clean), 0.0)
         if not len(bound) or bound.max() < 0.5:
             break
         # Among sure words the one that explains most; names settle ties.
         best = max(np.flatnonzero(bound >= 0.5), key=lambda k: (toxic[k] * bound[k], names[k]))
         weight[names[best]] = float((toxic[best] + 0.5) / (toxic[best] + clean[best] + 1))
-        left = [k for k in left if best not in sets[k][0]]
+        for k in holding[best]:
+            if left[k]:
+                words, label, n = sets[k]
+                (toxic if label else clean)[words] -= n
+                left[k] = False
     covered = {0: 0, 1: 0}
-    kept = set(left)
-    for k, (_, label, n) in enumerate(sets):
-        if k not in kept:
-            covered[label] += n
+    for k in np.flatnonzero(~left):
+        covered[sets[k][1]] += sets[k][2]
     rest = {y: rows.get(y, 0) - covered[y] for y in (0, 1)}
     base = (rest[1] + 0.5) / (rest[0] + rest[1] + 1) if rows else 0.0
     return weight, base
 
 
+def _share(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """``rows``, or about ``most`` of them by a hash of ``key`` where there are more."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit(6), key), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def labelled_texts(
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    most: int = MOST_ROWS,
+) -> DataFrame:
+    """(text, label, copies) of the labelled texts; of more labels than ``most``, a sample.
+
+    The labels are counted and broadcast, and the texts picked where they are read.
+    """
+    hidden = fresh(docs.select(doc_id, text), "labelled_id")
+    marks = labels.select(F.col(doc_id).alias(hidden), F.col(label).cast("int").alias("y"))
+    marks = marks.filter("y IN (0, 1)").groupBy(hidden, "y").agg(F.count(F.lit(1)).alias("copies"))
+    marks = F.broadcast(_share(marks, hidden, most))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    return rows.join(marks, F.col("_id") == F.col(hidden)).select("text", F.col("y").alias(label), "copies")
+
+
 def train(
-    docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "toxic"
+    docs: DataFrame,
+    labelled: DataFrame,
+    text: str = "text",
+    label: str = "toxic",
+    copies: str | None = None,
+    most: int = MOST_ROWS,
 ) -> ToxicityModel:
-    """Characters from all of ``docs``, toxic words from ``labelled`` texts with 0 or 1."""
+    """Characters from all of ``docs``, toxic words from ``labelled`` texts with 0 or 1.
+
+    ``copies`` names a column of how often a labelled row counts.
+    """
     characters = character_model(docs, text)
-    rows = labelled.select(F.col(label).cast("int").alias("y"), F.col(text).cast("string").alias("text"))
+    rows = labelled.select(
+        F.col(label).cast("int").alias("y"),
+        (F.col(copies) if copies else F.lit(1)).cast("long").alias("n"),
+        F.col(text).cast("string").alias("text"),
+    ).filter("y IN (0, 1) AND text IS NOT NULL")
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
         for batch in batches:
-            words = [sorted(found) for found in _words_of(batch.column(1), restorer)]
+            words = [sorted(found) for found in _words_of(batch.column(2), restorer)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words, pa.list_(pa.string()))], ["y", "words"]
+                [batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string()))], ["y", "n", "words"]
             )
 
-    rows = rows.filter("y IN (0, 1) AND text IS NOT NULL").mapInArrow(spelled, "y int, words array<string>")
+    rows = _share(rows, "text", most).mapInArrow(spelled, "y int, n long, words array<string>")
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "labelled-words")
-    by_label = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    by_label = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     counted = (
-        rows.select("y", F.explode("words").alias("word"))
+        rows.select("y", "n", F.explode("words").alias("word"))
         .groupBy("word")
-        .agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+        .agg(F.sum(F.col("y") * F.col("n")).alias("toxic"), F.sum("n").alias("n"))
         .filter(F.col("toxic") >= LEAST_ROWS)
     )
     rate, z, n = F.col("toxic") / F.col("n"), 1.96, F.col("n")
     bound = (
         rate + z * z / (2 * n) - z * F.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))
     ) / (1 + z * z / n)
-    candidates = (
-        counted.withColumn("bound", bound)
-        .filter("bound >= 0.5")
-        .orderBy(F.desc(F.col("bound") * F.col("toxic")), "word")
-        .limit(MOST_WORDS)
-    )
-    names = sorted(r["word"] for r in candidates.select("word").collect())
+    # Words of a bounded number of rows, each of them mostly toxic.
+    names = sorted(r["word"] for r in counted.filter(bound >= 0.5).select("word").collect())
     if not names:
         return ToxicityModel(characters, {}, _cover([], [], by_label)[1])
     known = docs.sparkSession.createDataFrame(list(enumerate(names)), "k int, word string")
-    share = min(1.0, MOST_SETS / max(sum(by_label.values()), 1))
     sets = (
-        rows.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        .select("row", "y", F.explode("words").alias("word"))
+        rows.select("row", "y", "n", F.explode("words").alias("word"))
         .join(bounded_broadcast(known), "word")
-        .groupBy("row", "y")
+        .groupBy("row", "y", "n")
         .agg(F.sort_array(F.collect_set("k")).alias("ks"))
         .groupBy("ks", "y")
-        .count()
+        .agg(F.sum("n").alias("n"))
         .collect()
     )
-    sets = [(list(r["ks"]), r["y"], r["count"]) for r in sets]
-    weight, base = _cover(sets, names, {y: round(n * share) for y, n in by_label.items()})
+    weight, base = _cover([(list(r["ks"]), r["y"], r["n"]) for r in sets], names, by_label)
     return ToxicityModel(characters, weight, base)
 
 

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -311,6 +312,61 @@ def test_toxic_words_are_learned(toxic_model):
     assert set(toxic_model.words) == {"idiot", "moron"} and 0 < toxic_model.base < 0.05
 
 
+def test_labels_meet_their_texts(spark):
+    docs = spark.createDataFrame([(1, "a", 9), (1, "b", 9), (2, None, 9), (None, "c", 9)], "doc_id long, text string, toxic int")
+    labels = [(1, 1), (1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (2, None), (2, 7)]
+    labels = spark.createDataFrame([(*r, "x") for r in labels], "doc_id long, toxic int, text string")
+    rows = toxicity.labelled_texts(docs, labels)
+    found = sorted(map(str, (tuple(r) for r in rows.collect())))
+    assert found == sorted(map(str, [("a", 1, 2), ("b", 1, 2), ("a", 0, 1), ("b", 0, 1), (None, 0, 1)]))
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().toString()
+    many = spark.range(3000).selectExpr("id AS doc_id", "'a' AS text", "1 AS toxic")
+    assert 700 < toxicity.labelled_texts(many, many, most=1000).count() < 1300
+    copies = docs.limit(0).selectExpr("text", "toxic", "1 AS copies")
+    assert toxicity.train(docs, copies, copies="copies").words == {}
+
+
+def plain_cover(sets, names, rows):
+    """Words by explained rows, every count made anew each time."""
+    weight, left = {}, list(sets)
+    z = 1.96
+
+    def bound(hits, n):
+        rate = hits / max(n, 1)
+        n = max(n, 1)
+        spread = z * math.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))
+        return (rate + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+    while True:
+        best = None
+        for k, name in enumerate(names):
+            hits = sum(n for words, y, n in left if k in words and y)
+            clean = sum(n for words, y, n in left if k in words and not y)
+            sure = bound(hits, hits + clean)
+            if hits >= toxicity.LEAST_ROWS and sure >= 0.5 and (best is None or (hits * sure, name) > best[0]):
+                best = ((hits * sure, name), k, (hits + 0.5) / (hits + clean + 1))
+        if best is None:
+            break
+        weight[names[best[1]]] = best[2]
+        left = [s for s in left if best[1] not in s[0]]
+    done = {y: rows[y] - sum(n for _, label, n in sets if label == y) + sum(n for _, label, n in left if label == y) for y in (0, 1)}
+    return weight, (done[1] + 0.5) / (done[0] + done[1] + 1)
+
+
+def test_words_cover_rows_like_a_plain_count():
+    pick = random.Random(6)
+    for _ in range(40):
+        names = [f"w{k}" for k in range(pick.randint(1, 12))]
+        sets = [
+            (sorted(pick.sample(range(len(names)), pick.randint(1, len(names)))), int(pick.random() < 0.8), pick.randint(1, 9))
+            for _ in range(pick.randint(0, 25))
+        ]
+        rows = {y: sum(n for _, label, n in sets if label == y) + 5 for y in (0, 1)}
+        weight, base = toxicity._cover(sets, names, rows)
+        wanted, floor = plain_cover(sets, names, rows)
+        assert weight == pytest.approx(wanted) and base == pytest.approx(floor)
+
+
 def test_obfuscated_words_are_restored(spark, toxic_model):
     texts = {
         "an 1d10t here": 1, "such a m0r0n": 1, "i d i o t again": 1, "m.o.r.o.n": 1, "what an idiiiot": 1, "IDIOT!": 1,
