@@ -15,8 +15,8 @@ over a phrase, a place's matching statistic is that of the last run end less the
 bytes since. Where it is at least ``length``, a repeated window starts.
 
 Work grows with the texts: a window belongs to one phrase, a phrase to one
-minimizer. Copies of a text are one text, copies of a phrase one phrase with a
-count. A minimizer in very many different phrases (a common line) is found on a
+minimizer. Copies of a text are one text, copies of a phrase (equal minimizer and equal
+XXH3 of its bytes) one phrase with a count. A minimizer in very many different phrases (a common line) is found on a
 sample and its phrases are cut to single windows, dealt out by their own hashes;
 this only decides where windows meet, never which are compared.
 
@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from heatline.llm.batches import SpanHash, arrow_schema, flat, fresh, steps
 
@@ -121,8 +122,14 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, crowded: np.ndar
     most = np.repeat(most, many)
     count = np.minimum(np.repeat(count, many) - part * most, most)
     first = np.repeat(first, many) + part * most
-    content = _HASH(data, first, first + count + length - 1)
-    key = np.where(most == 1, content ^ _SPREAD, least[first])
+    last = first + count + length - 1
+    raw = data.tobytes()
+    digests = (xxh3_64_intdigest(raw[a:b], 3) for a, b in zip(first.tolist(), last.tolist()))
+    content = np.fromiter(digests, np.uint64, len(first))
+    # Single windows are dealt out by another hash of theirs, so two agree in every case.
+    key = least[first]
+    single = most == 1
+    key[single] = _HASH(data, first[single], last[single])
     twins = np.append(0, np.cumsum(twin))
     end = first + count + len(twin) - len(least)
     inner = (count > 1) & (twins[end] > twins[first])
@@ -336,17 +343,20 @@ def marked_texts(docs: DataFrame, length: int, text: str = "text") -> DataFrame:
     """(ha, hb, text, same, marks) of every distinct text with runs of repeated windows.
 
     ``same`` counts the rows of the text; with more than one all its windows are repeated.
-    One plan, whose exchanges of texts and of phrases are each made once and reused.
+    One plan, whose exchanges of texts and of shared phrases are each made once and reused:
+    every branch asks for the same columns and filters, or Spark would make another.
     """
     keyed = _with_keys(
         docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "text"
     ).select(*_KEY, F.encode("text", "utf-8").alias("text"))
     crowded = _crowded(keyed, length)
     texts = keyed.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("same"))
+    texts = texts.filter("same > 0 AND ha IS NOT NULL AND hb IS NOT NULL")
     rows = _phrase_rows(texts, length, crowded)
     counted = rows.groupBy("mh").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
     shared = counted.filter("n > 1 OR inner").select("mh")
-    shared_rows = rows.join(shared, "mh")
+    named = rows.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("mh", "sh", *_KEY)))
+    shared_rows = named.join(shared, "mh")
     one = (
         shared_rows.groupBy("mh", "sh")
         .agg(F.count("*").alias("copies"), F.min(F.struct("ha", "hb", "place")).alias("one"))
