@@ -149,8 +149,8 @@ def checked_requests(df: DataFrame, required: list[str], value: str = "value") -
     )
 
 
-def rejection_events(rejected: DataFrame) -> DataFrame:
-    """Rejected records as system events."""
+def rejection_events(rejected: DataFrame, keep: list[Column] = []) -> DataFrame:
+    """Rejected records as system events, with any columns to ``keep``."""
     return rejected.select(
         F.col("timestamp").alias("event_time"),
         F.lit("TELEMETRY_REJECTED").alias("event_type"),
@@ -164,6 +164,7 @@ def rejection_events(rejected: DataFrame) -> DataFrame:
             F.lit(": "),
             F.col("reject_reason"),
         ).alias("message"),
+        *keep,
     )
 
 

@@ -21,11 +21,11 @@ from heatline.plans.catalog.base import (
     series,
     telemetry,
 )
-from heatline.schema import ALERTS, PREDICTIONS, SYSTEM_EVENTS
+from heatline.schema import PREDICTIONS
 from heatline.session import scratch_path
 from heatline.sources import sinks
-from heatline.sources.telemetry import read_records, read_telemetry, read_thresholds
-from heatline.streaming.ingest import store_events, store_predictions
+from heatline.sources.telemetry import read_telemetry, read_thresholds
+from heatline.streaming.store import BatchStore
 
 
 @query("s3_messages", f"""WITH {TL} SELECT module AS key, event_id AS replay_id, value FROM tl""")
@@ -69,11 +69,11 @@ _STORED = """event_time, replay_id, kafka_partition, kafka_offset, module, round
 
 @query("s10_predictions_twice", f"WITH {PREDICTED} SELECT {_STORED} FROM p")
 def s10(spark, sf):
-    path = scratch_path(spark, "predictions")
+    root = scratch_path(spark, "store")
     rows = prediction_table(spark, sf).select(*PREDICTIONS.names)
-    store_predictions(rows, path)
-    store_predictions(rows, path)
-    out = read_records(spark, path, PREDICTIONS).drop(
+    for _ in range(2):
+        BatchStore(spark, root).write(rows)
+    out = BatchStore(spark, root).read("predictions").drop(
         "temperature_delta", "warning_threshold", "critical_threshold"
     )
     return rounded(out, "current_temperature", "predicted_temperature")
@@ -82,10 +82,12 @@ def s10(spark, sf):
 @query("s11_alerts", f"""WITH {EVENTS_RAISED} SELECT event_time, kafka_partition, kafka_offset, module,
   risk_level AS alert_level, event_type, {MESSAGE} AS message FROM ev""")
 def s11(spark, sf):
-    path = scratch_path(spark, "alerts")
-    raised = alerts.alert_records(alerts.alert_events(prediction_table(spark, sf)))
-    sinks.append_records(raised.select(*ALERTS.names), path)
-    return read_records(spark, path, ALERTS).select(
+    root = scratch_path(spark, "store")
+    rows = prediction_table(spark, sf).select(*PREDICTIONS.names)
+    store = BatchStore(spark, root)
+    store.write(rows)
+    store.write(rows)
+    return store.read("alerts").select(
         "event_time", "kafka_partition", "kafka_offset", "module", "alert_level", "event_type", "message"
     )
 
@@ -93,15 +95,15 @@ def s11(spark, sf):
 @query("s12_system_events_twice", """SELECT ts AS event_time, upper(event_type) AS event_type, 'SUCCESS' AS status,
   'Event ' || event_id AS message FROM events""")
 def s12(spark, sf):
-    path = scratch_path(spark, "system-events")
+    root = scratch_path(spark, "store")
     rows = events(spark, sf).select(
         F.col("ts").alias("event_time"), F.upper("event_type").alias("event_type"),
         F.lit("SUCCESS").alias("status"),
         F.concat(F.lit("Event "), F.col("event_id").cast("string")).alias("message"),
     )
-    store_events(rows, path)
-    store_events(rows, path)
-    return read_records(spark, path, SYSTEM_EVENTS)
+    for _ in range(2):
+        BatchStore(spark, root).write(events=rows)
+    return BatchStore(spark, root).read("system_events")
 
 
 @query("s13_json_events", f"""WITH {EVENTS_RAISED} SELECT strftime(event_time, '%Y-%m-%dT%H:%M:%S') AS event_time,

@@ -28,16 +28,20 @@ from heatline.plans.catalog.base import (
     rounded,
     series,
     wide,
+    wide_table,
 )
 from heatline.plans.catalog.features import _feature_sql
 from heatline.plans.catalog.monitor import ASOF
 from heatline.plans.catalog.records import _KEPT, _KINDS, _REASON_SQL, REQUIRED, messages
-from heatline.schema import feature_names
+from heatline.operators.risk import fit_thresholds
+from heatline.schema import MODULES, feature_names
 from heatline.session import scratch_path
+from heatline.sources.sinks import json_messages
 from heatline.sources.telemetry import file_messages, replay_stream
 from heatline.streaming.alerts import alert_stream, risk_changes
 from heatline.streaming.features import feature_stream
 from heatline.streaming.ingest import deduplicated, scoring_stream
+from heatline.streaming.store import BatchStore
 from heatline.streaming.timeline import matured_forecasts, resample_stream
 
 
@@ -73,15 +77,15 @@ def event_stream(spark, sf) -> DataFrame:
 def _scored(spark, sf, table: str) -> DataFrame:
     source = scratch_path(spark, "topic")
     messages(spark, sf).write.parquet(source)
-    paths = {n: scratch_path(spark, n) for n in ("predictions", "events", "checkpoint")}
+    root = scratch_path(spark, "store")
     levels = spark.range(1).selectExpr("'a' AS module", "20.0D AS warning", "50.0D AS critical")
     writer = scoring_stream(
         file_messages(spark, source), REQUIRED,
         lambda rows: rows.withColumn("Predicted_a", F.col("a") + F.col("k") / 100),
-        levels, paths["predictions"], paths["events"], paths["checkpoint"], ["a"],
+        levels, root, scratch_path(spark, "checkpoint"), ["a"],
     )
     _finish(writer)
-    return spark.read.parquet(paths[table]).drop("event_date")
+    return BatchStore(spark, root).read(table)
 
 
 _A = f"""CASE event_id % {_KINDS} WHEN 1 THEN 25.1::DOUBLE WHEN 11 THEN 1000.0 ELSE value END"""
@@ -104,7 +108,77 @@ def x1(spark, sf):
   'Rejected telemetry partition=' || (event_id % 3) || ' offset=' || event_id || ': ' ||
   CASE event_id % {_KINDS} {_REASON_SQL} END AS message FROM events WHERE NOT {_KEPT}""")
 def x2(spark, sf):
-    return _scored(spark, sf, "events")
+    return _scored(spark, sf, "system_events")
+
+
+# Six-hourly rows of all modules as messages; the eighth module has no thresholds.
+_MESSAGE_NUMBER = "(epoch(event_time) // 21600)::BIGINT"
+_UNKNOWN = MODULES[-1]
+_LIVE = f"""{WIDE}, msg AS (SELECT *, {_MESSAGE_NUMBER} AS n,
+    concat_ws(', ', {', '.join(f"CASE WHEN {m} IS NULL THEN '{m}' END" for m in MODULES)}) AS gone FROM w),
+  good AS (SELECT * FROM msg WHERE gone = ''), u AS ({' UNION ALL '.join(f"SELECT event_time, n, '{m}' AS module, {m} AS value FROM good" for m in MODULES)}),
+  th AS (SELECT module, quantile_cont(value, 0.8::DOUBLE) AS warning, quantile_cont(value, 0.95::DOUBLE) AS critical
+    FROM ({' UNION ALL '.join(f"SELECT '{m}' AS module, {m} AS value FROM w" for m in MODULES if m != _UNKNOWN)}) GROUP BY module),
+  p AS (SELECT event_time, n AS replay_id, (n % 3)::INTEGER AS kafka_partition, n AS kafka_offset, module,
+    value AS current_temperature, value + 0.6::DOUBLE AS predicted_temperature, warning AS warning_threshold,
+    critical AS critical_threshold, {risk_sql('(value + 0.6::DOUBLE)', '((value + 0.6::DOUBLE) - value)')} AS risk_level
+    FROM u JOIN th USING (module)),
+  ch AS (SELECT *, lag(risk_level, 1, 'NORMAL') OVER (PARTITION BY module ORDER BY event_time) AS previous_risk FROM p),
+  ev AS (SELECT * FROM (SELECT *,
+    CASE WHEN previous_risk = 'NORMAL' AND risk_level <> 'NORMAL' THEN 'TEMPERATURE_ALERT'
+         WHEN previous_risk = 'WARNING' AND risk_level = 'CRITICAL' THEN 'TEMPERATURE_ALERT'
+         WHEN previous_risk <> 'NORMAL' AND risk_level = 'NORMAL' THEN 'TEMPERATURE_RECOVERY' END AS event_type
+    FROM ch) WHERE event_type IS NOT NULL)"""
+
+
+def _live(spark, sf, table: str) -> DataFrame:
+    """The topic run through, delivered again in full to a second run, and read back."""
+    rows = wide_table(spark, sf)
+    number = F.expr("unix_micros(event_time) div 21600000000")
+    source, root = scratch_path(spark, "topic"), scratch_path(spark, "store")
+    numbered = rows.select(*MODULES, "event_time", number.alias("_replay_id"))
+    sent = json_messages(numbered, F.col("_replay_id"), F.lit("site"))
+    number = F.get_json_object("value", "$._replay_id").cast("long")
+    sent.select(
+        "key", "value", F.lit("telemetry").alias("topic"), (number % 3).cast("int").alias("partition"),
+        number.alias("offset"), F.timestamp_micros(number * 21_600_000_000).alias("timestamp"),
+    ).write.parquet(source)
+    long = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("module"), F.col(m).alias("value")) for m in MODULES if m != _UNKNOWN
+    ])).alias("r")).select("r.*")
+    levels = fit_thresholds(long, warning=0.8, critical=0.95)
+    for _ in range(2):
+        _finish(scoring_stream(
+            file_messages(spark, source), MODULES,
+            lambda d: d.withColumns({f"Predicted_{m}": F.col(m) + 0.6 for m in MODULES}),
+            levels, root, scratch_path(spark, "checkpoint"),
+        ))
+    return BatchStore(spark, root).read(table)
+
+
+@query("x1_live_predictions", f"""WITH {_LIVE} SELECT event_time, replay_id, kafka_partition, kafka_offset, module,
+  round(current_temperature, 6) AS current_temperature, round(predicted_temperature, 6) AS predicted_temperature,
+  round(warning_threshold, 6) AS warning_threshold, round(critical_threshold, 6) AS critical_threshold, risk_level FROM p""")
+def x1_live(spark, sf):
+    out = _live(spark, sf, "predictions").drop("temperature_delta")
+    return rounded(out, "current_temperature", "predicted_temperature", "warning_threshold", "critical_threshold")
+
+
+@query("x5_live_alerts", f"""WITH {_LIVE} SELECT event_time, replay_id, kafka_partition, kafka_offset, module,
+  risk_level AS alert_level, event_type, {MESSAGE} AS message FROM ev""")
+def x5_live(spark, sf):
+    return _live(spark, sf, "alerts").select(
+        "event_time", "replay_id", "kafka_partition", "kafka_offset", "module", "alert_level", "event_type", "message"
+    )
+
+
+@query("j5_live_quarantine", f"""WITH {_LIVE}, bad AS (
+    SELECT event_time, n, 'Feature ' || split_part(gone, ', ', 1) || ' is not numeric' AS reason FROM msg WHERE gone <> ''
+    UNION ALL SELECT event_time, n, 'No threshold found for {_UNKNOWN}' FROM good)
+  SELECT event_time, 'TELEMETRY_REJECTED' AS event_type, 'ERROR' AS status,
+  'Rejected telemetry partition=' || (n % 3) || ' offset=' || n || ': ' || reason AS message FROM bad""")
+def j5_live(spark, sf):
+    return _live(spark, sf, "system_events")
 
 
 @query("x3_module_stream", f"""WITH {TL} SELECT event_id, m AS module, value AS current_temperature,

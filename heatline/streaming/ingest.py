@@ -1,77 +1,36 @@
-"""Messages to stored predictions and rejections, exactly once."""
+"""Messages to stored predictions, alerts and rejections, exactly once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from heatline.operators.monitor import new_records
 from heatline.operators.risk import ready_thresholds
-from heatline.operators.scale import bounded_broadcast, same
+from heatline.operators.scale import written
 from heatline.plans.live import decisions
 from heatline.schema import MODULES
-from heatline.sources.sinks import append_records
-
-
-def stored_range(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame | None:
-    """The stored days that ``rows`` span: the only ones a replay can repeat.
-
-    Event time comes from the message or the broker, so it is the same in every
-    delivery, and the lookup lists and reads those days instead of the table.
-    """
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException as problem:
-        # Nothing is stored yet; any other problem must stop the batch.
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-    days = rows.select(F.to_date("event_time").alias("event_date")).distinct()
-    # The batch's days reach the scan as a dynamic filter on its partitions.
-    return table.join(bounded_broadcast(days), "event_date", "left_semi")
-
-
-def store_predictions(rows: DataFrame, path: str) -> None:
-    """Append predictions that are not stored yet."""
-    done = stored_range(rows.sparkSession, path, rows)
-    append_records(new_records(rows, done), path)
-
-
-def store_events(rows: DataFrame, path: str) -> None:
-    """Append system events that are not stored yet."""
-    done = stored_range(rows.sparkSession, path, rows)
-    keys = ["event_time", "event_type", "message"]
-    rows = rows.dropDuplicates(keys)
-    if done is not None:
-        done = done.select(*[F.col(k).alias(f"_d_{k}") for k in keys])
-        rows = rows.join(done, same(rows, done, [(k, f"_d_{k}") for k in keys]), "left_anti")
-    append_records(rows, path)
+from heatline.streaming.store import BatchStore
 
 
 def scoring_stream(
     messages: DataFrame, features: list[str], forecast: Callable[[DataFrame], DataFrame],
-    thresholds: DataFrame, predictions: str, system_events: str, checkpoint: str,
-    modules: list[str] = MODULES,
+    thresholds: DataFrame, root: str, checkpoint: str, modules: list[str] = MODULES,
 ) -> DataStreamWriter:
-    """Validate, score, classify and store every micro-batch.
+    """Validate, score, classify, raise alerts and store every micro-batch.
 
-    A batch that fails is run again whole from the checkpoint; both tables skip
-    what a first attempt already stored.
+    The tables are a ``BatchStore`` at ``root``. A batch that fails is run again whole
+    from the checkpoint; none of its rows were visible, and rows of an earlier delivery
+    are left out. Modules without thresholds are quarantined as rejections.
     """
     levels = ready_thresholds(thresholds)
+    store = BatchStore(messages.sparkSession, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        try:
-            rows, rejected = decisions(kept, features, forecast, levels, modules)
-            store_predictions(rows, predictions)
-            store_events(rejected, system_events)
-        finally:
-            kept.unpersist()
+        rows, rejected = decisions(written(batch, "messages"), features, forecast, levels, modules)
+        store.write(rows, rejected)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -79,6 +38,15 @@ def scoring_stream(
 def deduplicated(
     df: DataFrame, delay: str = "10 minutes",
     keys: list[str] = ["kafka_partition", "kafka_offset", "module"],
+    traced_by: list[str] = ["kafka_partition", "kafka_offset"],
 ) -> DataFrame:
-    """Repeats of a key within the watermark delay dropped, across batches."""
-    return df.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
+    """Repeats of a key within the watermark delay dropped, across batches.
+
+    As in the batch form, records without one of ``traced_by`` cannot be told apart and
+    all stay.
+    """
+    df = df.withWatermark("event_time", delay)
+    known = F.lit(True)
+    for name in traced_by:
+        known = known & F.col(name).isNotNull()
+    return df.filter(known).dropDuplicatesWithinWatermark(keys).unionByName(df.filter(~known))

@@ -1,19 +1,21 @@
 """Streams over several micro-batches against their batch twins."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from heatline.functions.scalars import parse_time
 from heatline.operators import alerts, features as feature_ops, monitor
 from heatline.operators.timeline import resample_mean
 from heatline.plans.catalog.streams import finished
-from heatline.schema import ENVELOPE, SYSTEM_EVENTS
+from heatline.schema import ENVELOPE, PREDICTIONS, SYSTEM_EVENTS
 from heatline.sources.sinks import append_records
 from heatline.sources.telemetry import file_messages, replay_stream
 from heatline.streaming.alerts import alert_stream
 from heatline.streaming.features import feature_stream
-from heatline.streaming.ingest import deduplicated, scoring_stream, store_events
+from heatline.streaming.ingest import deduplicated, scoring_stream
 from heatline.streaming.lifecycle import LifecycleListener
+from heatline.streaming.store import BatchStore
 from heatline.streaming.timeline import matured_forecasts, resample_stream
 from test_features import frame
 from test_risk import NAMES, decisions
@@ -53,6 +55,10 @@ def test_duplicates_across_batches(spark, ts, tmp_path):
     df = spark.createDataFrame(rows, "kafka_partition int, kafka_offset long, module string, event_time timestamp")
     out = finished(deduplicated(in_batches(spark, df, tmp_path / "x", 4), "1 hour"))
     assert out.count() == 6
+    rows += [(None, 1, "m", ts(3)), (0, None, "m", ts(3)), (0, None, "m", ts(9))]
+    df = spark.createDataFrame(rows, df.schema)
+    streamed = finished(deduplicated(in_batches(spark, df, tmp_path / "y", 4), "1 hour"))
+    assert streamed.count() == 9 == monitor.new_records(df).count()
 
 
 def test_maturation_over_batches(spark, ts, tmp_path):
@@ -82,31 +88,108 @@ def test_late_rows_are_left_out(spark, ts, tmp_path):
     assert as_set(out) == as_set(resample_mean(kept, ["module"], "event_time", 10, ["value"]))
 
 
-def test_scoring_survives_a_repeat(spark, ts, tmp_path):
-    values = ['{"a": 27.14}', '{"a": "x"}', '{"a": 26.0}', "[1]"]
-    rows = [("k", v, "t", 0, i, ts(i)) for i, v in enumerate(values)]
-    topic = tmp_path / "topic"
-    spark.createDataFrame(rows, ENVELOPE).write.parquet(str(topic))
-    levels = spark.createDataFrame([("a", 27.05, 27.30)], "module string, warning double, critical double")
-
-    def run(checkpoint):
-        scoring_stream(
-            file_messages(spark, str(topic)), ["a"], lambda d: d.withColumn("Predicted_a", F.col("a")),
-            levels, str(tmp_path / "p"), str(tmp_path / "e"), str(tmp_path / checkpoint), ["a"],
-        ).trigger(availableNow=True).start().awaitTermination()
+LEVELS = "module string, warning double, critical double"
+
+
+def topic(spark, ts, path, values, start=0, partition=0):
+    rows = [("k", v, "t", partition, start + i, ts(start + i)) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, ENVELOPE).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def score(spark, path, checkpoint, modules=("a", "b")):
+    levels = spark.createDataFrame([("a", 27.05, 27.30)], LEVELS)
+    scoring_stream(
+        file_messages(spark, str(path / "topic"), files_per_batch=1), list(modules),
+        lambda d: d.withColumns({f"Predicted_{m}": F.col(m) for m in modules}),
+        levels, str(path / "store"), str(path / checkpoint), list(modules),
+    ).trigger(availableNow=True).start().awaitTermination()
+
 
+def shown(spark, path):
+    return {t: as_set(BatchStore(spark, str(path / "store")).read(t)) for t in ("predictions", "alerts", "system_events")}
+
+
+FIRST = ['{"a": 27.14, "b": 1}', '{"a": "x", "b": 1}', '{"a": 26.0, "b": 1}', "[1]", '{"a": 27.2, "b": 1}']
+SECOND = ['{"a": 27.2, "b": 1}', '{"a": 27.5, "b": 1}', '{"a": 20, "b": 1}']
+
+
+def test_scoring_survives_a_repeat(spark, ts, tmp_path):
+    topic(spark, ts, tmp_path / "topic", FIRST)
+    topic(spark, ts, tmp_path / "topic", SECOND, start=5)
+    wanted = None
     for checkpoint in ("c1", "c1", "c2"):  # a restart, then a full redelivery
-        run(checkpoint)
-        assert spark.read.parquet(str(tmp_path / "p")).count() == 2
-        assert spark.read.parquet(str(tmp_path / "e")).count() == 2
+        score(spark, tmp_path, checkpoint)
+        found = shown(spark, tmp_path)
+        assert [len(found[t]) for t in ("predictions", "alerts", "system_events")] == [6, 5, 8]
+        assert wanted in (None, found)
+        wanted = found
+    # The alerts of the second batch go on from the first one's risks.
+    store = BatchStore(spark, str(tmp_path / "store"))
+    levels = [(r.kafka_offset, r.alert_level) for r in store.read("alerts").orderBy("kafka_offset").collect()]
+    assert levels == [(0, "WARNING"), (2, "NORMAL"), (4, "WARNING"), (6, "CRITICAL"), (7, "NORMAL")]
+    assert as_set(store.marks()) == [("0", "7")] and as_set(store.risks()) == [("a", "NORMAL")]
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_a_batch_that_stops_half_way_shows_nothing(spark, ts, tmp_path, monkeypatch, step):
+    topic(spark, ts, tmp_path / "topic", FIRST)
+    score(spark, tmp_path, "c")
+    before = shown(spark, tmp_path)
+    topic(spark, ts, tmp_path / "topic", SECOND, start=5)
+    steps = iter(range(9))
+
+    def stopping(method):
+        def run(self, *args):
+            if next(steps) == step:
+                raise OSError("stopped")
+            return method(self, *args)
+
+        return run
+
+    with monkeypatch.context() as broken:
+        broken.setattr(BatchStore, "_append", stopping(BatchStore._append))
+        broken.setattr(BatchStore, "_commit", stopping(BatchStore._commit))
+        with pytest.raises(Exception, match="stopped"):
+            score(spark, tmp_path, "c")
+    assert shown(spark, tmp_path) == before
+    score(spark, tmp_path, "c")
+    other = tmp_path / "whole"
+    topic(spark, ts, other / "topic", FIRST)
+    topic(spark, ts, other / "topic", SECOND, start=5)
+    score(spark, other, "c")
+    assert shown(spark, tmp_path) == shown(spark, other)
+
+
+def test_new_offsets_read_nothing_stored(spark, ts, tmp_path, monkeypatch):
+    schema = "event_time timestamp, kafka_partition int, kafka_offset long, module string, risk_level string"
+
+    def rows(offsets, partition=0):
+        made = [(ts(o or 0), partition, o, m, "NORMAL") for o in offsets for m in "ab"]
+        made = spark.createDataFrame(made, schema)
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in PREDICTIONS if f.name not in made.columns}
+        return made.withColumns(missing)
+
+    store = BatchStore(spark, str(tmp_path))
+    store.write(rows(range(0, 20, 2)))
+    with monkeypatch.context() as watched:
+        watched.setattr(BatchStore, "_stored_days", lambda *a: pytest.fail("read"))
+        store.write(rows(range(20, 30)))
+        store.write(rows([3], partition=1))
+    assert store.read("predictions").count() == 2 * (10 + 10 + 1)
+    # A late offset is new, a repeated one is not, and rows without one all stay.
+    BatchStore(spark, str(tmp_path)).write(rows([2, 3, 4, 29, 30, None, None]))
+    found = BatchStore(spark, str(tmp_path)).read("predictions")
+    assert found.filter("kafka_offset IS NULL").count() == 4
+    assert found.filter("kafka_partition = 0 AND kafka_offset IS NOT NULL").count() == 2 * (10 + 10 + 2)
+    assert found.distinct().count() == 2 * (10 + 10 + 1 + 2 + 1)
 
 
 def test_events_at_other_times_are_kept(spark, ts, tmp_path):
-    path = str(tmp_path / "e")
     rows = [(ts(s), "WORKER", "OK", "worker started") for s in (0, 0, 10_800)]
     for part in (rows[:2], rows, rows):
-        store_events(spark.createDataFrame(part, "event_time timestamp, event_type string, status string, message string"), path)
-    assert spark.read.parquet(path).count() == 2
+        frame = spark.createDataFrame(part, "event_time timestamp, event_type string, status string, message string")
+        BatchStore(spark, str(tmp_path)).write(events=frame)
+    assert BatchStore(spark, str(tmp_path)).read("system_events").count() == 2
 
 
 def test_years_beyond_the_calendar(spark):
