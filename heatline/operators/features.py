@@ -86,10 +86,12 @@ def cross_columns(modules: list[str], serving: bool) -> dict[str, Column]:
 def add_features(
     df: DataFrame, keys: list[str], time: str = "event_time", modules: list[str] = MODULES,
     power: str | None = TOTAL_POWER, mode: str = "training", limit: int | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """The ordered feature set beside the table's other columns.
 
-    Rows are the series as given, so a lag of one crosses a gap in time.
+    Rows are the series as given, so a lag of one crosses a gap in time. They stand in
+    ``order``, that of ``time`` by default.
     """
     if mode not in ("training", "serving"):
         raise ValueError("mode is 'training' or 'serving'")
@@ -99,7 +101,7 @@ def add_features(
         made = series_columns(w, modules, serving)
         return {**made, **power_columns(w, power, serving)} if power else made
 
-    wide = over_ordered(df, keys, [time], REACH, build, limit=limit)
+    wide = over_ordered(df, keys, order or [time], REACH, build, limit=limit)
     wide = wide.withColumns({**cross_columns(modules, serving), **S.time_parts(F.col(time))})
     features = feature_names(modules, power)
     others = [c for c in df.columns if c not in features]

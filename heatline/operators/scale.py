@@ -2,8 +2,8 @@
 
 A telemetry fleet has few series (eight modules on a site) and any one of them
 may hold a third of the rows, so ``Window.partitionBy(module)`` would leave a
-handful of endless tasks. ``over_ordered`` cuts each series into chunks of about
-``limit`` rows, gives every chunk the few preceding rows its windows look back
+handful of endless tasks. ``over_ordered`` counts the rows of each series, leaves those
+that fit a task alone, cuts each longer one into chunks of about ``limit`` rows, gives every chunk the few preceding rows its windows look back
 on, and returns the same values the unsplit window would.
 """
 
@@ -95,8 +95,8 @@ def over_ordered(
     give it a stored table, or a derived one through ``written``.
     """
     limit = max(limit or rows_per_chunk(df.sparkSession), reach, 1)
-    routes = _routes(df, keys, order, reach, limit)
-    if routes is None:
+    long_ones = _long_series(df, keys, order, limit)
+    if long_ones.isEmpty():
         window = Window.partitionBy(*by(keys)).orderBy(*order)
         added = build(window)
         if position:
@@ -104,8 +104,10 @@ def over_ordered(
         return df.withColumns(added)
 
     names = df.columns
-    routed, columns = df, []
-    for at, (level, table) in enumerate(routes):
+    side = bounded_broadcast(long_ones.withColumnsRenamed({k: f"_l_{k}" for k in keys}))
+    routed = df.join(side, same(df, side, [(k, f"_l_{k}") for k in keys]), "left")
+    routed, columns = routed.select(*names, "_origin", "_shift"), []
+    for at, (level, table) in enumerate(_routes(df, long_ones, keys, order, reach, limit)):
         joined = routed.withColumns(
             {f"_b{i}": value for i, value in enumerate(level.buckets(df, order))}
         )
@@ -117,8 +119,11 @@ def over_ordered(
         columns.append(f"_routes{at}")
         routed = joined.join(
             bounded_broadcast(table), same(joined, table, pairs), "left"
-        ).select(*names, *columns)
-    spread = routed.select(*names, F.explode(F.coalesce(*columns)).alias("_route"))
+        ).select(*names, "_origin", "_shift", *columns)
+    # A series that fits one chunk has no routes: it is a chunk of its own.
+    whole = F.struct(F.lit(0).cast("long").alias("_chunk"), F.lit(False).alias("_halo"),
+                     F.lit(0).cast("long").alias("_start"))
+    spread = routed.select(*names, F.explode(F.coalesce(*columns, F.array(whole))).alias("_route"))
     spread = spread.select(*names, "_route.*")
     # The chunk comes first: as a number it sorts by prefix, a name does not.
     window = Window.partitionBy("_chunk", *keys).orderBy(*order)
@@ -132,50 +137,70 @@ def over_ordered(
     )
 
 
+def _long_series(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
+    """Series of more than ``limit`` rows: keys, first value and a bucket width in bits.
+
+    A bucket of a series would hold a quarter of ``limit`` if its rows lay evenly.
+    """
+    first = _as_long(df, order[0])
+    if first is None:
+        raise TypeError(f"{order[0]} must be a timestamp or an integer to order a series")
+    counted = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(first).alias("_origin"), F.max(first).alias("_high")
+    )
+    span = F.col("_high").cast("double") - F.col("_origin") + 1
+    width = F.greatest(F.floor(F.log2(span * (limit / 4) / F.col("_n"))), F.lit(0))
+    return stored(
+        counted.filter(F.col("_n") > limit).select(*keys, "_origin", width.cast("int").alias("_shift"))
+    )
+
+
 class _Level:
-    """One bucket width: column ``depth`` of the order, cut at ``shift`` bits."""
+    """Buckets by column ``depth`` of the order, narrowed by ``step`` times some bits."""
+
+    def __init__(self, depth: int, step: int):
+        self.depth, self.step = depth, step
 
-    def __init__(self, depth: int, shift: int, origin: int):
-        self.depth, self.shift, self.origin = depth, shift, origin
+    def shift(self) -> Column:
+        start = F.col("_shift") if self.depth == 0 else F.lit(64 - _REFINE_BITS)
+        return F.greatest(start - _REFINE_BITS * self.step, F.lit(0))
 
     def buckets(self, df: DataFrame, order: list[str]) -> list[Column]:
         values = [_as_long(df, order[i]) for i in range(self.depth + 1)]
-        values[0] = values[0] - F.lit(self.origin)
-        values[-1] = F.shiftright(values[-1], self.shift)
+        values[0] = values[0] - F.col("_origin")
+        values[-1] = F.call_function("shiftright", values[-1], self.shift())
         return values
 
-    def finer(self, usable: int) -> _Level | None:
-        if self.shift:
-            return _Level(self.depth, max(0, self.shift - _REFINE_BITS), self.origin)
+    def finer(self, widest: int, usable: int) -> _Level | None:
+        start = widest if self.depth == 0 else 64 - _REFINE_BITS
+        if start > _REFINE_BITS * self.step:
+            return _Level(self.depth, self.step + 1)
         if self.depth + 1 < usable:
-            return _Level(self.depth + 1, 64 - _REFINE_BITS, self.origin)
+            return _Level(self.depth + 1, 0)
         return None
 
 
 def _routes(
-    df: DataFrame, keys: list[str], order: list[str], reach: int, limit: int
-) -> list[tuple[_Level, DataFrame]] | None:
-    """Per bucket, the chunks its rows belong to; None if all rows fit one chunk."""
-    first = _as_long(df, order[0])
-    if first is None:
-        raise TypeError(f"{order[0]} must be a timestamp or an integer to order a series")
-    n, low, high = df.agg(F.count(F.lit(1)), F.min(first), F.max(first)).head()
-    if n <= limit:
-        return None
-
+    df: DataFrame, long_ones: DataFrame, keys: list[str], order: list[str], reach: int, limit: int
+) -> list[tuple[_Level, DataFrame]]:
+    """Per bucket of the long series, the chunks its rows belong to."""
     usable = 1
     while usable < len(order) and _as_long(df, order[usable]) is not None:
         usable += 1
-    width = (high - low + 1) * (limit / 4) / n
-    level = _Level(0, max(0, int(math.log2(width))) if width > 1 else 0, low)
+    widest = long_ones.agg(F.max("_shift")).head()[0]
+    level = _Level(0, 0)
     starts = [f"_s{i}" for i in range(usable)]
-    source = df.select(*keys, *order[:usable])
+    side = bounded_broadcast(long_ones.withColumnsRenamed({k: f"_l_{k}" for k in keys}))
+    source = df.join(side, same(df, side, [(k, f"_l_{k}") for k in keys]))
+    columns = [*keys, *order[:usable], "_origin", "_shift"]
+    source = source.select(*columns)
     leaves, levels = [], []
     while level is not None:
         names = [f"_b{i}" for i in range(level.depth + 1)]
         cut = source.withColumns(dict(zip(names, level.buckets(df, order))))
-        counts = stored(cut.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_rows")))
-        child = level.finer(usable)
+        cut = cut.withColumn("_bits", level.shift())
+        counts = stored(cut.groupBy(*keys, *names, "_bits").agg(F.count(F.lit(1)).alias("_rows")))
+        child = level.finer(widest, usable)
         hot = counts.filter(F.col("_rows") > limit // 2) if child else None
         if hot is None or hot.isEmpty():
             child, cold = None, counts
@@ -183,16 +208,14 @@ def _routes(
             cold = counts.filter(F.col("_rows") <= limit // 2)
             pairs = [(c, f"_h_{c}") for c in [*keys, *names]]
             wanted = bounded_broadcast(hot.select(*[F.col(a).alias(b) for a, b in pairs]))
-            source = cut.join(wanted, same(cut, wanted, pairs), "left_semi").select(
-                *keys, *order[:usable]
-            )
+            source = cut.join(wanted, same(cut, wanted, pairs), "left_semi").select(*columns)
         begin = {f"_s{i}": F.col(f"_b{i}") for i in range(level.depth)}
-        begin[f"_s{level.depth}"] = F.shiftleft(f"_b{level.depth}", level.shift)
+        begin[f"_s{level.depth}"] = F.call_function("shiftleft", F.col(f"_b{level.depth}"), F.col("_bits"))
         for name in starts[level.depth + 1 :]:
             begin[name] = F.lit(None).cast("long")
         for i in range(level.depth + 1, usable):
             begin[f"_b{i}"] = F.lit(None).cast("long")
-        leaves.append(cold.withColumns(begin).withColumn("_level", F.lit(len(levels))))
+        leaves.append(cold.withColumns(begin).drop("_bits").withColumn("_level", F.lit(len(levels))))
         levels.append(level)
         level = child
 

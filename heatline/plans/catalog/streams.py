@@ -39,6 +39,7 @@ from heatline.session import scratch_path
 from heatline.sources.sinks import json_messages
 from heatline.sources.telemetry import file_messages, replay_stream
 from heatline.streaming.alerts import alert_stream, risk_changes
+from heatline.streaming.carried import carried_rows
 from heatline.streaming.features import feature_stream
 from heatline.streaming.ingest import deduplicated, scoring_stream
 from heatline.streaming.store import BatchStore
@@ -59,6 +60,13 @@ def finished(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
+def carried(stream: DataFrame, start, **options) -> DataFrame:
+    """The same for a stream that carries a table from batch to batch."""
+    root = scratch_path(stream.sparkSession, "carried")
+    _finish(start(stream, root, f"{root}/checkpoint", **options))
+    return carried_rows(stream.sparkSession, root)
+
+
 def replayed(df: DataFrame) -> DataFrame:
     """A table written out and read again as a stream."""
     path = scratch_path(df.sparkSession, "replay")
@@ -205,7 +213,7 @@ def x4(spark, sf):
   risk_level AS severity, {MESSAGE} AS message FROM ev""")
 def x5(spark, sf):
     decisions = replayed(predictions(spark, sf))
-    return finished(alert_stream(decisions)).select(
+    return carried(decisions, alert_stream).select(
         "module", "event_time", "event_type", "severity", "message"
     )
 
@@ -224,7 +232,7 @@ def x6(spark, sf):
         rows.filter(F.col("event_time") < restart), ["module"], ["event_time"]
     ).drop("event_time")
     after = replayed(rows.filter(F.col("event_time") >= restart))
-    return finished(risk_changes(after, initial=before))
+    return carried(after, risk_changes, initial=before)
 
 
 @query("x12_streaming_inference", f"""WITH {R}, pr AS (SELECT a.module, a.event_time, b.value AS actual, a.value AS predicted
@@ -288,6 +296,6 @@ _SERVING = _feature_sql(True)
   {', '.join(f'round(({_SERVING[n]})::DOUBLE, 9) AS {n}' for n in feature_names())} FROM w""")
 def x11(spark, sf):
     rows = wide(spark, sf).withColumn("site", F.lit("site"))
-    out = finished(feature_stream(replayed(rows), ["site"])).drop("site")
+    out = carried(replayed(rows), feature_stream, keys=["site"]).drop("site")
     names = feature_names()
     return rounded(out.withColumns({n: F.col(n).cast("double") for n in names}), *names, digits=9)

@@ -1,72 +1,51 @@
-"""Alert state per module on a stream of decisions."""
+"""Alerts per module on a stream of decisions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from heatline.operators.alerts import as_events
-from heatline.session import ROCKSDB_PROVIDER
-
-
-class RiskMemory(StatefulProcessor):
-    """Remembers the last risk of a key and passes on the rows that change it."""
+from pyspark.sql.streaming import DataStreamWriter
 
-    def __init__(self, order: list[str], columns: list[str]):
-        self._order, self._columns = order, columns
+from heatline.operators.alerts import as_events, risk_transitions
+from heatline.operators.scale import same, stored, written
+from heatline.streaming.carried import carried_stream
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._risk = handle.getValueState("risk", "risk_level string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self._order, kind="stable")
-        before = self._risk.get()[0] if self._risk.exists() else "NORMAL"
-        batch["previous_risk"] = batch["risk_level"].shift(1, fill_value=before)
-        self._risk.update((batch["risk_level"].iloc[-1],))
-        changed = batch["previous_risk"] != batch["risk_level"]
-        yield batch.loc[changed, self._columns]
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self._risk.update((initialState["risk_level"].iloc[0],))
-
-    def close(self) -> None:
-        pass
+def newest_risk(
+    decisions: DataFrame, before: DataFrame | None, keys: list[str], order: list[str]
+) -> DataFrame:
+    """Each key's risk after some decisions; keys without any keep the one before."""
+    newest = decisions.filter("risk_level IS NOT NULL").groupBy(*keys).agg(
+        F.max_by("risk_level", F.struct(*order)).alias("risk_level")
+    )
+    if before is None:
+        return newest
+    side = newest.select(*[F.col(k).alias(f"_n_{k}") for k in keys])
+    kept = before.join(side, same(before, side, [(k, f"_n_{k}") for k in keys]), "left_anti")
+    return newest.unionByName(kept.select(*newest.columns))
 
 
 def risk_changes(
-    decisions: DataFrame, keys: list[str] = ["module"], order: list[str] = ["event_time"],
-    initial: DataFrame | None = None,
-) -> DataFrame:
+    decisions: DataFrame, root: str, checkpoint: str, keys: list[str] = ["module"],
+    order: list[str] = ["event_time"], initial: DataFrame | None = None, events: bool = False,
+) -> DataStreamWriter:
     """Rows whose risk differs from the one before, with ``previous_risk``.
 
-    State is kept in arrival order; rows of one micro-batch are put in ``order``
-    first. A key's rows of one micro-batch are held together, so bound the
-    source's batches. ``initial`` (keys, ``risk_level``) restores an earlier
-    state on the first start; later starts use the checkpoint. Rows without a risk
-    are left out, as in the batch form.
+    Batches follow one another as they arrive; rows within one stand in ``order``.
+    ``initial`` (keys, ``risk_level``) restores an earlier state on the first start.
+    Rows without a risk are left out, as in the batch form. With ``events`` the rows are
+    the alerts and recoveries they raise.
     """
-    decisions = decisions.filter(F.col("risk_level").isNotNull())
-    decisions.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER
-    )
-    schema = T.StructType(decisions.schema.fields + [T.StructField("previous_risk", T.StringType())])
-    return decisions.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=RiskMemory(order, schema.names),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="none",
-        initialState=None if initial is None else initial.groupBy(*keys),
-    )
 
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        before = None if before is None else stored(before)
+        rows = written(risk_transitions(batch, keys, order, before), "transitions")
+        changed = rows.filter("previous_risk != risk_level")
+        return (as_events(changed) if events else changed), newest_risk(batch, before, keys, order)
 
-def alert_stream(
-    decisions: DataFrame, keys: list[str] = ["module"], order: list[str] = ["event_time"],
-    initial: DataFrame | None = None,
-) -> DataFrame:
-    """Alert and recovery events of a decision stream."""
-    return as_events(risk_changes(decisions, keys, order, initial))
+    return carried_stream(decisions, root, checkpoint, step, initial)
+
+
+def alert_stream(decisions: DataFrame, root: str, checkpoint: str, **options) -> DataStreamWriter:
+    """Alert and recovery events of a decision stream; options of ``risk_changes``."""
+    return risk_changes(decisions, root, checkpoint, events=True, **options)

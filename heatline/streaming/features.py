@@ -2,80 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from heatline.functions.scalars import time_parts
-from heatline.operators.features import REACH, cross_columns
-from heatline.schema import (
-    CHANGE_ROWS,
-    LAGS,
-    MEAN_ROWS,
-    MODULES,
-    POWER_ROWS,
-    STD_ROWS,
-    TOTAL_POWER,
-    feature_names,
-)
-from heatline.session import ROCKSDB_PROVIDER
-
-
-class RecentRows(StatefulProcessor):
-    """Keeps a series' last rows and adds windowed features to new ones."""
-
-    def __init__(self, time: str, modules: list[str], power: str, output: list[str]):
-        self._time, self._modules, self._power, self._output = time, modules, power, output
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = ", ".join(f"{c} double" for c in [*self._modules, self._power])
-        self._recent = handle.getListState("recent", fields)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        new = new.sort_values(self._time, kind="stable", ignore_index=True)
-        names = [*self._modules, self._power]
-        past = pd.DataFrame(list(self._recent.get()), columns=names, dtype="float64")
-        series = pd.concat([past, new[names]], ignore_index=True)
-        self._recent.put([tuple(r) for r in series.tail(REACH).itertuples(index=False)])
-        made = {}
-        for m in self._modules:
-            s = series[m]
-            made.update({f"{m}_Lag_{n}": s.shift(n).fillna(s) for n in LAGS})
-            made.update({f"{m}_RollingMean_{n}": s.rolling(n, 1).mean() for n in MEAN_ROWS})
-            made.update({f"{m}_RollingStd_{n}": s.rolling(n, 1).std(ddof=0) for n in STD_ROWS})
-            made.update({f"{m}_Change_{n}": s.diff(n).fillna(0.0) for n in CHANGE_ROWS})
-        p = series[self._power]
-        made[f"{self._power}_Lag_{POWER_ROWS}"] = p.shift(POWER_ROWS).fillna(p)
-        made[f"{self._power}_Change_{POWER_ROWS}"] = p.diff(POWER_ROWS).fillna(0.0)
-        fresh = pd.DataFrame(made).iloc[len(past):].reset_index(drop=True)
-        yield pd.concat([new, fresh], axis=1)[self._output]
+from pyspark.sql.streaming import DataStreamWriter
 
-    def close(self) -> None:
-        pass
+from heatline.operators.features import REACH, add_features
+from heatline.operators.scale import by, written
+from heatline.schema import MODULES, TOTAL_POWER
+from heatline.streaming.carried import carried_stream
 
 
 def feature_stream(
-    df: DataFrame, keys: list[str], time: str = "event_time", modules: list[str] = MODULES,
-    power: str = TOTAL_POWER,
-) -> DataFrame:
-    """X11: the serving feature set of rows arriving in order, per series."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    features = feature_names(modules, power)
-    later = [*cross_columns(modules, True), *time_parts(F.col(time))]
-    windowed = [f for f in features if f not in later and f not in (*modules, power)]
-    fields = df.schema.fields + [T.StructField(n, T.DoubleType()) for n in windowed]
-    schema = T.StructType(fields)
-    made = df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=RecentRows(time, modules, power, schema.names),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="none",
-    )
-    made = made.withColumns({**cross_columns(modules, True), **time_parts(F.col(time))})
-    others = [c for c in df.columns if c not in features]
-    return made.select(*others, *features)
+    df: DataFrame, root: str, checkpoint: str, keys: list[str], time: str = "event_time",
+    modules: list[str] = MODULES, power: str = TOTAL_POWER,
+) -> DataStreamWriter:
+    """X11: the serving feature set of rows arriving in order, per series.
+
+    What is carried are the last rows of each series, as many as the windows look back
+    on. They go before the new ones, and the columns are those of the batch form.
+    """
+    values = [*modules, power]
+    place = Window.partitionBy(*by(keys)).orderBy(F.desc("_turn"), F.desc(time))
+
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = batch.withColumn("_turn", F.lit(0))
+        if before is not None:
+            rows = rows.unionByName(before, allowMissingColumns=True)
+        rows = written(rows, "series")
+        made = add_features(rows, keys, time, modules, power, "serving", order=["_turn", time])
+        # The newest row has the turn before 0, the one before it the turn before that.
+        last = rows.withColumn("_back", F.row_number().over(place)).filter(F.col("_back") <= REACH)
+        tail = last.select(*dict.fromkeys([*keys, time, *values]), (-F.col("_back")).alias("_turn"))
+        return made.filter("_turn = 0").drop("_turn"), tail
+
+    return carried_stream(df, root, checkpoint, step)

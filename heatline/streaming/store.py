@@ -34,7 +34,7 @@ from heatline.sources.sinks import append_records
 TABLES = {"predictions": PREDICTIONS, "alerts": ALERTS, "system_events": SYSTEM_EVENTS}
 #: A module's predictions follow one another in this order within a batch.
 ORDER = ["event_time", "kafka_partition", "kafka_offset"]
-_COMMITS = "number long, batch string"
+_COMMITS = "number long, batch string, source string, source_batch long"
 _MARKS = "kafka_partition int, mark long"
 _RISKS = "module string, risk_level string"
 _EVENT = ["event_time", "event_type", "message"]
@@ -51,20 +51,42 @@ def existing(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
         return spark.createDataFrame([], schema)
 
 
+class Commits:
+    """Which batches below a folder are complete: a small row each, in a table of their own."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._spark, self._path = spark, f"{root.rstrip('/')}/commits"
+        self.last = self.all().orderBy(F.desc("number")).first()
+
+    def all(self) -> DataFrame:
+        return existing(self._spark, self._path, _COMMITS)
+
+    def visible(self, rows: DataFrame) -> DataFrame:
+        """The rows whose ``batch`` is complete."""
+        return rows.join(bounded_broadcast(self.all()), "batch", "left_semi")
+
+    def done(self, source: str, source_batch: int) -> bool:
+        """Whether this batch of a stream is the newest commit, or lies before it."""
+        return self.last is not None and self.last["source"] == source and self.last["source_batch"] >= source_batch
+
+    def add(self, batch: str, source: str = "", source_batch: int = -1) -> None:
+        """Make a batch visible."""
+        number = self.last["number"] + 1 if self.last else 0
+        row = self._spark.createDataFrame([(number, batch, source, source_batch)], _COMMITS).coalesce(1)
+        row.write.mode("append").parquet(self._path)
+        self.last = row.first()
+
+
 class BatchStore:
     """The three tables of a site below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self._spark, self._root = spark, root.rstrip("/")
-        self._last = self._commits().orderBy(F.desc("number")).first()
-
-    def _commits(self) -> DataFrame:
-        return existing(self._spark, f"{self._root}/commits", _COMMITS)
+        self._commits = Commits(spark, root)
 
     def read(self, name: str) -> DataFrame:
         """The rows of a table that committed batches wrote; filter on time to prune days."""
-        rows = self._dated(name).join(bounded_broadcast(self._commits()), "batch", "left_semi")
-        return rows.select(*TABLES[name].names)
+        return self._commits.visible(self._dated(name)).select(*TABLES[name].names)
 
     def _dated(self, name: str) -> DataFrame:
         own = [T.StructField("batch", T.StringType()), T.StructField("event_date", T.DateType())]
@@ -72,9 +94,10 @@ class BatchStore:
         return existing(self._spark, f"{self._root}/{name}", layout)
 
     def _of_last(self, name: str, schema: str) -> DataFrame:
-        if self._last is None:
+        last = self._commits.last
+        if last is None:
             return self._spark.createDataFrame([], schema)
-        return self._spark.read.schema(schema).parquet(f"{self._root}/{name}/{self._last['batch']}")
+        return self._spark.read.schema(schema).parquet(f"{self._root}/{name}/{last['batch']}")
 
     def marks(self) -> DataFrame:
         """The highest stored offset of each partition."""
@@ -91,8 +114,7 @@ class BatchStore:
         delivery, and the days reach the scan as a dynamic filter on its partitions.
         """
         days = bounded_broadcast(rows.select(F.to_date("event_time").alias("event_date")).distinct())
-        dated = self._dated(name).join(days, "event_date", "left_semi")
-        return dated.join(bounded_broadcast(self._commits()), "batch", "left_semi")
+        return self._commits.visible(self._dated(name).join(days, "event_date", "left_semi"))
 
     def _by_mark(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows beyond their partition's mark, and all others."""
@@ -154,13 +176,7 @@ class BatchStore:
         marks.groupBy("kafka_partition").agg(F.max("mark").alias("mark")).write.parquet(
             f"{self._root}/marks/{batch}"
         )
-        self._commit(batch)
+        self._commits.add(batch)
 
     def _append(self, rows: DataFrame, name: str, batch: str) -> None:
         append_records(rows.withColumn("batch", F.lit(batch)), f"{self._root}/{name}")
-
-    def _commit(self, batch: str) -> None:
-        number = self._last["number"] + 1 if self._last else 0
-        row = self._spark.createDataFrame([(number, batch)], _COMMITS).coalesce(1)
-        row.write.mode("append").parquet(f"{self._root}/commits")
-        self._last = row.first()

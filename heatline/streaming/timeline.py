@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heatline.functions.scalars import known
 from heatline.operators.timeline import resample_mean
 from heatline.schema import HORIZON_SECONDS, TOLERANCE_SECONDS
 
@@ -24,31 +25,51 @@ def matured_forecasts(
 ) -> DataFrame:
     """Each forecast with the reading nearest its target time, once it is due.
 
-    An interval join pairs a forecast with the few readings of its tolerance;
-    the nearest is kept and sent when the watermark passes the target time. A
-    forecast no reading came near is sent with NULLs. ``forecasts`` needs
-    ``event_time`` and ``predicted_temperature``; ``readings`` needs
-    ``event_time`` and ``current_temperature``.
+    Time is cut into buckets of two tolerances, and a reading also goes to the
+    neighbour its tolerance reaches into, so forecasts and readings meet by key and
+    bucket: state is spread over buckets, not modules alone. The nearest reading is kept
+    and sent when the watermark passes the target time; ties go as in the batch form.
+    Equal forecasts are all sent, NaN is no reading, and a forecast no reading came near
+    is sent with NULLs. ``forecasts`` needs ``event_time`` and
+    ``predicted_temperature``; ``readings`` needs ``event_time`` and
+    ``current_temperature``.
     """
-    spread = f"INTERVAL {tolerance_seconds} SECONDS"
+    reach = tolerance_seconds * 1_000_000
+    width = max(2 * reach, 1)
+
+    def bucket(micros: Column) -> Column:
+        return F.floor(micros / F.lit(width))
+
     due = F.col("event_time") + F.expr(f"INTERVAL {horizon_seconds} SECONDS")
     left = forecasts.select(
-        *on, "event_time", due.alias("target_time"), "predicted_temperature"
+        *on, "event_time", due.alias("target_time"),
+        known(F.col("predicted_temperature")).alias("predicted_temperature"),
+        F.uuid().alias("_forecast"), bucket(F.unix_micros(due)).alias("_bucket"),
     ).withWatermark("target_time", delay)
-    right = readings.filter(F.col("current_temperature").isNotNull()).select(
+    at = F.unix_micros("reading_time")
+    right = readings.select(
         *[F.col(k).alias(f"_r_{k}") for k in on],
-        F.col("event_time").alias("reading_time"), "current_temperature",
+        F.col("event_time").alias("reading_time"),
+        known(F.col("current_temperature")).alias("current_temperature"),
+    ).filter(F.col("current_temperature").isNotNull())
+    right = right.withColumn(
+        "_r_bucket", F.explode(F.sequence(bucket(at - reach), bucket(at + reach)))
     ).withWatermark("reading_time", delay)
-    near = [left[k] == right[f"_r_{k}"] for k in on]
+    spread = f"INTERVAL {tolerance_seconds} SECONDS"
+    near = [left[k] == right[f"_r_{k}"] for k in [*on]]
+    near.append(left["_bucket"] == right["_r_bucket"])
     near.append(F.expr(f"reading_time >= target_time - {spread}"))
     near.append(F.expr(f"reading_time <= target_time + {spread}"))
+    pairs = left.join(right, near, "left_outer")
     distance = F.abs(F.unix_micros("reading_time") - F.unix_micros("target_time"))
-    reading = F.struct("reading_time", "current_temperature")
+    value = F.col("current_temperature")
+    # Of readings at one time the greatest counts from before, the least from behind.
+    tie = F.when(F.col("reading_time") <= F.col("target_time"), -value).otherwise(value)
     found = F.col("reading_time").isNotNull()
-    pairs = left.join(right, near, "left_outer")
-    best = pairs.groupBy(*on, "event_time", "target_time", "predicted_temperature").agg(
+    best = pairs.groupBy(*on, "event_time", "target_time", "predicted_temperature", "_forecast").agg(
         F.min_by(
-            F.when(found, reading), F.when(found, F.struct(distance.alias("d"), "reading_time"))
+            F.when(found, F.struct("reading_time", "current_temperature")),
+            F.when(found, F.struct(distance.alias("d"), "reading_time", tie.alias("tie"))),
         ).alias("_best")
     )
     return best.select(

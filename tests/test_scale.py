@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from heatline.operators import scale
 from heatline.operators.risk import exact_quantiles
 from heatline.operators.scale import by, over_ordered, values_at_ranks, with_position
 
@@ -68,6 +69,43 @@ def test_chunks_are_bounded(spark):
     assert sizes.agg(F.max("rows")).head()[0] <= 2 * 100
 
 
+def test_short_series_need_no_routes(spark, monkeypatch):
+    """Many series, all short: one plain window; with a long one beside them only that is cut."""
+    df = spark.range(400_000).select(
+        (F.col("id") % 4000).alias("k"), F.timestamp_seconds(F.expr("id div 4000")).alias("t"), "id",
+        (F.col("id") % 101).cast("double").alias("v"),
+    )
+    made = []
+
+    def counted(*args):
+        found = routes(*args)
+        made.extend(table.count() for _, table in found)
+        return found
+
+    routes = scale._routes
+    monkeypatch.setattr(scale, "_routes", counted)
+    chunked = over_ordered(df, ["k"], ["t", "id"], 7, build, limit=500)
+    assert made == [] and "Join" not in chunked._jdf.queryExecution().analyzed().toString()
+    long = spark.range(20_000).select(
+        F.lit(-1).cast("long").alias("k"), F.timestamp_seconds("id").alias("t"), "id", F.lit(1.0).alias("v")
+    )
+    df = df.filter("k < 100").unionByName(long)
+    chunked = over_ordered(df, ["k"], ["t", "id"], 7, build, position="pos", limit=500)
+    assert as_set(chunked) == as_set(unsplit(df, ["k"], ["t", "id"]))
+    assert 20_000 // 500 <= sum(made) <= 8 * 20_000 // 500
+
+
+def test_series_of_other_spans_are_cut_alike(spark):
+    """Each long series has buckets of its own width, from microseconds to years."""
+    rows = spark.range(1200).select(
+        (F.col("id") % 3).alias("k"),
+        F.timestamp_micros(F.pow(F.lit(1000.0), F.col("id") % 3).cast("long") * F.col("id") * 7000).alias("t"),
+        "id", F.lit(1.0).alias("v"),
+    )
+    chunked = over_ordered(rows, ["k"], ["t", "id"], 7, build, position="pos", limit=30)
+    assert as_set(chunked) == as_set(unsplit(rows, ["k"], ["t", "id"]))
+
+
 def test_text_order_is_refused(spark):
     with pytest.raises(TypeError):
         over_ordered(series(spark), ["k"], ["k"], 1, build)

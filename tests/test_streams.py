@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from heatline.functions.scalars import parse_time
 from heatline.operators import alerts, features as feature_ops, monitor
 from heatline.operators.timeline import resample_mean
-from heatline.plans.catalog.streams import finished
-from heatline.schema import ENVELOPE, PREDICTIONS, SYSTEM_EVENTS
+from heatline.plans.catalog.streams import carried, finished
+from heatline.schema import ENVELOPE, MODULES, PREDICTIONS, SYSTEM_EVENTS
 from heatline.sources.sinks import append_records
 from heatline.sources.telemetry import file_messages, replay_stream
 from heatline.streaming.alerts import alert_stream
+from heatline.streaming.carried import carried_rows, carried_stream
 from heatline.streaming.features import feature_stream
 from heatline.streaming.ingest import deduplicated, scoring_stream
 from heatline.streaming.lifecycle import LifecycleListener
-from heatline.streaming.store import BatchStore
+from heatline.streaming.store import BatchStore, Commits
 from heatline.streaming.timeline import matured_forecasts, resample_stream
 from test_features import frame
 from test_risk import NAMES, decisions
@@ -38,15 +39,46 @@ def test_alerts_over_batches(spark, ts, tmp_path):
     df = decisions(spark, ts, [NAMES[c] for c in "NWWCWCNW"]).unionByName(
         decisions(spark, ts, [NAMES[c] for c in "CCNNWNCN"], "n")
     )
-    streamed = finished(alert_stream(in_batches(spark, df, tmp_path / "d", 5)))
+    streamed = carried(in_batches(spark, df, tmp_path / "d", 5), alert_stream)
     assert as_set(streamed) == as_set(alerts.alert_events(df))
 
 
+def test_carried_batches_are_stored_once(spark, ts, tmp_path):
+    """A batch that failed shows nothing; one that was committed is not run again."""
+    df = decisions(spark, ts, [NAMES[c] for c in "NWWCWCNW"])
+    in_batches(spark, df, tmp_path / "d", 4)
+    failing, runs = iter([False, True, False, False, False]), []
+
+    def step(batch, before):
+        if next(failing):
+            raise OSError("stopped")
+        total = batch.count() + (before.head()[0] if before is not None else 0)
+        runs.append(total)
+        return batch, spark.createDataFrame([(total,)], "total long")
+
+    def run(checkpoint):
+        source = replay_stream(spark, str(tmp_path / "d"), df.schema, files_per_batch=1)
+        carried_stream(source, str(tmp_path / "r"), str(tmp_path / checkpoint), step).trigger(
+            availableNow=True
+        ).start().awaitTermination()
+
+    with pytest.raises(Exception, match="stopped"):
+        run("c")
+    assert carried_rows(spark, str(tmp_path / "r")).count() == 2
+    run("c")
+    assert runs == [2, 4, 6, 8] and as_set(carried_rows(spark, str(tmp_path / "r"))) == as_set(df)
+    commits = Commits(spark, str(tmp_path / "r"))
+    assert commits.done(str(tmp_path / "c"), 3) and not commits.done(str(tmp_path / "c"), 4)
+    assert not commits.done(str(tmp_path / "other"), 0)
+
+
 def test_features_over_batches(spark, tmp_path):
-    df = spark.createDataFrame(frame(80)).withColumn("site", F.lit("s"))
-    streamed = finished(feature_stream(in_batches(spark, df, tmp_path / "f", 4), ["site"])).toPandas()
+    df = spark.createDataFrame(frame(80))
+    holes = {m: F.when(F.minute("event_time") % 3 != 1, F.col(m)) for m in MODULES[:2]}
+    df = df.withColumn("site", F.lit("s")).unionByName(df.withColumns(holes).withColumn("site", F.lit(None).cast("string")))
+    streamed = carried(in_batches(spark, df, tmp_path / "f", 4), feature_stream, keys=["site"]).toPandas()
     batch = feature_ops.add_features(df, ["site"], mode="serving").toPandas()
-    streamed, batch = (f.sort_values("event_time", ignore_index=True) for f in (streamed, batch))
+    streamed, batch = (f.sort_values(["site", "event_time"], ignore_index=True) for f in (streamed, batch))
     pd.testing.assert_frame_equal(streamed[batch.columns], batch, check_exact=False, rtol=1e-9)
 
 
@@ -63,6 +95,9 @@ def test_duplicates_across_batches(spark, ts, tmp_path):
 
 def test_maturation_over_batches(spark, ts, tmp_path):
     rows = [("m", ts(10 * i), 20.0 + i % 7, 21.0 + i % 5) for i in range(100) if i not in (45, 46, 47, 48, 49, 50, 51, 52, 53)]
+    # Equal forecasts, readings that are none, and two readings at one time.
+    rows += [rows[3], rows[3], ("m", ts(35), float("nan"), 21.0), ("m", ts(320), None, float("nan")), ("m", ts(600), 3.0, None)]
+    rows += [("n", ts(10 * i + 3), 30.0 + i % 4, 31.0) for i in range(0, 100, 7)]
     df = spark.createDataFrame(rows, "module string, event_time timestamp, current_temperature double, predicted_temperature double")
     source = in_batches(spark, df, tmp_path / "p", 6)
     again = replay_stream(spark, str(tmp_path / "p"), df.schema, files_per_batch=1)
@@ -148,7 +183,7 @@ def test_a_batch_that_stops_half_way_shows_nothing(spark, ts, tmp_path, monkeypa
 
     with monkeypatch.context() as broken:
         broken.setattr(BatchStore, "_append", stopping(BatchStore._append))
-        broken.setattr(BatchStore, "_commit", stopping(BatchStore._commit))
+        broken.setattr(Commits, "add", stopping(Commits.add))
         with pytest.raises(Exception, match="stopped"):
             score(spark, tmp_path, "c")
     assert shown(spark, tmp_path) == before
