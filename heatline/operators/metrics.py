@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatline.functions.scalars import improvement_percent
@@ -57,9 +57,10 @@ def regression_metrics(
 
 def compare_models(scores: DataFrame, baseline: str = "Persistence") -> DataFrame:
     """Scores per model against the baseline, best MAE first."""
-    base = scores.filter(F.col("model") == baseline).select(F.col("mae").alias("_base"))
+    base = F.max(F.when(F.col("model") == baseline, F.col("mae"))).over(Window.partitionBy())
     return (
-        scores.crossJoin(F.broadcast(base))
+        scores.withColumn("_base", base)
+        .filter(F.col("_base").isNotNull())
         .select(
             "model", "mae", "rmse", "r2",
             improvement_percent(F.col("_base"), F.col("mae")).alias("improvement_percent"),
@@ -69,8 +70,20 @@ def compare_models(scores: DataFrame, baseline: str = "Persistence") -> DataFram
     )
 
 
+def forecast_scores(df: DataFrame, predicted: dict[str, str], actual: str = "actual") -> DataFrame:
+    """Score the forecasts of several models that stand side by side, in one scan.
+
+    ``predicted`` maps a model's name to its column.
+    """
+    rows = [
+        F.struct(F.lit(name).alias("model"), F.col(actual).alias("actual"), F.col(c).alias("predicted"))
+        for name, c in predicted.items()
+    ]
+    return regression_metrics(df.select("module", F.inline(F.array(*rows))), within=["model"])
+
+
 def model_scores(pairs_by_model: dict[str, DataFrame]) -> DataFrame:
-    """Score several models' ``module, actual, predicted`` rows in one pass."""
+    """The same for models whose ``module, actual, predicted`` rows are tables of their own."""
     rows = [df.withColumn("model", F.lit(name)) for name, df in pairs_by_model.items()]
     return regression_metrics(reduce(DataFrame.unionByName, rows), within=["model"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heatline.functions import scalars as S
 from heatline.operators.asof import asof_nearest
 from heatline.operators.project import active_alerts, of_module
-from heatline.operators.scale import BROADCAST_ROWS, same, stored
+from heatline.operators.scale import BROADCAST_ROWS, bounded_broadcast, same, stored
 from heatline.schema import HORIZON_SECONDS, TOLERANCE_SECONDS
 
 RECENT = ["event_time", "kafka_partition", "kafka_offset"]
@@ -137,7 +137,8 @@ def forecast_performance(
 ) -> DataFrame:
     """Evaluated, pending, MAE and RMSE by module and ``overall``.
 
-    The overall row pools errors. ``oldest`` scores only the first rows in time.
+    Of the pending ones, ``not_due`` have a target beyond their module's newest reading,
+    and ``missed`` one that readings have passed. The overall row pools errors. ``oldest`` scores only the first rows in time.
     """
     if oldest:
         predictions = oldest_n(predictions, ["event_time"], oldest)
@@ -146,15 +147,24 @@ def forecast_performance(
     )
     forecast = F.col("predicted_temperature").isNotNull()
     error = F.col("matched_value") - F.col("predicted_temperature")
+    pending = forecast & F.col("matched_value").isNull()
+    reading = F.when(S.known(F.col("current_temperature")).isNotNull(), F.col("event_time"))
+    newest = predictions.groupBy(F.col("module").alias("_module")).agg(F.max(reading).alias("_newest"))
+    newest = bounded_broadcast(newest)
+    scored = scored.join(newest, same(scored, newest, [("module", "_module")]), "left")
+    early = F.col("_newest").isNull() | (F.col("target_time") > F.col("_newest"))
+    counts = ("evaluated", "pending", "not_due", "missed")
     per_module = scored.groupBy("module").agg(
         F.count(error).alias("evaluated"),
-        F.count_if(forecast & F.col("matched_value").isNull()).alias("pending"),
+        F.count_if(pending).alias("pending"),
+        F.count_if(pending & early).alias("not_due"),
+        F.count_if(pending & ~early).alias("missed"),
         F.sum(F.abs(error)).alias("_abs"),
         F.sum(error * error).alias("_sq"),
     )
     total = per_module.agg(
         F.lit("overall").alias("module"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("evaluated", "pending")],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
         F.sum("_abs").alias("_abs"),
         F.sum("_sq").alias("_sq"),
     )
@@ -162,13 +172,15 @@ def forecast_performance(
     return per_module.unionByName(total).select(
         "module", "evaluated", "pending",
         (F.col("_abs") / n).alias("mae"), F.sqrt(F.col("_sq") / n).alias("rmse"),
+        "not_due", "missed",
     )
 
 
 def status_with_performance(status: DataFrame, performance: DataFrame) -> DataFrame:
     """Module status beside its scores; no scores count as zero rows."""
-    scores = F.broadcast(performance.filter(F.col("module") != "overall"))
-    joined = status.join(scores, "module", "left").fillna(0, ["evaluated", "pending"])
+    scores = bounded_broadcast(performance.filter(F.col("module") != "overall"))
+    counts = [c for c in ("evaluated", "pending", "not_due", "missed") if c in scores.columns]
+    joined = status.join(scores, "module", "left").fillna(0, counts)
     return joined.withColumn("accuracy", S.accuracy_grade(F.col("mae")))
 
 

@@ -12,6 +12,7 @@ from heatline.operators.scale import (
     same,
     values_at_ranks,
 )
+from heatline.operators.split import chronological_split
 from heatline.schema import (
     CRITICAL_QUANTILE,
     NEAR_WARNING,
@@ -21,6 +22,10 @@ from heatline.schema import (
 )
 
 
+#: Size of a KLL sketch: about three times as many numbers at most, however many values.
+SKETCH_SIZE = 4096
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
     limit: int | None = None,
@@ -69,13 +74,55 @@ def exact_quantiles(
 def fit_thresholds(
     df: DataFrame, keys: list[str] = ["module"], value: str = "value",
     warning: float = WARNING_QUANTILE, critical: float = CRITICAL_QUANTILE,
-    limit: int | None = None,
+    limit: int | None = None, fit_split: str | None = None, time: str = "event_time",
 ) -> DataFrame:
-    """A10: warning and critical levels from each module's history."""
+    """A10: warning and critical levels from each module's history.
+
+    The whole history by default; ``fit_split='train'`` leaves later splits unseen.
+    """
+    if fit_split:
+        df = chronological_split(df, time).filter(F.col("split") == fit_split)
     levels = exact_quantiles(df, keys, value, {"warning": warning, "critical": critical}, limit)
     return levels.withColumn("source", F.lit("historical_percentiles"))
 
 
+def value_sketches(
+    df: DataFrame, keys: list[str] = ["module"], value: str = "value", time: str = "event_time",
+    size: int = SKETCH_SIZE,
+) -> DataFrame:
+    """A10, incremental: a KLL sketch of each key's values by day, with their count.
+
+    Sketches of new days are appended to those stored; no old reading is read again.
+    """
+    rows = df.select(
+        *keys, F.to_date(time).alias("event_date"), known(F.col(value).cast("double")).alias("_v")
+    ).filter(F.col("_v").isNotNull())
+    return rows.groupBy(*keys, "event_date").agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("_v", F.lit(size)).alias("sketch")
+    )
+
+
+def rank_error(size: int = SKETCH_SIZE) -> float:
+    """How far, as a share of all values, a quantile's rank in a sketch may be off (99 % sure)."""
+    return 2.296 / size**0.9723
+
+
+def sketched_thresholds(
+    sketches: DataFrame, keys: list[str] = ["module"],
+    warning: float = WARNING_QUANTILE, critical: float = CRITICAL_QUANTILE,
+) -> DataFrame:
+    """A10: levels of any period from its days' sketches, each within ``rank_error``."""
+    merged = sketches.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_all")
+    )
+    levels = {"warning": warning, "critical": critical}
+    return merged.select(
+        *keys, "n",
+        *[F.kll_sketch_get_quantile_double("_all", F.lit(q)).alias(name) for name, q in levels.items()],
+        F.lit("sketched_percentiles").alias("source"),
+    )
+
+
 def ready_thresholds(thresholds: DataFrame, keys: list[str] = ["module"]) -> DataFrame:
     """Thresholds written once and sized for joining, for use in many joins."""
     if f"_t_{keys[0]}" in thresholds.columns:

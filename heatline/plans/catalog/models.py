@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatline.functions.scalars import improvement_percent
-from heatline.operators import baselines, metrics, ml, split
+from heatline.operators import baselines, linear, metrics, ml, split
 from heatline.operators.features import add_series_features
 from heatline.operators.scale import written
 from heatline.operators.targets import add_future_targets
@@ -15,13 +15,24 @@ from heatline.plans.catalog.base import (
     HORIZON,
     HOUR,
     R,
+    STEP,
+    WIDE,
     events,
     hourly,
     query,
     rounded,
     telemetry,
+    wide,
+)
+from heatline.schema import (
+    CHANGE_ROWS,
+    LAGS,
+    MEAN_ROWS,
+    MODULES,
+    STD_ROWS,
+    TARGETS,
+    TOTAL_POWER,
 )
-from heatline.schema import CHANGE_ROWS, LAGS, MEAN_ROWS, STD_ROWS
 from heatline.session import scratch_path
 
 _TARGET = {"value": "target"}
@@ -92,15 +103,18 @@ _AVERAGED = f"""{R}, pr AS (SELECT a.module, a.event_time, b.value AS actual, a.
   ma AS (SELECT *, avg(current) OVER (PARTITION BY module ORDER BY event_time ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS average,
     row_number() OVER (ORDER BY event_time) - 1 AS place, count(*) OVER ()::DOUBLE AS n FROM pr),
   cut AS (SELECT max(event_time) FILTER (WHERE place = floor(0.85::DOUBLE * n)) AS test_start FROM ma),
-  te AS (SELECT ma.* FROM ma, cut WHERE event_time >= test_start)"""
+  te AS (SELECT ma.* FROM ma, cut WHERE event_time >= test_start),
+  line AS (SELECT regr_slope(actual, current) AS k, regr_intercept(actual, current) AS c FROM ma, cut WHERE event_time < test_start)"""
 
 
 def _test_rows(spark, sf) -> DataFrame:
-    """Both baselines on the last 15 % of times; averages cross the border."""
+    """All models but the trees on the last 15 % of times; averages cross the border."""
     rows = baselines.moving_average(
         _supervised(spark, sf), ["module"], columns=["value"], prefix="Average_"
     )
-    return split.chronological_split(written(rows)).filter("split = 'test'")
+    rows = split.chronological_split(written(rows))
+    model = linear.fit_linear(split.production_rows(rows), ["value"], ["target"], ["value"])
+    return ml.score(rows.filter("split = 'test'"), model)
 
 
 @query("m2_moving_average", f"""WITH {_AVERAGED} SELECT module, event_time, round(actual, 6) AS actual,
@@ -113,7 +127,8 @@ def m2(spark, sf):
 
 
 _COMPARED = f"""{_AVERAGED}, both_models AS (SELECT 'Persistence' AS model, module, actual, current AS predicted FROM te
-    UNION ALL SELECT 'Moving Average', module, actual, average FROM te),
+    UNION ALL SELECT 'Moving Average', module, actual, average FROM te
+    UNION ALL SELECT 'Linear Regression', module, actual, k * current + c FROM te, line),
   per AS (SELECT model, module, sum(abs(actual - predicted)) AS a, sum((actual - predicted) ** 2) AS q, count(*) AS n,
     CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(actual) = 0 THEN (sum((actual - predicted) ** 2) = 0)::INT
     ELSE 1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)) END AS r2 FROM both_models GROUP BY ALL),
@@ -122,14 +137,8 @@ _COMPARED = f"""{_AVERAGED}, both_models AS (SELECT 'Persistence' AS model, modu
 
 
 def _scores(spark, sf) -> DataFrame:
-    rows = _test_rows(spark, sf)
-
-    def pairs(predicted):
-        return rows.select("module", F.col("target").alias("actual"), F.col(predicted).alias("predicted"))
-
-    return metrics.model_scores(
-        {"Persistence": pairs("value"), "Moving Average": pairs("Average_value")}
-    )
+    models = {"Persistence": "value", "Moving Average": "Average_value", "Linear Regression": "Predicted_value"}
+    return metrics.forecast_scores(_test_rows(spark, sf), models, "target")
 
 
 @query("a18_model_comparison", f"""WITH {_COMPARED} SELECT model, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2,
@@ -188,6 +197,32 @@ def m3_one(spark, sf):
     return rounded(out, "predicted", digits=4)
 
 
+# Two inputs shared by eight targets still have a closed form: the normal equations.
+_INPUTS = ["Module_1_Avg_Temp", TOTAL_POWER]
+_EIGHT = f"""{WIDE}, pr AS (SELECT a.event_time, a.{_INPUTS[0]} AS x1, a.{_INPUTS[1]} AS x2,
+    {', '.join(f'b.{m} AS {t}' for m, t in zip(MODULES, TARGETS))}
+    FROM w a JOIN w b ON a.event_time + INTERVAL 30 HOUR = b.event_time
+    WHERE {' AND '.join(f'b.{m} IS NOT NULL' for m in MODULES)} AND a.{_INPUTS[0]} IS NOT NULL),
+  c AS (SELECT avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12,
+    {', '.join(f'avg({t}) AS m_{t}, covar_pop(x1, {t}) AS a_{t}, covar_pop(x2, {t}) AS b_{t}' for t in TARGETS)} FROM pr)"""
+
+
+def _line_sql(t: str) -> str:
+    k1 = f"(a_{t} * s22 - b_{t} * s12) / (s11 * s22 - s12 * s12)"
+    k2 = f"(b_{t} * s11 - a_{t} * s12) / (s11 * s22 - s12 * s12)"
+    return f"round(m_{t} + {k1} * (x1 - m1) + {k2} * (x2 - m2), 4)"
+
+
+@query("m3_all_targets", f"""WITH {_EIGHT} SELECT event_time,
+  {', '.join(f'{_line_sql(t)} AS Predicted_{m}' for m, t in zip(MODULES, TARGETS))} FROM pr, c""")
+def m3_all(spark, sf):
+    rows = add_future_targets(wide(spark, sf), [], seconds=5 * STEP).dropna(subset=_INPUTS)
+    rows = written(rows.select("event_time", *_INPUTS, *TARGETS))
+    out = ml.score(rows, linear.fit_linear(rows, _INPUTS))
+    names = [f"Predicted_{m}" for m in MODULES]
+    return rounded(out.select("event_time", *names), *names, digits=4)
+
+
 @query("m5_batch_scoring", f"""WITH {_PAIRS}, fit AS (SELECT regr_slope(actual, predicted) AS k, regr_intercept(actual, predicted) AS c FROM pr)
   SELECT module, event_time, round(k * value + c, 4) AS predicted FROM r, fit""")
 def m5(spark, sf):

@@ -69,10 +69,14 @@ def _records(spark, sf):
 
 
 _SCORES = """SELECT module, count(e) AS evaluated, count(*) - count(e) AS pending,
-  round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse"""
+  round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
+  count(*) FILTER (WHERE early) AS not_due, count(*) FILTER (WHERE e IS NULL AND NOT early) AS missed"""
+_ERRORS = """, newest AS (SELECT module, max(event_time) AS newest FROM tl GROUP BY module),
+  e AS (SELECT module, matched_value - predicted AS e, matched_value IS NULL AND target_time > newest AS early
+    FROM m JOIN newest USING (module))"""
 
 
-@query("a20_forecast_performance", f"""WITH {ASOF}, e AS (SELECT module, matched_value - predicted AS e FROM m)
+@query("a20_forecast_performance", f"""WITH {ASOF}{_ERRORS}
   {_SCORES} FROM e GROUP BY module
   UNION ALL {_SCORES.replace('SELECT module', "SELECT 'overall' AS module")} FROM e""")
 def a20(spark, sf):
@@ -85,7 +89,7 @@ _OLDEST = ASOF.replace(
 )
 
 
-@query("a20_oldest_rows", f"""WITH {_OLDEST}, e AS (SELECT module, matched_value - predicted AS e FROM m)
+@query("a20_oldest_rows", f"""WITH {_OLDEST}{_ERRORS}
   {_SCORES} FROM e GROUP BY module
   UNION ALL {_SCORES.replace('SELECT module', "SELECT 'overall' AS module")} FROM e""")
 def a20_oldest(spark, sf):
@@ -132,10 +136,11 @@ def j3_users(spark, sf):
     return out.select("user_id", "event_id", "ts")
 
 
-@query("j6_status_performance", f"""WITH {ASOF}, e AS (SELECT module, matched_value - predicted AS e FROM m),
+@query("j6_status_performance", f"""WITH {ASOF}{_ERRORS},
   s AS ({_SCORES} FROM e WHERE module <> 'Module_8_Avg_Temp' GROUP BY module),
   latest AS (SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY module ORDER BY event_time DESC) = 1)
-  SELECT module, l.event_time, coalesce(evaluated, 0) AS evaluated, coalesce(pending, 0) AS pending, mae,
+  SELECT module, l.event_time, coalesce(evaluated, 0) AS evaluated, coalesce(pending, 0) AS pending,
+    coalesce(not_due, 0) AS not_due, coalesce(missed, 0) AS missed, mae,
     CASE WHEN mae < 0.5 THEN 'Strong forecasting accuracy' WHEN mae < 1.0 THEN 'Good forecasting accuracy'
       WHEN mae >= 1.0 THEN 'Needs model attention' END AS accuracy
   FROM latest l LEFT JOIN s USING (module)""")

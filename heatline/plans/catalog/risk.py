@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from heatline.functions import scalars as S
 from heatline.operators import alerts, monitor, project, risk, whatif
+from heatline.operators.scale import bounded_broadcast, written
 from heatline.operators.validate import key_differences, threshold_rows
 from heatline.plans.catalog.base import (
     CHANGES,
@@ -42,6 +43,35 @@ def a10_ranks(spark, sf):
     return rounded(out.drop("source"), "warning", "critical")
 
 
+@query("a10_thresholds_train", f"""WITH {R}, o AS (SELECT event_time, row_number() OVER (ORDER BY event_time) - 1 AS place,
+    count(*) OVER ()::DOUBLE AS n FROM r),
+  cut AS (SELECT max(event_time) FILTER (WHERE place = floor(0.70::DOUBLE * n)) AS a FROM o)
+  SELECT module, round(quantile_cont(value, 0.95::DOUBLE), 6) AS warning,
+  round(quantile_cont(value, 0.99::DOUBLE), 6) AS critical FROM r, cut WHERE event_time < a GROUP BY module""")
+def a10_train(spark, sf):
+    out = risk.fit_thresholds(series(spark, sf), fit_split="train")
+    return rounded(out.drop("source"), "warning", "critical")
+
+
+# Sketches only promise a rank, so ranks are compared: both levels lie within the bound.
+@query("a10_sketched_thresholds", f"""WITH {TL} SELECT module, count(*) AS n, true AS warning_near, true AS critical_near
+  FROM tl GROUP BY module""")
+def a10_sketched(spark, sf):
+    rows = written(telemetry(spark, sf).select("module", "event_time", "value"))
+    sketches = written(risk.value_sketches(rows), "sketches")
+    levels = risk.sketched_thresholds(sketches)
+    ranks = rows.join(bounded_broadcast(levels.drop("source")), "module").groupBy("module", "n").agg(
+        *[F.avg((F.col("value") <= F.col(c)).cast("int")).alias(c) for c in ("warning", "critical")],
+        *[F.avg((F.col("value") < F.col(c)).cast("int")).alias(f"{c}_low") for c in ("warning", "critical")],
+    )
+    bound = risk.rank_error()
+
+    def near(name, q):
+        return ((F.col(f"{name}_low") <= q + bound) & (F.col(name) >= q - bound)).alias(f"{name}_near")
+
+    return ranks.select("module", "n", near("warning", 0.95), near("critical", 0.99))
+
+
 _LEGACY = """SELECT module, CASE WHEN substr(module, 8, 1)::INT % 2 = 0 THEN warning END AS w1,
   CASE WHEN substr(module, 8, 1)::INT % 2 = 1 THEN warning END AS w2,
   CASE WHEN module = 'Module_3_Avg_Temp' THEN warning ELSE critical END AS critical FROM th"""

@@ -81,7 +81,6 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def write_thresholds(thresholds: DataFrame, path: str) -> None:
-    """One JSON object with an entry per module; there are as many as modules."""
-    entry = F.struct("module", F.struct("warning", "critical", "source").alias("level"))
-    merged = thresholds.agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("all"))
-    merged.select(F.to_json("all").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A JSON object of one module per line; however many modules, none are gathered."""
+    entry = F.create_map("module", F.struct("warning", "critical", "source"))
+    thresholds.select(F.to_json(entry).alias("value")).write.mode("overwrite").text(path)

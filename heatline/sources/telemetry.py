@@ -63,13 +63,18 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object of modules as rows, still unchecked."""
+    """JSON objects of modules as rows, still unchecked.
+
+    One object to a line, or a single one over the whole file.
+    """
     names = ("warning", "critical", "Warning_95", "Critical_99", "source")
     levels = "map<string,struct<" + ",".join(f"{n}:string" for n in names) + ">>"
-    parsed = spark.read.text(path, wholetext=True).select(
-        F.from_json("value", levels).alias("levels")
-    )
-    if not parsed.filter(F.col("levels").isNull()).isEmpty():
+    for whole in (False, True):
+        text = spark.read.text(path, wholetext=whole).filter(F.trim("value") != "")
+        parsed = text.select(F.from_json("value", levels).alias("levels"))
+        if parsed.filter(F.col("levels").isNull()).isEmpty():
+            break
+    else:
         raise ValueError("Threshold configuration must be a JSON object")
     return parsed.select(F.explode("levels").alias("module", "level")).select(
         "module", *[f"level.{n}" for n in names]

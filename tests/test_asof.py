@@ -83,14 +83,21 @@ def test_performance_pools_errors(spark, ts):
         ("b", ts(10), 10.0, 12.0), ("b", ts(305), 10.0, None), ("b", ts(310), 10.0, None),
     ]
     out = {r["module"]: tuple(r)[1:] for r in forecast_performance(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert out["a"] == (1, 1, 1.0, 1.0)
-    assert out["b"] == (2, 0, 3.0, pytest.approx(10**0.5))
-    assert out["overall"] == (3, 1, pytest.approx(7 / 3), pytest.approx((21 / 3) ** 0.5))
+    assert out["a"] == (1, 1, 1.0, 1.0, 1, 0)
+    assert out["b"] == (2, 0, 3.0, pytest.approx(10**0.5), 0, 0)
+    assert out["overall"] == (3, 1, pytest.approx(7 / 3), pytest.approx((21 / 3) ** 0.5), 1, 0)
+
+
+def test_a_gap_is_missed_and_the_end_not_due(spark, ts):
+    rows = [("a", ts(0), 1.0, 1.0), ("a", ts(900), 1.0, 1.0), ("b", ts(0), None, 1.0), ("a", ts(1150), 1.0, None)]
+    out = {r["module"]: (r["pending"], r["not_due"], r["missed"])
+           for r in forecast_performance(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {"a": (2, 1, 1), "b": (1, 1, 0), "overall": (3, 2, 1)}
 
 
 def test_performance_without_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert [tuple(r) for r in forecast_performance(empty).collect()] == [("overall", 0, 0, None, None)]
+    assert [tuple(r) for r in forecast_performance(empty).collect()] == [("overall", 0, 0, None, None, 0, 0)]
 
 
 def test_status_without_scores(spark, ts):

@@ -165,3 +165,33 @@ def test_readings_of_status(spark):
     assert [r["module"] for r in monitor.active_list(df).collect()] == [
         "Module_9_Avg_Temp", "Module_2_Avg_Temp", "Module_10_Avg_Temp", "Spare"]
     assert tuple(monitor.active_counts(df).head()) == (4, 3, 1)
+
+
+def test_sketches_of_days_keep_the_rank(spark, ts):
+    """Levels merged from days are within the stated error of the true rank, however split."""
+    rows = [("a" if k % 3 == 0 else "b", ts(40 * k), float((k * 7919) % 60_000) ** 1.5) for k in range(60_000)]
+    rows += [("a", ts(0), float("nan")), ("a", ts(0), None), ("c", ts(0), 5.0)]
+    df = spark.createDataFrame(rows, "module string, event_time timestamp, value double")
+    sketches = risk.value_sketches(df, size=256)
+    assert sketches.filter("module = 'a'").count() > 20
+    old, new = [sketches.filter(F.col("event_date") < d) for d in ("2024-10-01", "2025-01-01")]
+    for part, seen in ((old, df.filter("event_time < '2024-10-01'")), (new, df)):
+        levels = {r["module"]: r for r in risk.sketched_thresholds(part).collect()}
+        known = seen.filter("NOT isnan(value)").dropna().toPandas()
+        for module, values in known.groupby("module")["value"]:
+            assert levels[module]["n"] == len(values)
+            for name, q in (("warning", 0.95), ("critical", 0.99)):
+                low, high = (values < levels[module][name]).mean(), (values <= levels[module][name]).mean()
+                assert low - risk.rank_error(256) <= q <= high + risk.rank_error(256)
+
+
+def test_one_object_or_one_to_a_line(spark, tmp_path):
+    lines = ['{"a": {"warning": 1, "critical": 2}}', "", '{"b": {"warning": 3, "critical": 4}}']
+    (tmp_path / "lines").write_text("\n".join(lines))
+    (tmp_path / "whole").write_text('{\n "a": {"warning": 1, "critical": 2},\n "b": {"warning": 3,\n "critical": 4}}\n')
+    for name in ("lines", "whole"):
+        found = read_thresholds(spark, str(tmp_path / name)).select("module", "warning", "critical").collect()
+        assert sorted(map(tuple, found)) == [("a", "1", "2"), ("b", "3", "4")]
+    (tmp_path / "bad").write_text("[1]")
+    with pytest.raises(ValueError, match="JSON object"):
+        read_thresholds(spark, str(tmp_path / "bad"))

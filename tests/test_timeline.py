@@ -73,6 +73,19 @@ def test_target_crosses_no_gap(spark, ts):
         check_horizon(out.withColumn("target_time", F.col("event_time")))
 
 
+def test_repeated_times_have_no_target(spark, ts):
+    df = spark.createDataFrame([(ts(0), 1.0), (ts(0), 2.0), (ts(5), 3.0)], "event_time timestamp, v double")
+    with pytest.raises(Exception, match="more than one row"):
+        add_future_targets(df, [], columns=["v"], seconds=5, names={"v": "y"}).collect()
+    holes = spark.createDataFrame(
+        [(ts(0), None, "a"), (ts(5), float("nan"), None), (None, 1.0, "x"), (ts(10), 4.0, "z")],
+        "event_time timestamp, v double, note string",
+    )
+    out = add_future_targets(holes, [], columns=["v"], seconds=5, names={"v": "y"})
+    assert out.columns == ["event_time", "v", "note", "target_time", "y"]
+    assert [(r["note"], r["y"]) for r in out.collect()] == [(None, 4.0)]
+
+
 def test_keys_of_targets_may_be_null(spark, ts):
     rows = [(None, ts(0), 1.0), (None, ts(5), 2.0), ("a", ts(5), 9.0)]
     df = spark.createDataFrame(rows, "site string, event_time timestamp, v double")

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from heatline.operators import baselines, metrics, ml, split
+from heatline.operators import baselines, linear, metrics, ml, split
 from heatline.plans.training import feature_table, modules_from_raw, persistence_by_module, split_table
 from heatline.schema import MODULES, SOURCE_TIME, TARGETS, TOTAL_POWER, feature_names, raw_telemetry
 from heatline.sources.sinks import write_csv, write_dataset
@@ -35,6 +35,34 @@ def raw(spark, tmp_path_factory):
     return frame, read_telemetry(spark, str(path), layout)
 
 
+def test_all_targets_at_once_equal_single_fits(spark):
+    """Weights of one Gram matrix are those of one least squares fit per target."""
+    generator = np.random.default_rng(4)
+    frame = pd.DataFrame(generator.normal(25, 3, (300, 6)), columns=[f"x {i}" for i in range(6)])
+    for j in range(4):
+        frame[f"y{j}"] = frame @ generator.normal(0, 1, frame.shape[1]) + generator.normal(0, 0.1, 300) + 5 * j
+        frame = frame[[c for c in frame if c.startswith("x")] + [c for c in frame if c.startswith("y")]]
+    frame["flat"] = 7.0
+    inputs, targets = [f"x {i}" for i in range(6)], [f"y{j}" for j in range(4)]
+    df = spark.createDataFrame(frame).repartition(5)
+    weights, intercepts = linear.coefficients(df, inputs, targets)
+    model = ml.fit_per_target(df, inputs, targets, targets)
+    for j, stage in enumerate(model.stages[1:]):
+        assert weights[:, j] == pytest.approx(stage.coefficients.toArray(), rel=1e-7)
+        assert intercepts[j] == pytest.approx(stage.intercept, rel=1e-7)
+    # A repeated and a constant input change no forecast; rows with holes are left out.
+    more = df.withColumn("again", F.col("x 0") * 2).unionByName(
+        df.limit(1).withColumns({"again": F.lit(1.0), "x 1": F.lit(None).cast("double")})
+    )
+    for rows, columns in ((df, inputs), (more, [*inputs, "again", "flat"])):
+        out = ml.score(df.withColumn("again", F.col("x 0") * 2), linear.fit_linear(rows, columns, targets, targets)).toPandas()
+        same = ml.score(df, model).toPandas()
+        for t in targets:
+            assert sorted(out[f"Predicted_{t}"]) == pytest.approx(sorted(same[f"Predicted_{t}"]), rel=1e-7)
+    empty, _ = linear.coefficients(df.limit(0), inputs, targets)
+    assert not empty.any()
+
+
 def by_hand(frame):
     f = frame.copy()
     f[SOURCE_TIME] = pd.to_datetime(f[SOURCE_TIME], errors="coerce")
