@@ -68,7 +68,9 @@ def text_to_double(text: Column) -> Column:
     plain = F.when(
         plain.contains("_"), F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
     ).otherwise(plain)
-    return F.when(~plain.rlike(r"[0-9.][dDfF]\s*$"), plain.try_cast("double"))
+    # The pattern is only tried on what could end in a suffix.
+    suffixed = F.right(F.rtrim(plain), F.lit(1)).isin("d", "D", "f", "F") & plain.rlike(r"[0-9.][dDfF]\s*$")
+    return F.when(~suffixed, plain.try_cast("double"))
 
 
 def improvement_percent(baseline: Column, mae: Column) -> Column:

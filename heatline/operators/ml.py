@@ -152,7 +152,12 @@ def check_model(
 
 def stored_scores(pairs_by_model: dict[str, DataFrame], name: str, baseline: str = "Persistence") -> dict:
     """M8: a model's and the baseline's test figures, as stored with the model."""
-    rows = {r["model"]: r for r in model_scores(pairs_by_model).collect()}
+    return score_facts(model_scores(pairs_by_model), name, baseline)
+
+
+def score_facts(scores: DataFrame, name: str, baseline: str = "Persistence") -> dict:
+    """The same from scored models."""
+    rows = {r["model"]: r for r in scores.collect()}
     mine, base = rows[name], rows[baseline]
     return {
         "test_mae": mine["mae"], "test_rmse": mine["rmse"], "test_r2": mine["r2"],

@@ -18,22 +18,28 @@ def _parsed(
 ) -> DataFrame:
     """Read a JSON object column as text fields and find its rule violations.
 
-    Built in steps, each used several times by the next, so that one record is
-    parsed once; its keys are read again only where some field came back empty.
+    A column for each feature's number and one verdict over all, the first that breaks a
+    rule; built in steps, each used several times by the next, so that one record is
+    parsed once. Its keys are read again only where some field came back empty.
     """
     layout = T.StructType(
         [T.StructField(n, T.StringType()) for n in dict.fromkeys([*required, *extra])]
     )
-    names = F.array(*[F.lit(n) for n in required])
+    names = F.array(*[F.lit(n) for n in required]).cast("array<string>")
     none = F.array().cast("array<string>")
     keys = F.map_keys(F.from_json(value, "map<string,string>"))
+    parsed = df.withColumn("_fields", F.from_json(value, layout))
+    texts = [F.col("_fields").getField(n) for n in required]
+    numbers = [F.col(c) for c in _numbers(required)]
+    broken = [
+        F.when(n.isNull(), f"Feature {name} is not numeric").when(~S.is_finite(n), f"Feature {name} must be finite")
+        for name, n in zip(required, numbers)
+    ]
     return (
-        df.withColumn("_fields", F.from_json(value, layout))
-        .withColumn("_texts", F.array(*[F.col("_fields").getField(n) for n in required]))
-        .withColumns(
+        parsed.withColumns(
             {
-                "_numbers": F.transform("_texts", S.text_to_double),
-                "_empty": F.exists("_texts", lambda t: t.isNull()),
+                **dict(zip(_numbers(required), map(S.text_to_double, texts))),
+                "_empty": _any([t.isNull() for t in texts]),
             }
         )
         .withColumn("_keys", F.when(F.col("_empty"), keys))
@@ -43,14 +49,23 @@ def _parsed(
                 "_missing": F.when(
                     F.col("_empty"), F.array_except(names, F.coalesce("_keys", none))
                 ).otherwise(none),
-                "_bad": F.array_position(F.transform("_numbers", S.is_finite), False),
+                "_broken": F.coalesce(*broken, F.lit(None).cast("string")),
+                "_not_numeric": _any([n.isNull() for n in numbers]),
             }
         )
     )
 
 
+def _numbers(required: list[str]) -> list[str]:
+    return [f"_n{i}" for i in range(len(required))]
+
+
+def _any(tests: list[Column]) -> Column:
+    return F.greatest(*tests, F.lit(False), F.lit(False))
+
+
 def _payload(required: list[str]) -> Column:
-    return F.struct(*[F.col("_numbers")[i].alias(n) for i, n in enumerate(required)])
+    return F.struct(*[F.col(c).alias(n) for c, n in zip(_numbers(required), required)])
 
 
 def _once(df: DataFrame, columns: dict[str, Column], keep: list[str]) -> DataFrame:
@@ -74,9 +89,6 @@ def checked_records(df: DataFrame, required: list[str], value: str = "value") ->
     ``timestamp`` as the arrival time.
     """
     parsed = _parsed(df, value, required, [SOURCE_TIME, "timestamp", "_replay_id"])
-    names = F.array(*[F.lit(n) for n in required])
-    bad = F.col("_bad") > 0
-    at = F.when(bad, F.col("_bad").cast("int"))
     is_json = F.col("_is_object") | F.get_json_object(value, "$").isNotNull()
     reason = (
         F.when(~is_json, F.lit("Telemetry payload is not valid JSON"))
@@ -90,16 +102,7 @@ def checked_records(df: DataFrame, required: list[str], value: str = "value") ->
                 _shown(F.slice("_missing", 1, _SHOWN_BY_WORKER)),
             ),
         )
-        .when(
-            bad,
-            F.concat(
-                F.lit("Feature "),
-                F.get(names, at - 1),
-                F.when(F.get("_numbers", at - 1).isNull(), " is not numeric").otherwise(
-                    " must be finite"
-                ),
-            ),
-        )
+        .otherwise(F.col("_broken"))
     )
     field = F.col("_fields").getField
     timed = parsed.withColumn(
@@ -130,7 +133,7 @@ def split_valid(df: DataFrame, required: list[str], value: str = "value"):
 def checked_requests(df: DataFrame, required: list[str], value: str = "value") -> DataFrame:
     """Status, message and the missing names of a scoring request: those shown, and all."""
     parsed = _parsed(df, value, required)
-    gone, bad = F.size("_missing"), F.col("_bad") > 0
+    gone, bad = F.size("_missing"), F.col("_broken").isNotNull()
     not_object = ~F.col("_is_object")
     return _once(
         parsed,
@@ -139,7 +142,7 @@ def checked_requests(df: DataFrame, required: list[str], value: str = "value") -
             "status_code": F.when(not_object, 422).when(gone > 0, 400).when(bad, 422).otherwise(200),
             "detail": F.when(not_object, "Request must be a JSON object.")
             .when(gone > 0, "Missing required features")
-            .when(F.exists("_numbers", lambda n: n.isNull()), "All model features must be numeric.")
+            .when(F.col("_not_numeric"), "All model features must be numeric.")
             .when(bad, "All model features must be finite."),
             "missing_count": gone,
             "missing_features": F.slice("_missing", 1, _SHOWN_BY_REQUEST),

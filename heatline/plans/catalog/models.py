@@ -107,14 +107,18 @@ _AVERAGED = f"""{R}, pr AS (SELECT a.module, a.event_time, b.value AS actual, a.
   line AS (SELECT regr_slope(actual, current) AS k, regr_intercept(actual, current) AS c FROM ma, cut WHERE event_time < test_start)"""
 
 
-def _test_rows(spark, sf) -> DataFrame:
+def _tested(spark, sf):
     """All models but the trees on the last 15 % of times; averages cross the border."""
     rows = baselines.moving_average(
         _supervised(spark, sf), ["module"], columns=["value"], prefix="Average_"
     )
     rows = split.chronological_split(written(rows))
     model = linear.fit_linear(split.production_rows(rows), ["value"], ["target"], ["value"])
-    return ml.score(rows.filter("split = 'test'"), model)
+    return ml.score(rows.filter("split = 'test'"), model), model
+
+
+def _test_rows(spark, sf) -> DataFrame:
+    return _tested(spark, sf)[0]
 
 
 @query("m2_moving_average", f"""WITH {_AVERAGED} SELECT module, event_time, round(actual, 6) AS actual,
@@ -153,6 +157,26 @@ def m10(spark, sf):
     return metrics.compare_models(_scores(spark, sf)).select("model", "beats_baseline")
 
 
+@query("m8_metadata", f"""WITH {_COMPARED} SELECT sc.model, 3600 AS sampling_seconds, 18000 AS prediction_horizon_seconds,
+  1 AS feature_count, round(sc.mae, 6) AS test_mae, round(sc.rmse, 6) AS test_rmse, round(sc.r2, 6) AS test_r2,
+  round(p.mae, 6) AS persistence_mae, round((p.mae - sc.mae) / p.mae * 100, 6) AS improvement_vs_persistence_percent
+  FROM sc, sc AS p WHERE sc.model = 'Linear Regression' AND p.model = 'Persistence'""")
+def m8(spark, sf):
+    """What is stored beside a model, saved and read back."""
+    rows, model = _tested(spark, sf)
+    scores = metrics.forecast_scores(rows, {"Persistence": "value", "Linear Regression": "Predicted_value"}, "target")
+    facts = ml.metadata(["value"], ml.score_facts(scores, "Linear Regression"), ["target"], HOUR, HORIZON, "Linear Regression")
+    path = scratch_path(spark, "model")
+    ml.save_model(spark, model, facts, path)
+    _, read = ml.load_model(spark, path)
+    names = ["model", "sampling_seconds", "prediction_horizon_seconds", "feature_count", "test_mae", "test_rmse",
+             "test_r2", "persistence_mae", "improvement_vs_persistence_percent"]
+    layout = "model string, sampling_seconds int, prediction_horizon_seconds int, feature_count int, " + ", ".join(
+        f"{n} double" for n in names[4:]
+    )
+    return rounded(spark.createDataFrame([tuple(read[n] for n in names)], layout), *names[4:])
+
+
 @query("f10_improvement", """SELECT event_id, round((value - 10) / value * 100, 6) AS improvement FROM events""")
 def f10(spark, sf):
     gain = improvement_percent(F.col("value"), F.lit(10.0)).alias("improvement")

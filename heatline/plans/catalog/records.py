@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from heatline.functions import scalars as S
 from heatline.operators import ml, monitor
+from heatline.operators.features import add_features
 from heatline.operators.validate import (
+    checked_records,
     checked_requests,
     rejection_events,
     split_valid,
 )
-from heatline.plans.catalog.base import TL, events, module_name, query
+from heatline.plans.catalog.base import TL, WIDE, events, module_name, query, wide_table
+from heatline.schema import feature_names
 from heatline.sources.sinks import json_messages
 
 REQUIRED = ["a", "k"]
@@ -87,6 +90,35 @@ def p11_rejected(spark, sf):
     return rejected.select("offset", "reject_reason")
 
 
+_ALL = feature_names()
+
+
+@query("p11_all_features", f"""WITH {WIDE}, m AS (SELECT event_time, (epoch(event_time) // 21600)::BIGINT % 5 AS k FROM w)
+  SELECT event_time, CASE k WHEN 1 THEN 'Missing 1 model features: [''{_ALL[0]}'']'
+    WHEN 2 THEN 'Feature {_ALL[-1]} is not numeric' WHEN 3 THEN 'Feature {_ALL[60]} must be finite' END AS reject_reason FROM m""")
+def p11_all(spark, sf):
+    """Every model input of every row, some rows with an input missing, in words or infinite."""
+    rows = add_features(wide_table(spark, sf), [], mode="serving").fillna(0.0)
+    rows = rows.withColumns({n: F.col(n).cast("double") for n in _ALL})
+    kind = F.expr("unix_micros(event_time) div 21600000000 % 5")
+    whole = F.to_json(F.struct(*_ALL))
+    short = F.to_json(F.struct(*_ALL[1:]))
+    wrong = F.to_json(F.struct(*_ALL[:-1], F.lit("much").alias(_ALL[-1])))
+    endless = F.to_json(F.struct(*_ALL[:60], F.lit("Infinity").alias(_ALL[60]), *_ALL[61:]))
+    value = F.when(kind == 1, short).when(kind == 2, wrong).when(kind == 3, endless).otherwise(whole)
+    sent = rows.select("event_time", value.alias("value"), F.col("event_time").alias("timestamp"))
+    return checked_records(sent.withColumnRenamed("event_time", "sent"), _ALL).select(
+        F.col("sent").alias("event_time"), "reject_reason"
+    )
+
+
+@query("u4_missing_names", f"""SELECT event_id AS "offset", CASE event_id % {_KINDS} WHEN 2 THEN 'a' WHEN 7 THEN 'a,k'
+  WHEN 8 THEN 'a,k' WHEN 10 THEN 'a,k' ELSE '' END AS missing FROM events""")
+def u4(spark, sf):
+    missing = F.array_join("all_missing_features", ",").alias("missing")
+    return checked_requests(messages(spark, sf), REQUIRED).select("offset", missing)
+
+
 @query("x2_rejection_events", f"""SELECT ts AS event_time, 'TELEMETRY_REJECTED' AS event_type, 'ERROR' AS status,
   'Rejected telemetry partition=' || (event_id % 3) || ' offset=' || event_id || ': ' ||
   CASE event_id % {_KINDS} {_REASON_SQL} END AS message FROM events WHERE NOT {_KEPT}""")
