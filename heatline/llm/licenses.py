@@ -3,14 +3,15 @@
 A text is brought into a plain form in which cuts are marked. Blank lines and sentence
 ends before a capital part sentences for sure. Single line breaks, colons, semicolons
 and stops before a small letter or digit may part them: a known sentence can begin or
-end there, and can run across. So known sentences are found whichever way a notice is
-wrapped, the longest first, and become identifiers in text order. Rules, the more
-specific ones first, then look for their identifiers on end in that sequence; what a
-rule matches is used up. Known sentences that no rule used are reported as left over.
+end there, and can run across. So every run of pieces between cuts is a candidate
+sentence, looked up in the map of known ones, the longest run first, whichever way a
+notice is wrapped; what is found becomes identifiers in text order. A walk over that
+sequence takes, at each place, the longest rule whose identifiers follow on end. Known
+sentences that no rule used are reported as left over.
 
 Everything is worked out within a row: no shuffle, so no source or group of copies
-can crowd a task. Texts without any of the ``hints`` of the known sentences, single
-words that no plain form parts, are not cut at all.
+can crowd a task. Look-ups are by hash, so time hardly depends on how many sentences
+and rules are known; ``register`` reads both from tables.
 
 Defined results: NULL, empty and unlicensed texts have an empty sequence, no licence
 and status ``none``. Repeated sentences are repeated identifiers; a licence is named
@@ -24,6 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heatline.llm.batches import fresh
+
 # Sentences of public licences in plain form, and their identifiers.
 _MIT_WARRANTY = (
     "the software is provided as is without warranty of any kind express or implied including but not limited to "
@@ -128,26 +131,35 @@ RULES = [
     ("Unlicense", ["unlicense-name"]),
     ("LicenseRef-all-rights-reserved", ["rights-reserved"]),
 ]
-#: The cuts of the SQL twin: a line that goes on in small letters belongs to the sentence before.
-GOES_ON = r"\n[ \t]*([a-z])"
-ENDS = r"([.!?:])\s+"
-OTHER = r"[^a-z0-9.]+"
-STOPS = r"^[ .]+|[ .]+$"
+#: Names of common licences as SPDX lines give them (a plus at the end is no word).
+SPDX = [
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause",
+    "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0",
+    "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0",
+    "MPL-1.1", "MPL-2.0", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
+]
+SENTENCES |= {f"spdx license identifier {' '.join(re.findall('[a-z0-9.]+', x.lower()))}": f"spdx-{x}" for x in SPDX}
+RULES += [(x, [f"spdx-{x}"]) for x in SPDX]
+#: Rows of a register at most.
+MOST_KNOWN = 100_000
 #: Marks of the plain form: a cut for sure, and one that may be.
 _CUT, _MAYBE = "\f", "\r"
 #: What becomes what, one after the other, before letters are made small: blank lines and sentence ends
 #: before a capital are cuts; other ends may be, and those of web addresses, and line breaks but before a small letter.
 CUTS = [
     (r"\n[^a-zA-Z0-9\n]*\n", _CUT),
+    (r"(SPDX-License-Identifier:[^\n]*)\n", "$1" + _MAYBE),
     (r"[.!?][\"')\]]*[ \t\n]+(?:[*#/;%>|-]+[ \t]+)?[\"'(\[]*([A-Z])", _CUT + "$1"),
     (r"[.!?:;][\"')\]]*[ \t\n]+", _MAYBE),
     (r"[ \t\n]+(<?[hH][tT][tT][pP][sS]?://[^ \t\n\f\r]*)", _MAYBE + "$1" + _MAYBE),
     (r"\n[ \t]*([a-z])", " $1"),
     (r"\n", _MAYBE),
 ]
-#: The same after it. Marks are doubled, as a sentence takes one before and one after it.
+#: The same after it; blanks on end become one at the last. Marks are doubled until a cut for sure takes those beside it.
 PLAIN = [
-    (r"[^a-z0-9.\f\r]+", " "),
+    (r"[^a-z0-9. \f\r]+", " "),
     (r"\.+([ \f\r]|$)", "$1"),
     (r"(^|[ \f\r])\.+", "$1"),
     (r" *\f[ \f\r]*", _CUT * 2),
@@ -174,41 +186,100 @@ def _forms(known: dict[str, str]) -> dict[str, str]:
     return {form: words[form] for form in sorted(words, key=lambda f: (-len(f), f)) if re.search("[a-z0-9]", form)}
 
 
-def pattern(known: dict[str, str]) -> str:
-    """Any known sentence between marks, with blanks or possible cuts between its words."""
-    forms = ("(?: |\\r\\r)".join(map(re.escape, form.split())) for form in _forms(known))
-    return f"[\\f\\r]({'|'.join(forms)})[\\f\\r]"
+def pieces(text: Column) -> Column:
+    """What stands between cuts, in order; a cut for sure is a piece of its own."""
+    marked = F.regexp_replace(plain(text), "\f+", "\r\f\r")
+    return F.filter(F.split(marked, "\r+"), lambda p: p != "")
 
 
-def hints(known: dict[str, str]) -> tuple[str, ...]:
-    """Few words, long ones where there are any, so that every known sentence has one of them."""
-    left = {form: re.findall("[a-z0-9]+", form) for form in _forms(known)}
-    found: list[str] = []
-    while left:
-        words = {w for ws in left.values() for w in ([w for w in ws if len(w) > 5] or [max(ws, key=len)])}
-        found.append(max(words, key=lambda w: (sum(w in form for form in left), len(w), w)))
-        left = {form: ws for form, ws in left.items() if found[-1] not in form}
-    return tuple(found)
+def identifiers(text: Column, known: dict[str, str] | None = None) -> Column:
+    """Identifiers of the known sentences of a text, in order; empty for NULL.
+
+    Where a sentence may begin, its first two words are looked up among the known first
+    words. Only there longer and longer runs of pieces are, by hash, so that the work
+    does not grow with the number of known sentences.
+    """
+    forms = _forms(known or SENTENCES)
+    table = F.create_map(*[F.lit(x) for pair in forms.items() for x in pair])
+    starts = sorted({" ".join(f.split()[:2]) for f in forms})
+    single = [f for f in forms if " " not in f]
+    most = max((len(f.split()) for f in forms), default=1)
+    none = F.array().cast("array<string>")
 
+    def known_runs(parts: Column) -> Column:
+        n = F.size(parts)
 
-#: Of the sentences known here.
-HINTS = hints(SENTENCES)
+        def may_begin(i: Column) -> Column:
+            here = F.get(parts, i)
+            first = F.substring_index(F.concat_ws(" ", here, F.get(parts, i + 1)), " ", 2)
+            return first.isin(starts) | here.isin(single) if single else first.isin(starts)
 
+        def run(i: Column, size: Column) -> Column:
+            return F.array_join(F.slice(parts, i + 1, size), " ")
 
-def identifiers(text: Column, known: dict[str, str] | None = None) -> Column:
-    """Identifiers of the known sentences of a text, in order; empty for NULL."""
-    known = known or SENTENCES
-    table = F.create_map(*[F.lit(x) for pair in _forms(known).items() for x in pair])
-    low = F.lower(text)
-    hinted = F.lit(False)
-    for hint in hints(known):
-        hinted = hinted | low.contains(hint)
-    found = F.transform(
-        F.regexp_extract_all(plain(text), F.lit(pattern(known)), F.lit(1)),
-        lambda s: F.element_at(table, F.replace(s, F.lit(_MAYBE * 2), F.lit(" "))),
-    )
+        def longest(i: Column) -> Column:
+            sizes = F.sequence(F.least(n - i, F.lit(most)), F.lit(1), F.lit(-1))
+            return F.struct(
+                i.alias("at"), F.get(F.filter(sizes, lambda size: run(i, size).isin(list(forms))), F.lit(0)).alias("size")
+            )
+
+        found = F.transform(F.filter(F.sequence(F.lit(0), n - 1), may_begin), longest)
+        start = F.struct(F.lit(0).alias("free"), none.alias("ids"))
+        return F.aggregate(
+            F.filter(found, lambda f: f["size"].isNotNull()),
+            start,
+            lambda state, f: F.when(
+                f["at"] >= state["free"],
+                F.struct(
+                    (f["at"] + f["size"]).alias("free"),
+                    F.array_append(state["ids"], F.element_at(table, run(f["at"], f["size"]))).alias("ids"),
+                ),
+            ).otherwise(state),
+        )["ids"]
+
+    # A part of one element makes the pieces once for all that use them.
+    once = F.transform(F.array(pieces(text)), known_runs)
+    return F.coalesce(F.get(once, F.lit(0)), none)
+
+
+def register(sentences: DataFrame, rules: DataFrame) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """Known sentences and rules from tables: (sentence, identifier) and (place, license, parts).
+
+    A register is reference data of a bounded size that every task holds; beyond
+    ``MOST_KNOWN`` rows it is an error.
+    """
+    found = [df.limit(MOST_KNOWN + 1).collect() for df in (sentences, rules.orderBy("place"))]
+    if max(map(len, found)) > MOST_KNOWN:
+        raise ValueError(f"a register has at most {MOST_KNOWN} rows")
+    return {r["sentence"]: r["identifier"] for r in found[0]}, [(r["license"], list(r["parts"])) for r in found[1]]
+
+
+def _by_rules(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    """The names and left-over identifiers of a sequence: a walk that takes the longest rule at each place."""
+    names: dict[str, str] = {}
+    for name, parts in rules:
+        names.setdefault(">".join(parts), name)
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    longest = max((len(parts) for _, parts in rules), default=1)
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(hinted, found).otherwise(none), none)
+
+    def run(i: Column, size: Column) -> Column:
+        return F.array_join(F.slice(ids, i + 1, size), ">")
+
+    def step(state: Column, i: Column) -> Column:
+        sizes = F.sequence(F.least(F.size(ids) - i, F.lit(longest)), F.lit(1), F.lit(-1))
+        size = F.get(F.filter(sizes, lambda size: run(i, size).isin(list(names))), F.lit(0))
+        here = F.get(F.transform(F.array(size), lambda size: F.struct(
+            (i + F.coalesce(size, F.lit(1))).alias("free"),
+            F.when(size.isNull(), state["names"]).otherwise(
+                F.array_append(state["names"], F.element_at(table, run(i, size)))
+            ).alias("names"),
+            F.when(size.isNull(), F.array_append(state["left"], F.get(ids, i))).otherwise(state["left"]).alias("left"),
+        )), F.lit(0))
+        return F.when(i < state["free"], state).otherwise(here)
+
+    start = F.struct(F.lit(0).alias("free"), none.alias("names"), none.alias("left"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(ids) - 1), start, step)
 
 
 def scan(
@@ -224,71 +295,66 @@ def scan(
     (each joined by commas), and ``status``: none, matched, partial or unknown.
     """
     keep = docs.columns if keep is None else keep
-    clash = {"n_known", "sequence", "licenses", "left_over", "status"} & {c.lower() for c in keep}
-    if clash:
-        raise ValueError(f"columns to keep are also results: {sorted(clash)}")
+    rules = rules or RULES
+    own = docs.select(*[F.col(f"`{c}`") for c in keep])
+    names = {n: fresh(own, n) for n in ("n_known", "sequence", "licenses", "left_over", "status")}
     ids = identifiers(F.col(text).cast("string"), known)
-    order = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit("".join(f"<{x}>" for x in parts)).alias("parts"))
-            for name, parts in rules or RULES
-        ]
-    )
-    start = F.struct(
-        F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">")))).alias("rest"),
-        F.array().cast("array<string>").alias("names"),
-    )
-    matched = F.aggregate(
-        order,
-        start,
-        lambda state, rule: F.struct(
-            F.replace(state["rest"], rule["parts"], F.lit("#")).alias("rest"),
-            F.when(state["rest"].contains(rule["parts"]), F.array_append(state["names"], rule["name"]))
-            .otherwise(state["names"])
-            .alias("names"),
-        ),
-    )
-    left = F.regexp_replace(
-        F.regexp_replace(F.regexp_replace("matched.rest", "#", ""), "><", ","), "[<>]", ""
-    )
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(1)).alias("row"), ids.alias("ids"))
+    none = F.array().cast("array<string>")
+    nothing = F.struct(F.lit(0).alias("free"), none.alias("names"), none.alias("left"))
+    matched = F.when(F.size("ids") > 0, _by_rules(F.col("ids"), rules)).otherwise(nothing)
+    order = F.array(*[F.lit(n) for n in dict.fromkeys(name for name, _ in rules)])
+    found = F.filter(order, lambda n: F.array_contains("matched.names", n))
     status = (
         F.when(F.size("ids") == 0, "none")
-        .when(F.col("licenses") == "", "unknown")
-        .when(F.col("left_over") == "", "matched")
+        .when(F.size("matched.names") == 0, "unknown")
+        .when(F.size("matched.left") == 0, "matched")
         .otherwise("partial")
     )
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), ids.alias("ids"))
-    nothing = F.struct(F.lit("").alias("rest"), F.array().cast("array<string>").alias("names"))
-    return (
-        inner.withColumn("matched", F.when(F.size("ids") > 0, matched).otherwise(nothing))
-        .withColumn("licenses", F.concat_ws(",", F.array_distinct("matched.names")))
-        .withColumn("left_over", left)
-        .select(
-            *[F.col("row")[c].alias(c) for c in keep],
-            F.size("ids").cast("long").alias("n_known"),
-            F.concat_ws(",", "ids").alias("sequence"),
-            "licenses",
-            "left_over",
-            status.alias("status"),
-        )
+    results = {
+        "n_known": F.size("ids").cast("long"),
+        "sequence": F.concat_ws(",", "ids"),
+        "licenses": F.when(F.size("matched.names") > 0, F.concat_ws(",", found)).otherwise(""),
+        "left_over": F.concat_ws(",", "matched.left"),
+        "status": status,
+    }
+    return inner.withColumn("matched", matched).select(
+        *[F.col("row")[c].alias(c) for c in keep], *[v.alias(names[n]) for n, v in results.items()]
     )
 
 
 def scan_sql(table: str = "documents") -> str:
-    """The scan of (doc_id, text) in DuckDB's SQL, on texts whose known sentences are not wrapped.
-
-    Its cuts are for sure: it misses sentences that run across one.
-    """
+    """The scan of (doc_id, text) in DuckDB's SQL, with the same cuts and runs; rules one after the other."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in SENTENCES.items())
-    forms = ", ".join(quote(k) for k in SENTENCES)
+    chars = {"\f": "chr(12)", "\r": "chr(13)"}
+
+    def written_out(s: str) -> str:
+        return " || ".join(chars.get(c, quote(c)) for c in re.findall(r"[\f\r]|[^\f\r]+", s)) or "''"
+
+    forms = _forms(SENTENCES)
+    known = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in forms.items())
+    listed = ", ".join(map(quote, forms))
+    starts = ", ".join(quote(s) for s in sorted({" ".join(f.split()[:2]) for f in forms}))
+    most = max(len(f.split()) for f in forms)
+    line = f"translate(text, {written_out(_CUT + _MAYBE)}, '  ')"
+    for at, steps in enumerate((CUTS, PLAIN)):
+        line = f"lower({line})" if at else line
+        for old, new in steps:
+            line = f"regexp_replace({line}, {written_out(old)}, {written_out(new.replace('$1', chr(92) + '1'))}, 'g')"
+    pieces_sql = f"""list_filter(string_split_regex(regexp_replace(chr(12) || trim({line}) || chr(12), chr(12) || '+',
+  chr(13) || chr(12) || chr(13), 'g'), chr(13) || '+'), lambda x: x <> '')"""
+    run = "array_to_string(list_slice(p, i, i + {} - 1), ' ')"
     steps = [
-        f"""s AS (SELECT doc_id, list_transform(list_filter(list_transform(
-  string_split(regexp_replace(regexp_replace(text, '{GOES_ON}', ' \\1', 'g'), '{ENDS}', '\\1' || chr(10), 'g'), chr(10)),
-  lambda x: regexp_replace(regexp_replace(lower(x), '{OTHER}', ' ', 'g'), '{STOPS}', '', 'g')),
-  lambda x: x IN ({forms})), lambda x: MAP {{{known}}}[x]) AS found FROM {table})""",
-        """r0 AS (SELECT doc_id, coalesce(found, []) AS ids,
-  array_to_string(list_transform(coalesce(found, []), lambda x: '<' || x || '>'), '') AS rest, [] :: VARCHAR[] AS names FROM s)""",
+        f"t AS (SELECT doc_id, coalesce({pieces_sql}, []) AS p FROM {table})",
+        f"""b AS (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM t),
+c AS (SELECT *, list_filter(range(least(len(p) - i + 1, {most}), 0, -1), lambda n: {run.format("n")} IN ({listed}))[1] AS n FROM b
+  WHERE array_to_string(list_slice(string_split(array_to_string(list_slice(p, i, i + 1), ' '), ' '), 1, 2), ' ') IN ({starts})),
+d AS (SELECT doc_id, list({{'at': i, 'free': i + n, 'ids': MAP {{{known}}}[{run.format("n")}]}} ORDER BY i) AS found FROM c WHERE n IS NOT NULL GROUP BY doc_id),
+s AS (SELECT doc_id, string_split(list_reduce(found, lambda a, x: CASE WHEN x.at >= a.free
+  THEN {{'at': x.at, 'free': x.free, 'ids': a.ids || ',' || x.ids}} ELSE a END).ids, ',') AS found FROM d)""",
+        f"""r0 AS (SELECT doc_id, coalesce(found, []) AS ids,
+  array_to_string(list_transform(coalesce(found, []), lambda x: '<' || x || '>'), '') AS rest, [] :: VARCHAR[] AS names
+  FROM {table} LEFT JOIN s USING (doc_id))""",
     ]
     for k, (name, parts) in enumerate(RULES):
         seen = quote("".join(f"<{x}>" for x in parts))
