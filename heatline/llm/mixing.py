@@ -44,7 +44,7 @@ SEED = 13
 WORD = r"[^\x20\x09-\x0D]+"
 PRECISION = 500
 MOST_BLOCK = 1024
-ROWS_PER_SHARD = 200_000
+ROWS_PER_SHARD = 8_192
 WORDS_PER_SHARD = 1_000_000_000
 
 

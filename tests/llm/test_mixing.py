@@ -60,7 +60,7 @@ def made(n, seed=1, sources=("b", "a", None, "é", "")):
     return [(pick.randint(0, n), " ".join(["w"] * min(int(pick.paretovariate(1) * 9), 3000)), s) for s in chosen]
 
 
-@pytest.mark.parametrize("rows_per_shard", [200_000, 50])
+@pytest.mark.parametrize("rows_per_shard", [mixing.ROWS_PER_SHARD, 50])
 def test_mix(spark, rows_per_shard):
     rows = made(900) + [(7, "the same row", "b")] * 300 + [(None, None, "b"), (None, "", None), (1, " \x0b ", "z")]
     rows += [(5000, "one very long text " * 30_000, "long")]
