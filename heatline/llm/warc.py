@@ -2,17 +2,30 @@
 
 Every response gives one ``metadata`` record (title and outlinks as warc-fields) and
 one ``conversion`` record (the page's text). Both refer to the response by its record
-id, keep its target, date, HTTP headers and payload digest, and carry digests and
-lengths of their own blocks. All of it is column work within a row.
+id and to each other, keep its target, date, HTTP headers and payload digest, and carry
+digests and lengths of their own blocks. All of that is column work within a row.
+
+``write`` puts records into gzipped WARC files, and ``read`` takes the records of such
+files, ours or others', apart again: Spark cuts a file at version lines, and a record
+whose block holds such a line is put together by its length. ``verified`` compares digests.
 
 Defined results: a NULL page is an empty payload, whose conversion is empty; a NULL
 url leaves the target NULL and out of the header. Record ids follow from key, type and
-payload, so repeated rows give equal records and a rebuild gives the same files.
+payload, so repeated rows give equal records and a rebuild gives the same files. A link's
+address may be quoted either way or not at all. Character references are decoded once,
+named ones of HTML 4 and numbers; a number that is no character is U+FFFD, and what has
+no name or no semicolon stays. A file that ends within a record is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+from collections.abc import Iterator
+from html.entities import name2codepoint
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: digits of base 32.
@@ -23,15 +36,18 @@ BREAKING = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|head|"
     "header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 )
-#: Character references; the last one must stay last.
-REFERENCES = [
-    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'),
-    ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
+#: Names of characters in HTML 4; a blank that holds words together counts as any blank.
+NAMED = {name: chr(at) for name, at in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{0,31});"
+NO_CHARACTER = "\ufffd"
 HTTP_HEADER = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 DATE = "2024-01-01T00:00:00Z"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-OUTLINK = r"(?i)<a\s[^>]*href=\"([^\"]*)\""
+_ADDRESS = r"""href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+OUTLINK = rf"(?i)<a\s(?:[^>]*?\s)?{_ADDRESS}"
+#: The address of what OUTLINK found.
+ADDRESS = rf"(?is)^.*?\s{_ADDRESS}$"
+VERSION = "WARC/1.1\r\n"
 
 
 def base32_sha1(block: Column) -> Column:
@@ -57,6 +73,37 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))
 
 
+def decoded(text: Column) -> Column:
+    """A text with its character references as characters, each step a field for the next."""
+    table = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def named(piece: Column, at: Column) -> Column:
+        return F.struct(piece.alias("piece"), at.alias("at"), F.regexp_extract(piece, REFERENCE, 1).alias("name"))
+
+    def numbered(r: Column) -> Column:
+        name = r["name"]
+        hexadecimal = F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x"
+        digits = F.when(hexadecimal, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        number = F.when(F.left(name, F.lit(1)) == "#", digits.try_cast("int"))
+        return F.struct(r["piece"].alias("piece"), r["at"].alias("at"), name.alias("name"), number.alias("number"))
+
+    def joined(r: Column) -> Column:
+        name, number = r["name"], r["number"]
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        found = (
+            F.when(number == 0xA0, " ").when(valid, letter).when(number.isNotNull(), NO_CHARACTER)
+            .when(name != "", F.element_at(table, name))
+        )
+        whole = F.coalesce(
+            F.concat(found, F.substr(r["piece"], F.length(name) + 2)), F.concat(F.lit("&"), r["piece"])
+        )
+        return F.when(r["at"] == 0, r["piece"]).otherwise(whole)
+
+    pieces = F.transform(F.transform(F.split(text, "&"), named), numbered)
+    return F.array_join(F.transform(pieces, joined), "")
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: no markup, a line for each block, single blanks."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
@@ -64,9 +111,7 @@ def plain_text(html: Column) -> Column:
         text = F.regexp_replace(text, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", "")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for reference, letter in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(letter))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(decoded(text), r"[ \t\r\f]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[\n ]*", "\n"), r"^[\n ]+|[\n ]+$", "")
 
 
@@ -93,6 +138,7 @@ def _header(kind: Column) -> Column:
         F.concat(F.lit("WARC-Type: "), kind),
         F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
         F.concat(F.lit("WARC-Refers-To: "), F.col("refers_to")),
+        F.concat(F.lit("WARC-Concurrent-To: "), F.col("concurrent_to")),
         F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
         F.concat(F.lit("WARC-Date: "), F.col("date")),
         F.concat(F.lit("WARC-Source-Payload-Digest: "), F.col("source_digest")),
@@ -106,42 +152,136 @@ def _header(kind: Column) -> Column:
 def derivatives(records: DataFrame) -> DataFrame:
     """Two records of each response: (key, record_type, ..., block, warc_header)."""
     title = F.regexp_replace(plain_text(F.regexp_extract("payload", TITLE, 1)), r"\s+", " ")
-    links = F.regexp_extract_all("payload", F.lit(OUTLINK), F.lit(1))
+    links = F.regexp_extract_all("payload", F.lit(OUTLINK), F.lit(0))
+    links = F.transform(links, lambda x: F.regexp_replace(decoded(F.regexp_replace(x, ADDRESS, "$1$2$3")), r"\s+", " "))
     fields = F.concat_ws(
         "\r\n",
         F.concat(F.lit("title: "), title),
         F.concat(F.lit("http-content-type: "), F.regexp_extract("http_header", r"Content-Type: ([^\r\n]*)", 1)),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"\s+", " "))),
+        F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)),
     )
-    kinds = F.array(
-        F.struct(
-            F.lit("metadata").alias("record_type"),
-            F.lit("application/warc-fields").alias("content_type"),
-            F.concat(fields, F.lit("\r\n")).alias("block"),
-        ),
-        F.struct(
-            F.lit("conversion").alias("record_type"),
-            F.lit("text/plain").alias("content_type"),
-            plain_text(F.col("payload")).alias("block"),
-        ),
+    both = records.withColumns({"_meta": F.concat(fields, F.lit("\r\n")), "_text": plain_text(F.col("payload"))})
+    both = both.withColumns({f"{b}_digest": base32_sha1(F.col(b)) for b in ("_meta", "_text")})
+    both = both.withColumns(
+        {
+            f"{b}_id": record_id(F.lit(kind), F.col("record_id"), F.col(f"{b}_digest"))
+            for b, kind in (("_meta", "metadata"), ("_text", "conversion"))
+        }
     )
-    built = records.select(
+
+    def made(kind: str, content: str, own: str, other: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("record_type"),
+            F.lit(content).alias("content_type"),
+            F.col(own).alias("block"),
+            F.col(f"{own}_digest").alias("block_digest"),
+            F.col(f"{own}_id").alias("record_id"),
+            F.col(f"{other}_id").alias("concurrent_to"),
+        )
+
+    built = both.select(
         "key",
         F.col("record_id").alias("refers_to"),
         "target_uri",
         "date",
         F.col("http_header").alias("source_header"),
         F.col("payload_digest").alias("source_digest"),
-        F.inline(kinds),
+        F.inline(
+            F.array(
+                made("metadata", "application/warc-fields", "_meta", "_text"),
+                made("conversion", "text/plain", "_text", "_meta"),
+            )
+        ),
     )
-    return (
-        built.withColumn("block_digest", base32_sha1(F.col("block")))
-        .withColumn("content_length", F.octet_length("block").cast("long"))
-        .withColumn("record_id", record_id(F.col("record_type"), F.col("refers_to"), F.col("block_digest")))
-        .withColumn("warc_header", _header(F.col("record_type")))
+    return built.withColumn("content_length", F.octet_length("block").cast("long")).withColumn(
+        "warc_header", _header(F.col("record_type"))
     )
 
 
+def response_records(records: DataFrame) -> DataFrame:
+    """Responses as (warc_header, block): the HTTP header, an empty line and the payload."""
+    block = F.concat(F.col("http_header"), F.lit("\r\n\r\n"), F.col("payload"))
+    lines = [
+        F.lit(VERSION.strip()),
+        F.lit("WARC-Type: response"),
+        F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")),
+        F.concat(F.lit("WARC-Target-URI: "), F.col("target_uri")),
+        F.concat(F.lit("WARC-Date: "), F.col("date")),
+        F.concat(F.lit("WARC-Payload-Digest: "), F.col("payload_digest")),
+        F.concat(F.lit("WARC-Block-Digest: "), base32_sha1(block)),
+        F.lit("Content-Type: application/http;msgtype=response"),
+        F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
+    ]
+    header = F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"))
+    return records.select(header.alias("warc_header"), block.alias("block"))
+
+
+def write(records: DataFrame, path: str) -> None:
+    """Records (warc_header, block) as WARC files, each compressed as a whole."""
+    whole = F.concat("warc_header", "block").alias("value")
+    records.select(whole).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(record_type, record_id, header, block) of the WARC files at ``path``; blocks are bytes.
+
+    A gzipped file is one task's stream, with a record at a time in memory.
+    """
+    lines = spark.read.option("lineSep", VERSION).text(path).select(F.col("value").cast("binary").alias("value"))
+    mark = VERSION.encode()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[tuple[str, bytes]]:
+            held = b""
+            for batch in batches:
+                for value in batch.column(0).to_pylist():
+                    held = held + mark + value if held else value
+                    if not held.strip():
+                        held = b""
+                        continue
+                    head, _, rest = held.partition(b"\r\n\r\n")
+                    size = int(re.search(rb"(?im)^content-length:\s*(\d+)", head).group(1))
+                    if len(rest) >= size:
+                        yield head.decode("utf-8", "replace"), rest[:size]
+                        held = b""
+            if held:
+                raise ValueError("a WARC file ends within a record")
+
+        for header, block in records():
+            yield pa.RecordBatch.from_arrays([pa.array([header]), pa.array([block], pa.binary())], names=["header", "block"])
+
+    found = lines.mapInArrow(whole, "header string, block binary")
+    return found.select(field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), "header", "block")
+
+
+def field(name: str) -> Column:
+    """A header's field; NULL where it isn't there."""
+    return F.nullif(F.regexp_extract("header", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
+
+def read_responses(records: DataFrame) -> DataFrame:
+    """The response records of ``read`` as ``responses`` gives them; the key is the record id.
+
+    Payloads are taken as UTF-8; what is none becomes U+FFFD and fails the digest.
+    """
+    text = F.decode("block", "UTF-8")
+    end = F.instr(text, "\r\n\r\n")
+    return records.filter("record_type = 'response'").select(
+        F.col("record_id").alias("key"),
+        "record_id",
+        field("WARC-Target-URI").alias("target_uri"),
+        field("WARC-Date").alias("date"),
+        F.substr(text, F.lit(1), end - 1).alias("http_header"),
+        F.substr(text, end + 4).alias("payload"),
+        field("WARC-Payload-Digest").alias("payload_digest"),
+    )
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """``read``'s records with ``intact``: whether the block's digest is the one stated; NULL if none is."""
+    return records.withColumn("intact", field("WARC-Block-Digest") == base32_sha1(F.col("block")))
+
+
 def derivatives_sql() -> str:
     """The same records of ``pages`` in DuckDB's SQL, without the WARC header."""
 
@@ -159,36 +299,48 @@ def derivatives_sql() -> str:
             f" || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
         )
 
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in NAMED.items())
+
+    def references(text: str) -> str:
+        named = f"{{'name': regexp_extract(x, '{REFERENCE}', 1)}}"
+        digits = "CASE WHEN lower(r.name[2]) = 'x' THEN '0x' || r.name[3:] ELSE r.name[2:] END"
+        number = f"{{'name': r.name, 'n': CASE WHEN r.name[1] = '#' THEN ({digits}) :: INTEGER END}}"
+        letter = f"""CASE WHEN r.name = '' THEN NULL WHEN r.name[1] <> '#' THEN (MAP {{{table}}})[r.name] WHEN r.n = 160 THEN ' '
+          WHEN r.n > 0 AND r.n <= 1114111 AND r.n NOT BETWEEN 55296 AND 57343 THEN chr(r.n) ELSE '{NO_CHARACTER}' END"""
+        return f"""array_to_string(list_transform(string_split({text}, '&'), lambda x, i: CASE WHEN i = 1 THEN x ELSE
+          list_transform(list_transform([{named}], lambda r: {number}),
+            lambda r: coalesce(({letter}) || x[length(r.name) + 2:], '&' || x))[1] END), '')"""
+
     def plain(html: str) -> str:
         text = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
         for name in SILENT:
             text = f"regexp_replace({text}, '(?is)<{name}(?:\\s[^>]*)?>.*?</{name}\\s*>', '', 'g')"
         text = f"regexp_replace({text}, '(?i)</?(?:{BREAKING})(?:\\s[^>]*)?/?>', chr(10), 'g')"
         text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-        for reference, letter in REFERENCES:
-            quoted = letter.replace("'", "''")
-            text = f"replace({text}, '{reference}', '{quoted}')"
-        text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
+        text = f"regexp_replace({references(text)}, '[ \\t\\r\\f]+', ' ', 'g')"
         text = f"regexp_replace({text}, ' ?\\n[\\n ]*', chr(10), 'g')"
         return f"regexp_replace({text}, '^[\\n ]+|[\\n ]+$', '', 'g')"
 
     title = plain(f"regexp_extract(payload, '{TITLE}', 1)")
+    address = references(f"regexp_replace(y, {quoted(ADDRESS)}, '\\1\\2\\3')")
     return f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
 r AS (SELECT *, {digest("payload")} AS source_digest FROM p),
 s AS (SELECT *, {uuid("'response|' || page_id || '|' || coalesce(url, '') || '|' || source_digest")} AS refers_to FROM r),
 b AS (
-  SELECT page_id, url, source_digest, refers_to, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-    array_to_string(['title: ' || regexp_replace({title}, '\\s+', ' ', 'g'),
+  SELECT *, {plain("payload")} AS text, array_to_string(['title: ' || regexp_replace({title}, '\\s+', ' ', 'g'),
       'http-content-type: text/html; charset=utf-8']
-      || list_transform(regexp_extract_all(payload, '{OUTLINK}', 1),
-           lambda x: 'outlink: ' || regexp_replace(x, '\\s+', ' ', 'g')), chr(13) || chr(10)) || chr(13) || chr(10) AS block
-  FROM s
-  UNION ALL
-  SELECT page_id, url, source_digest, refers_to, 'conversion', 'text/plain', {plain("payload")} FROM s),
-d AS (SELECT *, {digest("block")} AS block_digest FROM b)
-SELECT page_id, record_type, {uuid("record_type || '|' || refers_to || '|' || block_digest")} AS record_id,
-  refers_to, url AS target_uri, '{DATE}' AS date,
+      || list_transform(regexp_extract_all(payload, {quoted(OUTLINK)}, 0),
+           lambda y: 'outlink: ' || regexp_replace({address}, '\\s+', ' ', 'g')), chr(13) || chr(10)) || chr(13) || chr(10) AS meta
+  FROM s),
+d AS (SELECT *, {digest("meta")} AS meta_digest, {digest("text")} AS text_digest FROM b),
+i AS (SELECT *, {uuid("'metadata|' || refers_to || '|' || meta_digest")} AS meta_id,
+  {uuid("'conversion|' || refers_to || '|' || text_digest")} AS text_id FROM d),
+u AS (SELECT page_id, url, source_digest, refers_to, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    meta AS block, meta_digest AS block_digest, meta_id AS record_id, text_id AS concurrent_to FROM i
+  UNION ALL SELECT page_id, url, source_digest, refers_to, 'conversion', 'text/plain', text, text_digest, text_id, meta_id FROM i)
+SELECT page_id, record_type, record_id, concurrent_to, refers_to, url AS target_uri, '{DATE}' AS date,
   'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' AS source_header,
   source_digest, content_type, CAST(strlen(block) AS BIGINT) AS content_length, block_digest, block
-FROM d"""
+FROM u"""

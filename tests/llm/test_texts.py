@@ -340,6 +340,51 @@ def test_records_of_a_page(spark):
     assert header[0] == "WARC/1.1" and f"WARC-Refers-To: {text.refers_to}" in header and header[-2:] == ["", ""]
 
 
+def test_links_and_references(spark):
+    html = (
+        "<a href='x1'>a</a><a href=x2>b</a><a data-href=\"no\">c</a><a class=\"k\"  HREF = \"x?a=1&amp;b=href=2\">d</a>"
+        "<area href=no><a>e</a><a\nhref=x3\ntarget=t>&eacute;&#8217;&#x2014;&mdash;&nope;&amp;lt;&#xD800;&#0;&#99999999;&copy &apos;&</a>"
+    )
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    rows = {r.record_type: r for r in warc.derivatives(warc.responses(pages)).collect()}
+    text, meta = rows["conversion"], rows["metadata"]
+    assert [x[9:] for x in meta.block.split("\r\n") if x.startswith("outlink")] == ["x1", "x2", "x?a=1&b=href=2", "x3"]
+    assert text.block == "abcdeé’——&nope;&lt;\ufffd\ufffd&#99999999;&copy '&"
+    assert (text.concurrent_to, meta.concurrent_to) == (meta.record_id, text.record_id)
+    assert f"WARC-Concurrent-To: {meta.record_id}" in text.warc_header
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = [(1, None, None), (2, "http://u/", "<p>é" + "x" * 100_000), (3, "v", "a\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\nb\r\n")]
+    rows += [(4, "w", "WARC/1.1\r\n" * 3), rows[1]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent = warc.responses(pages)
+    warc.write(warc.response_records(sent), str(tmp_path / "in"))
+    back = warc.read(spark, str(tmp_path / "in"))
+    assert [r.intact for r in warc.verified(back).collect()] == [True] * 5
+    again = warc.read_responses(back)
+    names = ["record_id", "target_uri", "date", "http_header", "payload", "payload_digest"]
+    assert Counter(map(tuple, again.select(names).collect())) == Counter(map(tuple, sent.select(names).collect()))
+    made = warc.derivatives(again)
+    warc.write(made, str(tmp_path / "out"))
+    found = warc.verified(warc.read(spark, str(tmp_path / "out"))).collect()
+    wanted = made.select("record_type", "record_id", "warc_header", "block").collect()
+    assert Counter((r.record_type, r.record_id, r.header, bytes(r.block), r.intact) for r in found) == Counter(
+        (r.record_type, r.record_id, r.warc_header[:-4].removeprefix(warc.VERSION), r.block.encode(), True) for r in wanted
+    )
+    import gzip
+
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "out").glob("*.gz"))
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: ") and raw.endswith(b"\r\n\r\n")
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "a.warc").write_bytes(raw[: len(raw) // 2])
+    with pytest.raises(Exception, match="within a record"):
+        warc.read(spark, str(broken)).count()
+    warc.write(warc.response_records(sent.limit(0)), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", ""), (2, "u", "<p" * 50_000), (3, "v", "plain")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
