@@ -37,7 +37,8 @@ BREAKING = (
     "header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 )
 #: Names of characters in HTML 4; a blank that holds words together counts as any blank.
-NAMED = {name: chr(at) for name, at in name2codepoint.items()} | {"apos": "'", "nbsp": " "}
+NAMED = {"amp": "&", "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+NAMED |= {name: chr(at) for name, at in name2codepoint.items() if name not in NAMED}
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{0,31});"
 NO_CHARACTER = "\ufffd"
 HTTP_HEADER = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
@@ -80,35 +81,51 @@ def decoded(text: Column) -> Column:
     def named(piece: Column, at: Column) -> Column:
         return F.struct(piece.alias("piece"), at.alias("at"), F.regexp_extract(piece, REFERENCE, 1).alias("name"))
 
-    def numbered(r: Column) -> Column:
-        name = r["name"]
+    def character(name: Column) -> Column:
         hexadecimal = F.lower(F.substr(name, F.lit(2), F.lit(1))) == "x"
         digits = F.when(hexadecimal, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
-        number = F.when(F.left(name, F.lit(1)) == "#", digits.try_cast("int"))
-        return F.struct(r["piece"].alias("piece"), r["at"].alias("at"), name.alias("name"), number.alias("number"))
+
+        def letter(number: Column) -> Column:
+            valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+            spelled = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+            return F.when(number == 0xA0, " ").when(valid, spelled).otherwise(NO_CHARACTER)
+
+        return _let(digits.try_cast("int"), letter)
 
     def joined(r: Column) -> Column:
-        name, number = r["name"], r["number"]
-        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        found = (
-            F.when(number == 0xA0, " ").when(valid, letter).when(number.isNotNull(), NO_CHARACTER)
-            .when(name != "", F.element_at(table, name))
-        )
-        whole = F.coalesce(
-            F.concat(found, F.substr(r["piece"], F.length(name) + 2)), F.concat(F.lit("&"), r["piece"])
+        name, same = r["name"], F.concat(F.lit("&"), r["piece"])
+        rest = F.substr(r["piece"], F.length(name) + 2)
+        return (
+            F.when(r["at"] == 0, r["piece"])
+            .when(name == "", same)
+            .when(F.left(name, F.lit(1)) == "#", F.concat(character(name), rest))
+            .otherwise(F.coalesce(F.concat(F.element_at(table, name), rest), same))
         )
-        return F.when(r["at"] == 0, r["piece"]).otherwise(whole)
 
-    pieces = F.transform(F.transform(F.split(text, "&"), named), numbered)
-    return F.array_join(F.transform(pieces, joined), "")
+    return F.array_join(F.transform(F.transform(F.split(text, "&"), named), joined), "")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without_silent(text: Column) -> Column:
+    """A page without the elements that have no text; those it lacks are not sought."""
+
+    def cut(low: Column) -> Column:
+        out = text
+        for name in SILENT:
+            cleared = F.regexp_replace(out, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", "")
+            out = F.when(low.contains(f"<{name}"), cleared).otherwise(out)
+        return out
+
+    return _let(F.lower(text), cut)
 
 
 def plain_text(html: Column) -> Column:
     """Text of a page: no markup, a line for each block, single blanks."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in SILENT:
-        text = F.regexp_replace(text, rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>", "")
+    text = _let(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), _without_silent)
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     text = F.regexp_replace(decoded(text), r"[ \t\r\f]+", " ")
