@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heatline.functions import scalars as S
 from heatline.operators.project import numeric_columns, probe_columns, with_any_module
-from heatline.operators.scale import over_ordered, written
+from heatline.operators.scale import bounded_broadcast, over_ordered, same, written
 from heatline.schema import MODULES, POWER_CHANNELS, TOTAL_POWER
 
 
@@ -18,16 +18,27 @@ def collapse_duplicates(
 ) -> DataFrame:
     """A1, A2: one row per key; numbers averaged, other columns first known by ``order``.
 
-    Without ``order`` only the numeric columns are kept.
+    Without ``order`` only the numeric columns are kept. With it, keys are counted first by
+    a hashed aggregate, and only rows whose key occurs twice are sorted for the pick: the
+    table is read twice, so give it a stored one.
     """
     order = order or []
     numeric = [c for c in numeric_columns(df) if c not in [*keys, *order]]
-    merged = [F.avg(S.known(F.col(f"`{c}`").cast("double"))).alias(c) for c in numeric]
-    if order:
-        rank = F.struct(*order)
-        other = [c for c in df.columns if c not in [*keys, *order, *numeric]]
-        merged += [F.min_by(c, F.when(F.col(f"`{c}`").isNotNull(), rank)).alias(c) for c in other]
-    return df.groupBy(*keys).agg(*merged)
+    known = {c: S.known(F.col(f"`{c}`").cast("double")) for c in numeric}
+    merged = [F.avg(v).alias(c) for c, v in known.items()]
+    other = [c for c in df.columns if order and c not in [*keys, *order, *numeric]]
+    if not other:
+        return df.groupBy(*keys).agg(*merged)
+    rank = F.struct(*order)
+    merged += [F.min_by(c, F.when(F.col(f"`{c}`").isNotNull(), rank)).alias(c) for c in other]
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twice = bounded_broadcast(twice.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
+    match = same(df, twice, [(k, f"_k_{k}") for k in keys])
+    several = df.join(twice, match, "left_semi").groupBy(*keys).agg(*merged)
+    single = df.join(twice, match, "left_anti").select(
+        *keys, *[v.alias(c) for c, v in known.items()], *[F.col(f"`{c}`") for c in other]
+    )
+    return single.unionByName(several)
 
 
 def module_means(probes: DataFrame, keys: list[str]) -> DataFrame:
