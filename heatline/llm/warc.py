@@ -128,7 +128,7 @@ def plain_text(html: Column) -> Column:
     text = _let(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), _without_silent)
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = F.regexp_replace(decoded(text), r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(decoded(text), r"[ \t\r\f]{2,}|[\t\r\f]", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[\n ]*", "\n"), r"^[\n ]+|[\n ]+$", "")
 
 
@@ -335,7 +335,7 @@ def derivatives_sql() -> str:
             text = f"regexp_replace({text}, '(?is)<{name}(?:\\s[^>]*)?>.*?</{name}\\s*>', '', 'g')"
         text = f"regexp_replace({text}, '(?i)</?(?:{BREAKING})(?:\\s[^>]*)?/?>', chr(10), 'g')"
         text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-        text = f"regexp_replace({references(text)}, '[ \\t\\r\\f]+', ' ', 'g')"
+        text = f"regexp_replace({references(text)}, '[ \\t\\r\\f]{{2,}}|[\\t\\r\\f]', ' ', 'g')"
         text = f"regexp_replace({text}, ' ?\\n[\\n ]*', chr(10), 'g')"
         return f"regexp_replace({text}, '^[\\n ]+|[\\n ]+$', '', 'g')"
 
