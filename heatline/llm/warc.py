@@ -129,7 +129,7 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})(?:\s[^>]*)?/?>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     text = F.regexp_replace(decoded(text), r"[ \t\r\f]{2,}|[\t\r\f]", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[\n ]*", "\n"), r"^[\n ]+|[\n ]+$", "")
+    return F.trim(F.regexp_replace(text, r" ?\n[\n ]*", "\n"), F.lit("\n "))
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -337,7 +337,7 @@ def derivatives_sql() -> str:
         text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
         text = f"regexp_replace({references(text)}, '[ \\t\\r\\f]{{2,}}|[\\t\\r\\f]', ' ', 'g')"
         text = f"regexp_replace({text}, ' ?\\n[\\n ]*', chr(10), 'g')"
-        return f"regexp_replace({text}, '^[\\n ]+|[\\n ]+$', '', 'g')"
+        return f"trim({text}, chr(10) || ' ')"
 
     title = plain(f"regexp_extract(payload, '{TITLE}', 1)")
     address = references(f"regexp_replace(y, {quoted(ADDRESS)}, '\\1\\2\\3')")
