@@ -203,6 +203,38 @@ def test_tree_queries_take_every_round(spark, monkeypatch, name):
         query(spark, "")
 
 
+def test_targets_are_fitted_side_by_side_from_one_binned_table(spark, tmp_path):
+    rows = [(float(k), float(k % 7), 1.0, float(2 * k), float(k % 7 > 3)) for k in range(300)]
+    df = spark.createDataFrame(rows, "x double, `y z` double, flat double, t0 double, t1 double")
+    inputs, targets = ["x", "y z", "flat"], ["t0", "t1"]
+    for few in (ml.BINS, 4):
+        edges = ml.bin_edges(df, inputs, few)
+        for name, cuts in zip(inputs, edges):
+            assert cuts == sorted(set(cuts)) and cuts[0] == -np.inf and cuts[-1] == np.inf
+            assert 3 <= len(cuts) <= few + 1
+        filled = np.histogram(range(300), [0, *edges[0][1:-1], 300])[0]
+        assert abs(filled - 300 / few).max() <= 0.2 * 300 / few + 1
+    holes = df.withColumns({"x": F.when(F.col("x") > 9, F.lit(float("nan"))).otherwise(F.col("x")), "flat": F.lit(None).cast("double")})
+    assert max(c for c in ml.bin_edges(holes, inputs)[0] if c < np.inf) <= 9
+    assert ml.bin_edges(holes, inputs)[2] == [-np.inf, 0.0, np.inf]
+
+    model = ml.fit_per_target(df, inputs, targets, targets, lambda: ml.boosted_trees(8), bins=ml.BINS)
+    one = ml.fit_per_target(df, inputs, targets, targets, lambda: ml.boosted_trees(8), bins=ml.BINS, side_by_side=1)
+    assert ml.inputs_of(model) == inputs
+    scored = ml.score(df, model)
+    assert scored.columns == [*df.columns, "Predicted_t0", "Predicted_t1"]
+    order = ["t0", "Predicted_t0", "Predicted_t1"]
+    assert scored.select(order).orderBy("t0").collect() == ml.score(df, one).select(order).orderBy("t0").collect()
+    # Steps of 0.05 take a share of the way from the mean in eight rounds.
+    assert scored.select(F.corr("t0", "Predicted_t0")).head()[0] > 0.99
+    assert scored.select(F.corr("t1", "Predicted_t1")).head()[0] > 0.99
+    assert [r["feature"] for r in ml.importances(spark, model, "t1", 1).collect()] == ["y z"]
+    facts = ml.metadata(inputs, {}, targets)
+    ml.save_model(spark, model, facts, str(tmp_path / "m"))
+    again, read = ml.load_model(spark, str(tmp_path / "m"))
+    ml.check_model(again, read, df, model)
+
+
 def test_all_importances(spark):
     names = [f"x{k}" for k in range(60)]
     rows = [(*[float((k * j) % 7) for j in range(60)], float(k % 5)) for k in range(1, 40)]
