@@ -105,5 +105,35 @@ def test_small_and_odd_vectors(spark):
     assert sorted((r.q, r.id) for r in found) == [(1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2)]
     assert nearest.top_k(codes.limit(0), queries.limit(0), 10).count() == 0
     assert nearest.sign_codes(vectors.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [65, 200])
+def test_codes_of_several_longs(spark, size):
+    pick = random.Random(size)
+    centres = [[pick.choice((-1.0, 1.0)) for _ in range(size)] for _ in range(4)]
+
+    def near(centre):
+        out = list(centre)
+        for k in pick.sample(range(size), 6):
+            out[k] = -out[k]
+        return out
+
+    rows = [(k, near(pick.choice(centres))) for k in range(60)]
+    # Copies, ties, a vector that ends early, holes, and a repeated row.
+    rows += [(100 + k, centres[0]) for k in range(9)] + [(200, centres[1][: size - 30]), (201, []), rows[7]]
+    rows += [(202, [float("nan"), None, *centres[2][2:]]), (203, None), (None, centres[0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    codes = nearest.sign_codes(vectors)
+    assert {len(r.code) for r in codes.collect()} == {(size + 63) // 64}
+    asked = [0, 1, 2, 100, 200, 201, 202]
+    queries = codes.filter(codes.id.isin(asked)).withColumnRenamed("id", "q")
+    known = {k: [x is not None and x > 0 for x in (v + [0.0] * size)[:size]] for k, v in rows if k is not None and v is not None}
+    wanted = set()
+    for q in asked:
+        ranked = sorted((sum(a != b for a, b in zip(known[q], known[k])), k) for k in known if k != q)
+        wanted |= {(q, k, d, place + 1) for place, (d, k) in enumerate(ranked[:5])}
+    for segments in (None, 8):
+        assert {tuple(r) for r in nearest.top_k(codes, queries, 5, segments).collect()} == wanted
+    mixed = spark.createDataFrame([(1, [1, 2]), (2, [1])], "id long, code array<long>")
     with pytest.raises(ValueError):
-        nearest.sign_codes(spark.createDataFrame([(1, [0.5] * 65)], "vec_id long, embedding array<float>"))
+        nearest.top_k(mixed, mixed.withColumnRenamed("id", "q"), 1)
