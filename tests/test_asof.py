@@ -77,6 +77,26 @@ def test_null_ties_on_both_sides_of_the_limit(spark, ts, ties):
     assert matched(1) == matched(None) == [1.0, 2.0, 3.0, 3.0, 6.0 if len(ties) == 2 else 5.0, 5.0]
 
 
+def test_cut_stretches_repeat_few_readings(spark, ts, monkeypatch):
+    """A busy stretch and a busy time of it: what is moved grows with the rows, not their product."""
+    moved, right_t = [], [*range(0, 800, 4), *[900] * 150]
+    left_t = [*range(1, 801, 4), *[900] * 150]
+    right = spark.createDataFrame([("m", ts(s), float(i)) for i, s in enumerate(right_t)], "module string, t timestamp, v double")
+    left = spark.createDataFrame([("m", ts(s), i) for i, s in enumerate(left_t)], "module string, at timestamp, i int")
+    union = type(left).unionByName
+
+    def counted(self, other, *options, **named):
+        out = union(self, other, *options, **named)
+        if "_side" in out.columns:
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(left), "unionByName", counted)
+    out = asof_nearest(left, right, ["module"], "at", "t", "v", 100, limit=5).collect()
+    assert {r["i"]: r["matched_value"] for r in out} == {i: float(min(i, 199)) if i < 200 else 349.0 for i in range(350)}
+    assert moved[0] < 3 * (len(left_t) + len(right_t))
+
+
 def test_performance_pools_errors(spark, ts):
     rows = [
         ("a", ts(0), 20.0, 21.0), ("a", ts(300), 22.0, 30.0), ("b", ts(0), 10.0, 14.0),
