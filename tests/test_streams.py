@@ -1,5 +1,6 @@
 """Streams over several micro-batches against their batch twins."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from heatline.streaming.features import feature_stream
 from heatline.streaming.ingest import deduplicated, scoring_stream
 from heatline.streaming.lifecycle import LifecycleListener
 from heatline.streaming.store import BatchStore, Commits
-from heatline.streaming.timeline import matured_forecasts, resample_stream
+from heatline.streaming.timeline import matured_forecasts, nearest, resample_stream
 from test_features import frame
 from test_risk import NAMES, decisions
 
@@ -108,6 +109,25 @@ def test_maturation_over_batches(spark, ts, tmp_path):
     assert out.filter("matched_time IS NULL").count() > 0
 
 
+def test_maturation_forms_no_pairs(spark, ts, tmp_path):
+    """Forecasts look their reading up; a join by bucket would make all pairs of a busy one."""
+    df = spark.createDataFrame([("m", ts(0), 1.0, 1.0)], "module string, event_time timestamp, current_temperature double, predicted_temperature double")
+    df.write.parquet(str(tmp_path / "p"))
+    source, again = (replay_stream(spark, str(tmp_path / "p"), df.schema) for _ in range(2))
+    assert "Join" not in matured_forecasts(source, again)._jdf.queryExecution().analyzed().toString()
+
+
+def test_nearest_equals_all_pairs():
+    generator = np.random.default_rng(4)
+    targets, times = generator.integers(0, 500, 300), generator.integers(0, 500, 120)
+    values = generator.integers(0, 9, 120) / 4
+    for reach, n in ((3, 120), (0, 120), (1000, 120), (3, 1), (3, 0)):
+        found = nearest(targets, times[:n], values[:n], reach)
+        for target, time, value in zip(targets, *found):
+            near = [(abs(t - target), t, -v if t <= target else v, v) for t, v in zip(times[:n], values[:n]) if abs(t - target) <= reach]
+            assert (time, value) == (min(near)[1], min(near)[3]) if near else np.isnan(value) and time == np.iinfo("i8").min
+
+
 def test_late_rows_are_left_out(spark, ts, tmp_path):
     schema = "module string, event_time timestamp, value double"
     first = spark.createDataFrame([("m", ts(s), 1.0) for s in (0, 4, 100, 200)], schema)
