@@ -53,6 +53,21 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int | None) -> DataFrame:
+    """``df`` dealt by ``keys``, ready to be grouped by them, in parts of few rows.
+
+    The session's shuffle partitions are a fixed number and neighbours are merged by their
+    compressed size, so the table of groups that one task holds grows with the input. Where
+    ``rows``, the number of rows, is given and beyond one chunk, parts get a chunk's rows at
+    most, keys lying evenly.
+    """
+    chunk = rows_per_chunk(df.sparkSession)
+    if rows is None or rows <= chunk or not keys:
+        return df
+    parts = max(math.ceil(rows / chunk), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """Null-safe equality of column pairs."""
     return reduce(

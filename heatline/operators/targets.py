@@ -8,13 +8,14 @@ from pyspark.sql import types as T
 
 from heatline.functions.scalars import shifted
 from heatline.operators.project import target_names, with_all_targets
+from heatline.operators.scale import dealt
 from heatline.schema import HORIZON_SECONDS, MODULES
 
 
 def add_future_targets(
     df: DataFrame, keys: list[str], time: str = "event_time",
     columns: list[str] = MODULES, seconds: float = HORIZON_SECONDS,
-    names: dict[str, str] | None = None,
+    names: dict[str, str] | None = None, rows: int | None = None,
 ) -> DataFrame:
     """Give each row the values of the row exactly ``seconds`` later of the same key.
 
@@ -23,6 +24,7 @@ def add_future_targets(
     values as targets, to the time they are the target of; one hashed aggregate by key
     and time puts the two halves together, so the table is derived and read once.
     Keys and time name one row, as after collapsing duplicates; if not, it is an error.
+    ``rows``, how many there are at most, bounds what one task groups (``dealt``).
     """
     names = names or target_names(columns)
     others = [c for c in df.columns if c not in (*keys, time)]
@@ -48,10 +50,11 @@ def add_future_targets(
         if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
             known = known & ~F.isnan(value)
         complete = complete & known
-    rows = df.filter(F.col(time).isNotNull()).select(
+    halves = df.filter(F.col(time).isNotNull()).select(
         *keys, F.inline(F.when(complete, F.array(here, ahead)).otherwise(F.array(here)))
     )
-    met = rows.groupBy(*keys, "_at").agg(
+    place = [*keys, "_at"]
+    met = dealt(halves, place, rows and 2 * rows).groupBy(*place).agg(
         F.sum("_now").alias("_now"), F.sum("_later").alias("_later"),
         *[F.first(c, ignorenulls=True).alias(c) for c in [*half, *goal]],
     )

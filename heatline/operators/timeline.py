@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from heatline.functions import scalars as S
 from heatline.operators.project import numeric_columns, probe_columns, with_any_module
-from heatline.operators.scale import bounded_broadcast, over_ordered, same, written
+from heatline.operators.scale import bounded_broadcast, dealt, over_ordered, same, written
 from heatline.schema import MODULES, POWER_CHANNELS, TOTAL_POWER
 
 
 def collapse_duplicates(
-    df: DataFrame, keys: list[str], order: list[str] | None = None
+    df: DataFrame, keys: list[str], order: list[str] | None = None, rows: int | None = None
 ) -> DataFrame:
     """A1, A2: one row per key; numbers averaged, other columns first known by ``order``.
 
-    Without ``order`` only the numeric columns are kept. With it, keys are counted first by
+    Without ``order`` only the numeric columns are kept, and ``rows``, how many there are,
+    bounds what one task groups (``dealt``). With it, keys are counted first by
     a hashed aggregate, and only rows whose key occurs twice are sorted for the pick: the
     table is read twice, so give it a stored one.
     """
@@ -28,7 +29,7 @@ def collapse_duplicates(
     merged = [F.avg(v).alias(c) for c, v in known.items()]
     other = [c for c in df.columns if order and c not in [*keys, *order, *numeric]]
     if not other:
-        return df.groupBy(*keys).agg(*merged)
+        return dealt(df, keys, rows).groupBy(*keys).agg(*merged)
     rank = F.struct(*order)
     merged += [F.min_by(c, F.when(F.col(f"`{c}`").isNotNull(), rank)).alias(c) for c in other]
     twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")

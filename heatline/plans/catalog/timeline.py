@@ -329,11 +329,11 @@ def j1(spark, sf):
   a.l_shipdate + INTERVAL 7 DAY AS target_time, round(b.l_quantity, 6) AS target
   FROM q a JOIN q b ON a.l_suppkey = b.l_suppkey AND a.l_shipdate + INTERVAL 7 DAY = b.l_shipdate""")
 def j1_days(spark, sf):
-    rows = timeline.collapse_duplicates(
-        lineitem(spark, sf).select(*_KEYS, "l_quantity"), _KEYS
-    )
+    lines = lineitem(spark, sf).select(*_KEYS, "l_quantity")
+    n = lines.count()
     out = add_future_targets(
-        rows, ["l_suppkey"], "l_shipdate", ["l_quantity"], 7 * 86400, {"l_quantity": "target"}
+        timeline.collapse_duplicates(lines, _KEYS, rows=n),
+        ["l_suppkey"], "l_shipdate", ["l_quantity"], 7 * 86400, {"l_quantity": "target"}, rows=n,
     )
     return rounded(out, "l_quantity", "target")
 
@@ -383,7 +383,8 @@ def m1(spark, sf):
   FROM lineitem GROUP BY ALL) SELECT l_suppkey, time_bucket(INTERVAL '7 days', l_shipdate, TIMESTAMP '1970-01-01') AS l_shipdate,
   round(avg(q), 6) AS l_quantity FROM once GROUP BY 1, 2""")
 def a5_weeks(spark, sf):
-    once = timeline.collapse_duplicates(lineitem(spark, sf).select(*_KEYS, "l_quantity"), _KEYS)
+    lines = lineitem(spark, sf).select(*_KEYS, "l_quantity")
+    once = timeline.collapse_duplicates(lines, _KEYS, rows=lines.count())
     out = timeline.resample_mean(once, ["l_suppkey"], "l_shipdate", 7 * 86400, ["l_quantity"])
     return rounded(out, "l_quantity")
 

@@ -111,3 +111,22 @@ def test_empty_rows_and_profile(spark, ts):
     row = timeline.profile(df, "t").head()
     assert tuple(row) == (4, 1, 2, 1, ts(0), ts(3))
     assert tuple(timeline.profile(df.limit(0), "t").head())[:4] == (0, 0, 0, 0)
+
+
+def test_many_rows_are_grouped_in_small_parts(spark):
+    """Tasks hold a chunk's groups however many rows there are, and the result is the same."""
+    df = spark.range(2000).selectExpr("id % 400 AS k", "timestamp_seconds(id div 400) AS t", "double(id) AS v")
+    twice = df.union(df)
+
+    def paired(n):
+        once = timeline.collapse_duplicates(twice, ["k", "t"], rows=n)
+        return add_future_targets(once, ["k"], "t", ["v"], 1, {"v": "y"}, rows=n)
+
+    wanted = sorted(map(tuple, paired(None).collect()))
+    spark.conf.set("spark.heatline.rowsPerChunk", "200")
+    try:
+        out = paired(4000)
+        assert out.rdd.getNumPartitions() == 40
+        assert sorted(map(tuple, out.collect())) == wanted and len(wanted) == 1600
+    finally:
+        spark.conf.unset("spark.heatline.rowsPerChunk")
