@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatline.operators.metrics import model_scores
-from heatline.operators.scale import stored
+from heatline.operators.scale import evenly, stored
 from heatline.schema import CADENCE_SECONDS, HORIZON_SECONDS, MODULES, TARGETS
 from heatline.session import shared_folder
 
@@ -26,6 +26,8 @@ _FAR = float("inf")
 BINS = 32
 #: Fits that run side by side; each keeps a copy of the binned rows on the executors.
 SIDE_BY_SIDE = 8
+#: Rows a fit reads per part: scanning them should outweigh what a part costs in every job.
+ROWS_PER_PART = 50_000
 
 
 def linear_regression() -> LinearRegression:
@@ -72,7 +74,8 @@ def fit_per_target(
 
     The rows are assembled, and with ``bins`` binned, once for all targets, and kept
     in the shared folder. The fits then run side by side over that one table: a round of
-    trees is a row of short jobs, so one fit alone leaves most of a cluster idle.
+    trees is a row of short jobs, so one fit alone leaves most of a cluster idle. For the
+    same reason the table has as many parts as its rows call for, none of them empty.
     """
     stages = [binning(df, features, bins)] if bins else []
     inputs = stages[0].getOutputCols() if bins else features
@@ -83,7 +86,7 @@ def fit_per_target(
         _VECTOR, *[F.col(f"`{t}`").cast("double").alias(t) for t in targets]
     )
     # Kept by partition, so that every fit, and every rerun, samples the same rows.
-    rows = stored(rows)
+    rows = stored(evenly(rows, ROWS_PER_PART))
 
     def fit(module: str, target: str) -> Transformer:
         return (

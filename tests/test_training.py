@@ -5,9 +5,11 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from heatline.operators import baselines, linear, metrics, ml, split
+from heatline.operators.scale import evenly
 from heatline.plans.training import feature_table, modules_from_raw, persistence_by_module, split_table
 from heatline.schema import MODULES, SOURCE_TIME, TARGETS, TOTAL_POWER, feature_names, raw_telemetry
 from heatline.sources.sinks import write_csv, write_dataset
@@ -235,6 +237,26 @@ def test_targets_are_fitted_side_by_side_from_one_binned_table(spark, tmp_path):
     ml.check_model(again, read, df, model)
 
 
+@pytest.mark.parametrize("most, parts", [(ml.ROWS_PER_PART, 1), (40, 3)])
+def test_fits_read_as_few_parts_as_their_rows_call_for(spark, monkeypatch, most, parts):
+    """Rows in four of twelve parts: the empty ones are not carried into every job of a fit."""
+    seen = []
+
+    class Watched(LinearRegression):
+        def fit(self, rows):
+            seen.append([len(part) for part in rows.rdd.glom().collect()])
+            return super().fit(rows)
+
+    monkeypatch.setattr(ml, "ROWS_PER_PART", most)
+    df = spark.range(0, 300, 1, 12).filter("id < 90").selectExpr("cast(id as double) x", "2D * id + 1 y", "3D * id z")
+    model = ml.fit_per_target(df, ["x"], ["y", "z"], ["y", "z"], Watched)
+    assert [(len(sizes), sum(sizes), min(sizes) > 0) for sizes in seen] == [(parts, 90, True)] * 2
+    out = ml.score(df, model).toPandas()
+    assert len(out) == 90 and np.allclose(out[["Predicted_y", "Predicted_z"]], out[["y", "z"]])
+    empty = evenly(df.filter("x < 0"), most)
+    assert empty.rdd.getNumPartitions() == 1 and empty.count() == 0
+
+
 def test_all_importances(spark):
     names = [f"x{k}" for k in range(60)]
     rows = [(*[float((k * j) % 7) for j in range(60)], float(k % 5)) for k in range(1, 40)]
